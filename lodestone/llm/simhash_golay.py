@@ -36,6 +36,8 @@ SHINGLE, BITS = 3, 3
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Fingerprints searched together; larger buckets are dealt anew.
 BUCKET = 20_000
+#: With so few bits left to differ a bucket is bounded by itself and is searched, whatever its size.
+OPEN = 20
 # Fixed value: the generator polynomial of the binary Golay code.
 GENERATOR = 0b101011100011
 
@@ -136,7 +138,7 @@ def _keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     a, b, c = near
     index = a[:, 0][:, None, None] << 24 | b[:, :, None] << 12 | c[:, None, :]
     add((has[1][:, :, None] & has[2][:, None, :]), index)
-    add(has[0], a << 24 | (b[:, 0] << 12 | c[:, 0])[:, None])
+    add(has[0][:, 1:], a[:, 1:] << 24 | (b[:, 0] << 12 | c[:, 0])[:, None])  # the nearest of all three is on the index side already
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -175,7 +177,7 @@ def _search(keyed: DataFrame, bits: int, most: int) -> DataFrame:
         def close() -> None:
             nonlocal held
             n = sum(len(x[0]) for x in held)
-            if over and n:
+            if over and n and (equal & (1 << 64) - 1).bit_count() < 64 - OPEN:
                 fp, node = (np.concatenate(x) for x in zip(*held, strict=True))
                 for p in _parts(equal & (1 << 64) - 1):
                     part = np.array([p], np.uint64).view(np.int64)[0]
@@ -216,7 +218,7 @@ def _search(keyed: DataFrame, bits: int, most: int) -> DataFrame:
                     close()
                     key, equal, over = int(ks[x]), int(masks[x]), False
                 held.append((fps[x:y], nodes[x:y]))
-                if sum(len(h[0]) for h in held) > most:
+                if sum(len(h[0]) for h in held) > most and (equal & (1 << 64) - 1).bit_count() < 64 - OPEN:
                     over = True
                     close()
                     yield from flush()
