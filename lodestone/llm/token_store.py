@@ -209,7 +209,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_pydict(rows, out)
 
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
-    at = blocks.join(base, "part").select((F.col("base") + F.col("part_start")).alias("start"), "block")
+    # One short row for each task that wrote, so the blocks needn't be shuffled.
+    at = blocks.join(F.broadcast(base), "part").select((F.col("base") + F.col("part_start")).alias("start"), "block")
     return at.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
