@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import bpe_backtrack, curriculum, langid, pii_info, simhash_golay
-from lodestone.llm.queries import tokenizer_path
-from lodestone.session import ship, written
+from lodestone.llm.queries import ready, tokenizer_path
+from lodestone.session import written
 
 #: A document stays if its language's calibrated probability is at least this.
 LEAST_SCORE = 0.5
@@ -18,20 +18,20 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no language (null, or without a letter) and those whose language is less likely than all others together."""
-    ship(spark)
+    ready(spark)
     said = langid.identify(docs, langid.fit(docs))
     return said.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each component of near copies."""
-    ship(spark)
+    ready(spark)
     return simhash_golay.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data, and removes or generalises the terms that reveal it; n_chars follows the new text."""
-    ship(spark)
+    ready(spark)
     clean = pii_info.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else clean
 
@@ -43,7 +43,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids of every document, and whether the ids decode to its text."""
-    ship(spark)
+    ready(spark)
     path = tokenizer_path()
     back = bpe_backtrack.decode(bpe_backtrack.encode(docs, path), path)
     return back.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))

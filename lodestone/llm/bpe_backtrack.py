@@ -24,7 +24,9 @@ from pyspark.sql import types as T
 from lodestone.llm.pretoken import Vocabulary, splitter, words
 
 #: Units kept with their ids in a worker; beyond, the memory is emptied and filled anew.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 450_000
+#: Pairs of tokens whose compatibility is kept.
+CACHE_PAIRS = 250_000
 
 
 class _Known(dict):
@@ -67,7 +69,7 @@ class Backtracker:
             self.auto.add_word(t, i)
         self.auto.make_automaton()
         self.shorter: dict[int, int] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.known = _Known(self)
         #: The offset table: all token bytes in a row, and where each begins.
         self.blob = np.frombuffer(b"".join(self.token), dtype=np.uint8)
@@ -86,7 +88,7 @@ class Backtracker:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves these two tokens side by side: undoes their merges, last first, looking for an earlier merge across the border."""
-        if (kept := self.fits.get((left, right))) is not None:
+        if (kept := self.fits.get(left << 32 | right)) is not None:
             return kept
         a, b, before, fits = left, right, 1 << 60, True
         while True:
@@ -100,9 +102,9 @@ class Backtracker:
                 before, a = a, a_half
             else:
                 before, b = b + 1, b_half
-        if len(self.fits) > 2_000_000:
+        if len(self.fits) >= CACHE_PAIRS:
             self.fits.clear()
-        self.fits[left, right] = fits
+        self.fits[left << 32 | right] = fits
         return fits
 
     def unit(self, text: str) -> list[int]:

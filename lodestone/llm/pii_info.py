@@ -29,7 +29,7 @@ from lodestone.session import written
 WINDOW, SUPPORT, DISCLOSE, REMOVE = 6, 3, 0.9, 0.97
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms counted in a task before their counts are passed on.
-HELD_TERMS = 300_000
+HELD_TERMS = 200_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # A match can't begin inside a run of digits whose first digit begins none, so the look-behind only saves time.

@@ -17,8 +17,17 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Rows in a batch that goes to Python. Whole texts may be long, so few travel together.
+BATCH_ROWS = 1_000
+
+
+def ready(spark: SparkSession) -> None:
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
