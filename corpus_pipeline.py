@@ -44,8 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, n_tokens, ids of every document, and whether the ids decode to its text."""
     ready(spark)
-    path = tokenizer_path()
-    back = bpe_backtrack.decode(bpe_backtrack.encode(docs, path), path)
+    back = bpe_backtrack.encode(docs, tokenizer_path(), decoded="decoded")
     return back.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -166,9 +166,14 @@ def _free(df: DataFrame, name: str) -> None:
         raise ValueError(f"the input has a column {name!r} already; give another output name")
 
 
-def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Adds ``ids array<int>``: the token ids of each whole text. The vocabulary file must be at this path on every executor."""
-    _free(df, ids)
+def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Adds ``ids array<int>``: the token ids of each whole text. The vocabulary file must be at this path on every executor.
+
+    With ``decoded``, adds under that name the text that the ids decode to as well, in the same pass and the same worker.
+    """
+    for name in filter(None, (ids, decoded)):
+        _free(df, name)
+    more = [T.StructField(ids, T.ArrayType(T.IntegerType()))] + ([T.StructField(decoded, T.StringType())] if decoded else [])
 
     def run(batches):
         bpe = loaded(tokenizer_path)
@@ -176,10 +181,19 @@ def encode(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "i
             for b in _small(b, text):
                 each = [bpe.encode(t or "") for t in b.column(text).to_pylist()]
                 ends = np.cumsum([0, *(len(x) // 4 for x in each)])
-                out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), dtype=np.int32), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, ids])
+                flat = np.frombuffer(b"".join(each), dtype=np.int32)
+                out = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
+                if decoded:
+                    out.append(_texts(bpe, flat, ends))
+                yield pa.RecordBatch.from_arrays([*b.columns, *out], [*b.schema.names, *(f.name for f in more)])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, *more]))
+
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+def _texts(bpe: Backtracker, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    data, begins = bpe.decode_all(flat.astype(np.int64))
+    marks = begins[ends]
+    return pa.array([data[x:y].decode("utf-8", "replace") for x, y in zip(marks[:-1], marks[1:], strict=True)], pa.string())
 
 
 def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -190,21 +204,17 @@ def decode(df: DataFrame, tokenizer_path: str, ids: str = "ids", text: str = "de
         bpe = loaded(tokenizer_path)
         for b in batches:
             for b in _small(b, ids):
-                col = b.column(ids)
-                col = pa.ListArray.from_arrays(*_plain(col))
-                offs = col.offsets.to_numpy()
-                data, begins = bpe.decode_all(col.values.to_numpy(zero_copy_only=False)[: offs[-1]].astype(np.int64))
-                marks = begins[offs]
-                out = [data[x:y].decode("utf-8", "replace") for x, y in zip(marks[:-1], marks[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
+                ends, values = _plain(b.column(ids))
+                out = _texts(bpe, values.to_numpy(zero_copy_only=False), ends)
+                yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, text])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(text, T.StringType())]))
 
 
-def _plain(col: pa.ListArray) -> tuple[pa.Array, pa.Array]:
+def _plain(col: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
     """Offsets from zero and values of a list column; null lists are empty."""
-    sizes = np.array([0 if n is None else n for n in col.value_lengths().to_pylist()], dtype=np.int64)
-    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), col.flatten()
+    sizes = [n or 0 for n in col.value_lengths().to_pylist()]
+    return np.cumsum([0, *sizes]), col.flatten()
 
 
 def _small(b: pa.RecordBatch, name: str, most: int = 512):

@@ -118,9 +118,8 @@ def op9_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = bpe_backtrack.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
-    back = bpe_backtrack.decode(coded, path)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = bpe_backtrack.encode(docs, tokenizer_path(), decoded="decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

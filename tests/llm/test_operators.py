@@ -46,6 +46,8 @@ def test_bpe_equals_the_library(spark):
         want = lib.encode(r.text or "", add_special_tokens=False).ids
         assert list(r.ids) == want
         assert r.decoded == lib.decode(want, skip_special_tokens=False) == (r.text or "")
+    both = bpe_backtrack.encode(docs_of(spark, texts), path, decoded="back").collect()
+    assert sorted((r.doc_id, r.ids, r.back) for r in both) == sorted((r.doc_id, r.ids, r.decoded) for r in got)
     with pytest.raises(ValueError):
         bpe_backtrack.encode(docs_of(spark, ["x"]).withColumn("ids", F.lit(1)), path)
     assert bpe_backtrack.encode(docs_of(spark, []), path).count() == 0
