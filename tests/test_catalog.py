@@ -3,7 +3,7 @@
 import pytest
 from conftest import same_rows
 
-from lodestone.plans.catalog import QUERIES, SQL
+from lodestone.plans.more import QUERIES, SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
