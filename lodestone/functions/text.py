@@ -24,3 +24,22 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
 
 
+
+
+def snippet(text: Column, first_hit: Column, limit: int = 560, lead: int = 120) -> Column:
+    """``limit`` characters that begin ``lead`` before the hit (1-based; 0 for none), with ellipses where text was cut."""
+    start = F.greatest(first_hit - lead, F.lit(1))
+    body = F.trim(F.substring(text, start, F.lit(limit)))
+    return F.concat(F.when(start > 1, "…").otherwise(""), body, F.when(start + limit - 1 < F.length(text), "…").otherwise(""))
+
+
+def duration_seconds(value: Column) -> Column:
+    """Seconds of texts such as ``1d2h3m4s`` or ``1m30s``; null for anything else."""
+    part = lambda unit: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(value, rf"(\d+){unit}", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("double")
+    total = part("d") * 86400 + part("h") * 3600 + part("m") * 60 + part("s")
+    return F.when(value.rlike(r"^(\d+d)?(\d+h)?(\d+m)?(\d+s)?$") & (F.length(value) > 0), total)
+
+
+def identifiers(text: Column) -> Column:
+    """Distinct structured identifiers with a digit, in order of first place."""
+    return F.array_distinct(F.filter(tokens(text), lambda t: t.rlike(r"[-_/.+:]") & t.rlike(r"\d")))

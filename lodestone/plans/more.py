@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import jobs, ledger, quality
+from lodestone.plans import texts
 from lodestone.plans.catalog import _TOKS, _UNIT, QUERIES, SQL, _t, _vectors, query
 
 _QUAL = f"""WITH t AS (SELECT doc_id, text, {_TOKS.format(c="text")} AS t FROM documents),
@@ -145,3 +146,7 @@ def query_table() -> dict:
 
 def sql_table() -> dict[str, str]:
     return dict(SQL)
+
+
+#: Importing it registers its queries.
+TEXTS = texts.__name__
