@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 # The token pattern and the stop words of the search index.
 TOKEN = r"[a-z0-9]+(?:[-_/.+:][a-z0-9]+)+|\d+(?:\.\d+)?(?:°[cf])?|[a-z]+|\d+"
+#: The same for Java, with possessive quantifiers: each part ends where the next can't match inside it, so nothing is tried twice.
+_TOKEN_ONCE = r"[a-z0-9]++(?:[-_/.+:][a-z0-9]++)++|\d++(?:\.\d++)?+(?:°[cf])?+|[a-z]++|\d++"
 STOPWORDS = "a an and are as at be by for from how in is it of on or that the this to what when where which with why".split()
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased tokens without stop words and single characters; structured identifiers stay whole."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN_ONCE), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
 
 
