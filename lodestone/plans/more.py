@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import jobs, ledger, quality
-from lodestone.plans import texts
+from lodestone.plans import structure, texts
 from lodestone.plans.catalog import _TOKS, _UNIT, QUERIES, SQL, _t, _vectors, query
 
 _QUAL = f"""WITH t AS (SELECT doc_id, text, {_TOKS.format(c="text")} AS t FROM documents),
@@ -141,7 +141,7 @@ def idle_gap_budget(spark, sf):
 
 
 def query_table() -> dict:
-    return dict(QUERIES)
+    return {**QUERIES, **structure.ROWS}
 
 
 def sql_table() -> dict[str, str]:
