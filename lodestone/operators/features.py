@@ -72,7 +72,7 @@ def with_cohesion(rows: DataFrame, terms: str, found: str, out: str) -> DataFram
     Places and the span are columns of their own, so they are worked out once for a row.
     """
     where = F.transform(terms, lambda t: F.filter(F.transform(found, lambda x, k: F.when(x == t, k)), lambda k: k.isNotNull()))
-    rows = rows.withColumn("__where", F.when(F.size(terms) >= 2, where).otherwise(F.expr("cast(array() AS array<array<int>>)")))
+    rows = rows.withColumn("__where", F.when((F.size(terms) >= 2) & (F.size(F.array_except(terms, found)) == 0), where).otherwise(F.expr("cast(array() AS array<array<int>>)")))
     nearest = lambda p, at: F.array_min(F.transform(p, lambda k: F.struct(F.abs(k - at).alias("d"), k.alias("k"))))["k"]
     near = F.transform(F.get("__where", F.lit(0)), lambda at: F.transform("__where", lambda p: nearest(p, at)))
     whole = (F.size("__where") >= 2) & F.forall("__where", lambda p: F.size(p) > 0)
