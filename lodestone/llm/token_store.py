@@ -34,8 +34,8 @@ _NULL_ID = -(1 << 63)
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 600, 8_000, 64 * 1024
 #: A block is closed at so many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 8_192
-#: Units kept with their ids in a worker.
-CACHE_UNITS = 600_000
+#: Units kept with their ids in a worker: some 200 MB. Beyond, only those of the batch at hand stay.
+CACHE_UNITS = 1_000_000
 
 
 class LibraryEncoder:
@@ -61,8 +61,7 @@ class LibraryEncoder:
     def learn(self, units: set[str]) -> None:
         new = [*(units - self.known.keys())]
         if len(self.known) + len(new) > CACHE_UNITS:
-            self.known.clear()
-            new = [*units]
+            self.known = {w: self.known[w] for w in units & self.known.keys()}
         # Units that begin with one space stay apart when they are joined: one call encodes thousands.
         led = [w for w in new if len(w) > 1 and w[0] == " " and not w[1].isspace()]
         for at in range(0, len(led), 20_000):
