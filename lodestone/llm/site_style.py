@@ -5,11 +5,14 @@ page gives for each of its nodes the sequence of its children (presentation) and
 node, the entropies of both, divided by the logarithm of their number, tell its importance:
 
     content(E) = entropy of its texts        presentation(E) = entropy of its child sequences
-    importance(E) = max(content(E), presentation(E)), 1 for a node that fewer than ``MIN_PAGES`` distinct pages have
+    importance(E) = max(content(E), presentation(E)), 1 for a node that only one distinct page has
 
-A branch that looks and reads the same all over the site has an importance near 0 and is removed from each page; so is
-one whose own name says it is page furniture, which holds for hosts of a single page too. If article or main elements remain, only what they
-hold is kept. The counts of a node are summed by (host, node, value) first, so the pages of a large host are never gathered.
+On a host of ``MIN_PAGES`` or more distinct pages importance decides. A branch that looks and reads the same all over the site has an
+importance near 0 and is removed from each page: under ``THRESHOLD``, if ``MIN_PAGES`` pages have it. Names only raise that bar: a branch whose
+element, role, class or id says it is page furniture is removed under ``DOUBTED``, whatever the number of its pages, and so is a block outside article and
+main elements where those remain. On a smaller host, which has no statistics, the names alone decide, and if article or main elements
+remain, only what they hold is kept. What the page itself hides (hidden, aria-hidden, display:none) is never text.
+The counts of a node are summed by (host, node, value) first, so the pages of a large host are never gathered.
 
 Defined results: null html, null url or a page of nothing but furniture gives an empty string or, for a null url, is judged as a host of its own; rows with
 equal ids are pages each; equal pages of a host count once in its tree; an empty table gives no row. Extra columns pass through.
@@ -26,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MIN_PAGES, THRESHOLD = 8, 0.12
-#: Removed branches that are sent to every task; with more, pages are joined with those of their host.
+MIN_PAGES, THRESHOLD, DOUBTED = 8, 0.12, 0.5
+#: Node of the whole page, in the tree only: its pages are the distinct pages of the host.
+WHOLE = 0
+#: Removed and doubted branches, and large hosts, that are sent to every task; with more, pages are joined with those of their host.
 BROADCAST_RULES = 200_000
 
 # HTML's own vocabulary.
@@ -64,7 +69,7 @@ class Page:
     __slots__ = ("nodes", "blocks", "seen")
 
     def __init__(self, source: str):
-        #: node: (parent, chain hash, furniture, main, children, text hash state)
+        #: node: (parent, chain hash, furniture by its own name, main, children, hidden by itself)
         self.nodes: list[list] = []
         self.blocks: list[tuple[int, str]] = []
         self._read(source)
@@ -144,14 +149,15 @@ class Page:
             chain = xxhash.xxh64_intdigest(label, up[1] if up else 0)
             words = _named(attrs.get("class", "")) | _named(attrs.get("id", ""))
             inside = bool(up and up[3])
-            bad = name in FURNITURE or attrs.get("role", "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
+            bad = name in FURNITURE or attrs.get("role", "").lower() in ROLES
+            hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
             if name == "header" and not inside:
                 bad = True
             if not bad and words & NAMES and name not in ("html", "body"):
                 bad = not (words & MAIN_NAMES and not words & {"comment", "comments", "reply", "replies", "sidebar", "nav", "menu", "footer", "ad", "ads", "related"})
                 if inside and words <= {"header", "article", "post", "entry", "main", "content"}:
                     bad = False
-            nodes.append([here, chain, bool(up and up[2]) or bad, inside or name in ("article", "main") or attrs.get("role", "").lower() == "main", []])
+            nodes.append([here, chain, bad, inside or name in ("article", "main") or attrs.get("role", "").lower() == "main", [], hidden])
             if up:
                 up[4].append(name)
             here = len(nodes) - 1
@@ -171,18 +177,21 @@ class Page:
             look.setdefault(n[1], []).append(tuple(n[4]))
         return [(chain, text[chain].intdigest() if chain in text else 0, xxhash.xxh64_intdigest(repr(shapes))) for chain, shapes in look.items()]
 
-    def text(self, removed) -> str:
-        keep = []
+    def text(self, judged: tuple[set, set] | None) -> str:
+        """judged: the nodes to remove and those to remove if in doubt, of a host with statistics."""
+        nodes, keep = self.nodes, []
+        removed, doubted = judged or ((), ())
         for k, t in self.blocks:
-            j, ok = k, k < 0 or not self.nodes[k][2]
+            j, ok = k, True
             while ok and j >= 0:
-                ok = self.nodes[j][1] not in removed
-                j = self.nodes[j][0]
+                up, chain, named, _, _, hidden = nodes[j]
+                ok = not (hidden or chain in removed or named and (judged is None or chain in doubted))
+                j = up
             if ok:
-                keep.append((k >= 0 and self.nodes[k][3], t))
-        if any(main for main, _ in keep):
-            keep = [x for x in keep if x[0]]
-        return "\n\n".join(t for _, t in keep)
+                keep.append((k >= 0 and nodes[k][3], t, k))
+        if any(main for main, _, _ in keep):
+            keep = [x for x in keep if x[0] or judged is not None and (x[2] < 0 or nodes[x[2]][1] not in doubted)]
+        return "\n\n".join(t for _, t, _ in keep)
 
 
 def _signed(h: int) -> int:
@@ -204,7 +213,8 @@ def tree(pages: DataFrame) -> DataFrame:
                 rows = {n: [] for n in schema.names}
                 for h, source in zip(s.column("host").to_pylist(), s.column("html").to_pylist(), strict=True):
                     page = _signed(xxhash.xxh64_intdigest(source or ""))
-                    for chain, content, look in Page(source or "").signatures():
+                    whole = [(WHOLE, page % (1 << 64), 0)] if source else []
+                    for chain, content, look in whole + Page(source or "").signatures():
                         for name, v in zip(schema.names, (h, _signed(chain), _signed(content), _signed(look), page), strict=True):
                             rows[name].append(v)
                 yield pa.RecordBatch.from_pydict(rows, schema)
@@ -214,10 +224,26 @@ def tree(pages: DataFrame) -> DataFrame:
     values = seen.select("host", "node", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("look").alias("value")))).alias("v")).select("host", "node", "v.*")
     each = values.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
     kinds = each.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), n_log_n("n").alias("s"))
-    entropy = F.when(F.col("pages") < MIN_PAGES, F.lit(1.0)).otherwise(1 - F.col("s") / F.col("pages") / F.log("pages"))
+    entropy = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(1 - F.col("s") / F.col("pages") / F.log("pages"))
     return kinds.groupBy("host", "node").agg(F.max("pages").alias("pages"), F.max(entropy).alias("importance"))
 
 
+def _judge(sets: tuple[set, set], node: int, gone: bool) -> None:
+    if node != WHOLE:
+        sets[1].add(node % (1 << 64))
+        if gone:
+            sets[0].add(node % (1 << 64))
+
+
+def _judged(rules: list | None) -> tuple[set, set] | None:
+    if rules is None:
+        return None
+    sets = (set(), set())
+    for r in rules:
+        _judge(sets, r["node"], r["gone"])
+    return sets
+
+
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Adds text: the main text of each page's whole html, blocks joined by two line ends."""
     if "text" in {c.lower() for c in pages.columns}:
@@ -225,38 +251,42 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     from lodestone.session import written
 
     spark = pages.sparkSession
-    rules = written(tree(pages).where(F.col("importance") < threshold).select("host", "node"), "style")
+    # A row for each large host itself, and one for each of its nodes that is removed, or removed if in doubt.
+    doubt = max(threshold, DOUBTED)
+    judged = written(tree(pages).where(((F.col("node") == WHOLE) & (F.col("pages") >= MIN_PAGES)) | (F.col("importance") < doubt)), "style")
+    gone = (F.col("importance") < threshold) & (F.col("pages") >= MIN_PAGES)
+    rules = judged.join(judged.where(F.col("node") == WHOLE).select("host"), "host", "left_semi").select("host", "node", gone.alias("gone"))
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
     names = pages.columns
     out = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
 
-    def texts(b, removed_of):
+    def texts(b, judged_of):
         for k in range(0, b.num_rows, 256):
             s = b.slice(k, 256)
-            got = [Page(h).text(removed_of(s, i)) if h else "" for i, h in enumerate(s.column("html").to_pylist())]
+            got = [Page(h).text(judged_of(s, i)) if h else "" for i, h in enumerate(s.column("html").to_pylist())]
             yield pa.RecordBatch.from_arrays([*(s.column(c) for c in names), pa.array(got, pa.string())], [*names, "text"])
 
     if few:
-        by_host: dict[str, set[int]] = {}
+        by_host: dict[str, tuple[set[int], set[int]]] = {}
         for r in rules.toLocalIterator():
-            by_host.setdefault(r.host, set()).add(r.node % (1 << 64))
-        shared, none = spark.sparkContext.broadcast(by_host), frozenset()
+            _judge(by_host.setdefault(r.host, (set(), set())), r.node, r.gone)
+        shared = spark.sparkContext.broadcast(by_host)
 
         def run(batches):
             for b in batches:
                 hosts = b.column("__host").to_pylist()
                 for k in range(0, b.num_rows, 256):
-                    yield from texts(b.slice(k, 256), lambda s, i, k=k, hosts=hosts: shared.value.get(hosts[k + i], none))
+                    yield from texts(b.slice(k, 256), lambda s, i, k=k, hosts=hosts: shared.value.get(hosts[k + i]))
 
         return pages.withColumn("__host", host(F.col("url"))).mapInArrow(run, out)
-    # A host's rules are as many as its templates have removed branches; AQE splits a large host's pages.
-    lists = rules.groupBy("host").agg(F.collect_list("node").alias("__rules")).withColumnRenamed("host", "__host")
+    # A host's rules are as many as its templates have removed or doubted branches; AQE splits a large host's pages.
+    lists = rules.groupBy("host").agg(F.collect_list(F.struct("node", "gone")).alias("__rules")).withColumnRenamed("host", "__host")
     joined = pages.withColumn("__host", host(F.col("url"))).join(lists, "__host", "left")
 
     def run_joined(batches):
         for b in batches:
             rules_of = b.column("__rules").to_pylist()
             for k in range(0, b.num_rows, 256):
-                yield from texts(b.slice(k, 256), lambda s, i, k=k, r=rules_of: {x % (1 << 64) for x in r[k + i] or ()})
+                yield from texts(b.slice(k, 256), lambda s, i, k=k, r=rules_of: _judged(r[k + i]))
 
     return joined.mapInArrow(run_joined, out)

@@ -388,3 +388,15 @@ def test_extract_removes_what_the_site_repeats(spark, monkeypatch):
     assert {r.page_id: r.text for r in site_style.extract(df).collect()} == want
     monkeypatch.setattr(site_style, "BROADCAST_RULES", 0)
     assert {r.page_id: r.text for r in site_style.extract(df).collect()} == want
+
+
+def test_importance_overrides_names_on_large_hosts(spark, monkeypatch):
+    menu, foot = "<nav><ul><li>Home<li>News</ul></nav>", "<article><p>Our standing promise</p></article>"
+    # All text in a form, a block called reviews, and text that varies outside an article that never does.
+    site = lambda i: page(f'<form>{menu}<div class="x"><p>Story number {i}</p></div><div class="reviews"><p>Verdict {i} of {i * i}</p></div>{foot}<div hidden><p>key {i}</p></div></form>')
+    rows = [(i, f"http://big.example/{i}", site(i)) for i in range(20)] + [(100 + i, f"http://small.example/{i}", site(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {i: f"Story number {i}\n\nVerdict {i} of {i * i}" for i in range(20)} | {100 + i: "" for i in range(3)}
+    assert {r.page_id: r.text for r in site_style.extract(df).collect()} == want
+    monkeypatch.setattr(site_style, "BROADCAST_RULES", 0)
+    assert {r.page_id: r.text for r in site_style.extract(df).collect()} == want
