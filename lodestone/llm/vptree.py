@@ -3,7 +3,8 @@
 Unit vectors under Euclidean distance form a metric space ordered like cosine. Each node of a tree keeps a vantage point and the
 shells of distance that its two halves lie in. A half is pruned if the query's distance to its shell exceeds the distance of the
 k-th best so far divided by ``relax``: the triangle inequality at 1, which makes the search exact; more than 1 prunes more
-and may miss some. Queries travel through a tree in blocks, so that every step works on arrays.
+and may miss some. Distances are compared as squares, 2 - 2 x.q, whose rounding is the same near and far, with a bound on it (``rounding``) to spare;
+near zero that is far more of the distance itself. Queries travel through a tree in blocks, so that every step works on arrays.
 
 Shards are dealt by hash of the id and hold about ``shard_rows`` vectors; every block of queries visits every shard, and each query
 keeps its k best of all shards. Scores are computed anew on the original vectors, in double precision, in one order of
@@ -21,7 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS, QUERY_BLOCK, LEAF = 8_192, 512, 128
-_SLACK = 1e-9
+
+
+def rounding(dims: int) -> float:
+    """Over twice the most that a computed squared distance of unit vectors, or a score, is off: dims + 8 roundings in the product and the norms."""
+    return 16 * (dims + 8) * 2.0**-53
 
 
 class Tree:
@@ -47,25 +52,25 @@ class Tree:
     def search(self, q: np.ndarray, k: int, relax: float) -> list[np.ndarray]:
         """Rows (of the matrix given) that are among the k nearest of each query, with all that tie within rounding."""
         self.q, self.k, self.relax = q, k, relax
-        self.best = np.full((len(q), k), np.inf)
+        self.best = np.full((len(q), k), np.inf)  # squared distances
+        self.off = rounding(q.shape[1])
         self.found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in q]
         if len(self.x):
             self._visit(self.root, np.arange(len(q)))
         out = []
         for got, worst in zip(self.found, self.best[:, -1], strict=True):
             rows, d = (np.concatenate(z) for z in zip(*got, strict=True)) if got else (np.zeros(0, np.int64), np.zeros(0))
-            out.append(self.order[rows[d <= worst + _SLACK]])
+            out.append(self.order[rows[d <= worst + self.off]])
         return out
 
     def _visit(self, node, active: np.ndarray) -> None:
         if len(node) == 2:
             a, b = node
             d = np.maximum(0, 2 - 2 * (self.q[active] @ self.x[a:b].T))
-            np.sqrt(d, out=d)
             both = np.concatenate([self.best[active], d], axis=1)
             both.partition(self.k - 1, axis=1)
             self.best[active] = np.sort(both[:, : self.k], axis=1)
-            near = d <= self.best[active, -1:] + _SLACK
+            near = d <= self.best[active, -1:] + self.off
             for i in np.flatnonzero(near.any(axis=1)).tolist():
                 j = np.flatnonzero(near[i])
                 self.found[active[i]].append((a + j, d[i, j]))
@@ -77,7 +82,8 @@ class Tree:
             if side.any():
                 for shell, child in (first, second):
                     gap = np.maximum(0, np.maximum(shell[0] - d[side], d[side] - shell[1]))
-                    go = gap <= self.best[active[side], -1] / self.relax + _SLACK
+                    # The gap is off by as much as two distances are: each by the root of the bound at most.
+                    go = gap <= np.sqrt(self.best[active[side], -1] + self.off) / self.relax + 2 * np.sqrt(self.off)
                     if go.any():
                         self._visit(child, active[side][go])
 

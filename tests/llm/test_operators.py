@@ -164,6 +164,20 @@ def test_vptree_is_exact_at_factor_one(spark):
     assert vptree.search(none, none).count() == 0
 
 
+def test_vptree_keeps_copies_over_many_leaves():
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(12, 64))
+    for scaled in (False, True):
+        x = base[rng.integers(0, 12, 4000)] * (rng.uniform(0.1, 9, (4000, 1)) if scaled else 1)
+        norm = np.sqrt((x * x).sum(axis=1))
+        tree = vptree.Tree(x / norm[:, None])
+        for n in (1, 7, 60):
+            for q, rows in zip(x[:n], tree.search(x[:n] / norm[:n, None], 6, 1.0), strict=True):
+                score = (x * q).sum(axis=1) / (norm * np.sqrt((q * q).sum()))
+                best = sorted(zip((-score).tolist(), range(len(x)), strict=True))[:6]
+                assert {j for _, j in best} <= set(rows.tolist())
+
+
 # 5: language
 
 
