@@ -1,13 +1,15 @@
 """Personal data, and terms that reveal it: information-theoretic sanitisation.
 
-Base entities (e-mail, IP, card, phone) come from fixed patterns. The words within ``WINDOW`` words of an entity are its
-candidate terms. Over the whole corpus, with N documents, entity e in d(e), term t in d(t) and t in the window of e in d(t, e) documents, the
+Base entities (e-mail, IP, card, phone) come from fixed patterns. Every word of a document that touches no base entity is a term of it, and
+a candidate for each entity in the document, wherever the two stand. Over the whole corpus, with N documents, entity e in d(e), term t in d(t) and
+both in d(t, e) documents, the
 pointwise mutual information log(N d(t,e) / (d(t) d(e))) over the entity's information log(N / d(e)) tells how much of
 e the term gives away: 1 if it occurs with e alone. A term seen with e in ``SUPPORT`` documents or more whose ratio is
-``DISCLOSE`` or more becomes a span of kind ``term`` wherever it stands in a window of e. ``redact`` removes it from ``REMOVE`` on,
-and generalises it to its class below.
+``DISCLOSE`` or more becomes a span of kind ``term`` wherever it stands in any document, those without e too; its ratio is the highest of all
+entities. ``redact`` removes it from ``REMOVE`` on, and generalises it to its class below.
 
-Document counts of all terms are summed inside each task before they are shuffled; entities and terms travel as 64-bit hashes.
+Document counts of all terms are summed inside each task before they are shuffled; entities and terms travel as 64-bit hashes. Pairs are made only
+of entities and terms whose own counts leave a ratio of ``DISCLOSE`` possible, which loses none.
 
 Defined results: null text counts as empty and has no span; equal documents have equal spans; a repeated row counts as a
 document of its own; an empty table gives no row; offsets count code points. Columns other than those named are dropped by ``find`` and kept by ``redact``.
@@ -16,27 +18,29 @@ document of its own; an empty table gives no row; offsets count code points. Col
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.session import written
 
-WINDOW, SUPPORT, DISCLOSE, REMOVE = 6, 3, 0.9, 0.97
+SUPPORT, DISCLOSE, REMOVE = 3, 0.9, 0.97
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Terms counted in a task before their counts are passed on.
 HELD_TERMS = 200_000
+#: Revealing terms that are sent to every task; with more, texts are joined with their own.
+BROADCAST_TERMS = 500_000
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 # A match can't begin inside a run of digits whose first digit begins none, so the look-behind only saves time.
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"\w{3,}")
+_WORD = re.compile(r"\w+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -84,36 +88,30 @@ def _hash(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def _windows(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
-    """The candidate terms of each entity: hashes, and where they stand. Words that touch a base entity are none."""
-    taken: list[list[int]] = []  # disjoint, in order
-    for a, _, b in spans:
-        if taken and a <= taken[-1][1]:
-            taken[-1][1] = max(taken[-1][1], b)
-        else:
-            taken.append([a, b])
-    starts, out = [a for a, _ in taken], []
-    for a, kind, b in spans:
-        entity = _hash(f"{kind}:{text[a:b].lower()}")
-        left = max(0, a - 24 * WINDOW)
-        before = [(m.start() + left, m.end() + left) for m in _WORD.finditer(text[left:a])][-WINDOW:]
-        after = [(m.start() + b, m.end() + b) for m in _WORD.finditer(text[b : b + 24 * WINDOW])][:WINDOW]
-        for x, y in before + after:
-            whole = (x == 0 or not (text[x - 1].isalnum() or text[x - 1] == "_")) and (y == len(text) or not (text[y].isalnum() or text[y] == "_"))
-            last = bisect_left(starts, y) - 1  # of those that begin before the word's end, the last reaches farthest
-            if whole and not (last >= 0 and taken[last][1] > x):
-                out.append({"entity": entity, "term": _hash(text[x:y].lower()), "start": x, "end": y})
-    return out
+def _free_words(text: str, spans: list[tuple[int, int, int]]):
+    """(start, end) of the words that touch no base entity, in order."""
+    k, reach = 0, -1
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while k < len(spans) and spans[k][0] < y:
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= x:
+            yield x, y
+
 
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    if not spans:
+        return {w.lower() for w in set(_WORD.findall(text))}
+    return {text[x:y].lower() for x, y in _free_words(text, spans)}
 
-_SCAN = "rid long, doc_id long, spans array<struct<start:int,kind:int,end:int>>, near array<struct<entity:long,term:long,start:int,end:int>>, term long, docs long"
+
+_SCAN = "rid long, entities array<long>, terms array<long>, term long, docs long"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row per document (rid set: spans, near) and rows of term counts (rid null: in how many documents of a stretch the term is)."""
-    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())]))
-    schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("spans", span), ("near", near), ("term", pa.int64()), ("docs", pa.int64())])
+    """One pass over the texts: a row for each document with entities (rid set: its distinct entities and terms), rows of term counts (term set: in how many documents of a stretch it is), and rows of document counts (docs alone set)."""
+    schema = pa.schema([("rid", pa.int64()), ("entities", pa.list_(pa.int64())), ("terms", pa.list_(pa.int64())), ("term", pa.int64()), ("docs", pa.int64())])
 
     def run(batches):
         from pyspark import TaskContext
@@ -122,17 +120,20 @@ def scan(docs: DataFrame) -> DataFrame:
 
         def counted():
             n = len(held)
-            nulls = [pa.nulls(n, f.type) for f in (schema.field(k) for k in range(4))]
+            nulls = [pa.nulls(n, f.type) for f in (schema.field(k) for k in range(3))]
             return pa.RecordBatch.from_arrays([*nulls, pa.array(map(_hash, held.keys()), pa.int64(), size=n), pa.array(held.values(), pa.int64(), size=n)], schema=schema)
 
         for b in batches:
             for k in range(0, b.num_rows, 512):
-                s, rows = b.slice(k, 512), []
-                for i, t in zip(s.column("doc_id").to_pylist(), s.column("text").to_pylist(), strict=True):
+                s = b.slice(k, 512)
+                rows = [{"docs": s.num_rows}]
+                for t in s.column("text").to_pylist():
                     t = t or ""
-                    held.update(set(_WORD.findall(t.lower())))
                     found = base_spans(t)
-                    rows.append({"rid": rid, "doc_id": i, "spans": [{"start": x, "kind": q, "end": y} for x, q, y in found], "near": _windows(t, found) if found else []})
+                    terms = _terms(t, found)
+                    held.update(terms)
+                    if found:
+                        rows.append({"rid": rid, "entities": list({_hash(f"{q}:{t[x:y].lower()}") for x, q, y in found}), "terms": [_hash(w) for w in terms]})
                     rid += 1
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 if len(held) > HELD_TERMS:
@@ -141,41 +142,104 @@ def scan(docs: DataFrame) -> DataFrame:
         if held:
             yield counted()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCAN)
+    return docs.select("text").mapInArrow(run, _SCAN)
 
 
 def disclosures(scanned: DataFrame, support: int, disclose: float) -> DataFrame:
-    """(entity, term, ratio) of the terms that reveal an entity."""
+    """(term, ratio) of the terms that reveal an entity, with the highest ratio of all entities."""
+    n = float(max(scanned.where("rid IS NULL AND term IS NULL").agg(F.sum("docs")).first()[0] or 0, 2))
     docs = scanned.where("rid IS NOT NULL")
-    n = docs.count()
-    pairs = docs.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("p.*")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    entities = docs.where(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    terms = scanned.where("rid IS NULL").groupBy("term").agg(F.sum("docs").alias("with_term"))
-    found = pairs.join(entities, "entity").join(terms, "term")
-    least = F.log(F.lit(float(max(n, 2))) / F.col("with_entity"))
-    gain = F.log(F.lit(float(max(n, 2))) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
-    return found.where(least > 0).select("entity", "term", (gain / least).alias("ratio")).where(F.col("ratio") >= disclose)
-
-
-def _with_terms(scanned: DataFrame, support: int, disclose: float) -> DataFrame:
-    docs = scanned.where("rid IS NOT NULL").select("rid", "doc_id", "spans", "near")
-    close = docs.where(F.size("near") > 0).select("rid", F.explode("near").alias("n")).select("rid", "n.*")
-    hit = close.join(disclosures(scanned, support, disclose), ["entity", "term"])
-    # A document's own windows bound its group.
-    hit = hit.groupBy("rid", "start", "end").agg(F.max("ratio").alias("ratio")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "ratio"))).alias("terms"))
-    return docs.drop("near").join(hit, "rid", "left")
+    # With d(t, e) <= d(t) and d(e), a ratio of disclose needs d(t) <= d(e) (N / d(e))^(1 - disclose), here with some room for rounding.
+    most = F.col("with_entity") * F.pow(F.lit(n) / F.col("with_entity"), F.lit(1 - disclose)) * 1.000001
+    entities = docs.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("with_entity"))
+    entities = written(entities.where((F.col("with_entity") >= support) & (F.col("with_entity") < n)).withColumn("most", most), "entities")
+    largest = entities.agg(F.max("most")).first()[0]
+    if largest is None:
+        return docs.select(F.col("rid").alias("term"), F.lit(0.0).alias("ratio")).where("false")
+    terms = scanned.where("term IS NOT NULL").groupBy("term").agg(F.sum("docs").alias("with_term")).where((F.col("with_term") >= support) & (F.col("with_term") <= largest))
+    who = docs.select("rid", F.explode("entities").alias("entity")).join(entities, "entity")
+    what = docs.select("rid", F.explode("terms").alias("term")).join(terms, "term")
+    pairs = who.join(what, "rid").where("with_term <= most")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("with_entity").alias("with_entity"), F.first("with_term").alias("with_term")).where(F.col("both") >= support)
+    gain = F.log(F.lit(n) * F.col("both") / (F.col("with_term") * F.col("with_entity")))
+    ratio = (gain / F.log(F.lit(n) / F.col("with_entity"))).alias("ratio")
+    return pairs.select("term", ratio).where(F.col("ratio") >= disclose).groupBy("term").agg(F.max("ratio").alias("ratio"))
+
+
+def _marked(docs: DataFrame, found: DataFrame, schema: T.StructType, made) -> DataFrame:
+    """docs mapped to rows of the schema by made(batch, spans, terms), which gets the base spans and the (start, end, ratio) of the revealing terms of each text."""
+    spark, names = docs.sparkSession, docs.columns
+
+    def marks(text: str, ratio_of) -> tuple[list, list]:
+        spans = base_spans(text)
+        hit = {w: r for w in set(_WORD.findall(text)) if (r := ratio_of(w))}
+        return spans, [(x, y, hit[text[x:y]]) for x, y in _free_words(text, spans) if text[x:y] in hit] if hit else []
+
+    def mapped(b, ratio_of):
+        for k in range(0, b.num_rows, 512):
+            s = b.slice(k, 512)
+            both = [marks(t or "", ratio_of(k + i)) for i, t in enumerate(s.column("text").to_pylist())]
+            yield made(s.select(names), [x for x, _ in both], [y for _, y in both])
+
+    if found.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        shared = spark.sparkContext.broadcast({r.term: r.ratio for r in found.toLocalIterator()})
+
+        def run(batches):
+            ratios, known = shared.value, {}
+
+            def ratio_of(word):
+                r = known.get(word)
+                if r is None:
+                    if len(known) > HELD_TERMS:
+                        known.clear()
+                    r = known[word] = ratios.get(_hash(word.lower()), 0.0)
+                return r
+
+            for b in batches:
+                yield from mapped(b, lambda i: ratio_of)
+
+        return docs.mapInArrow(run, schema)
+
+    def split(batches):
+        for b in batches:
+            for key, t in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
+                terms = [_hash(w) for w in _terms(t or "", base_spans(t or ""))]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(terms), pa.string()), pa.array(terms, pa.int64())], ["key", "term"])
+
+    key = F.md5(F.coalesce("text", F.lit("")))
+    own = docs.select(key.alias("key"), "text").mapInArrow(split, "key string, term long").join(found, "term")
+    own = own.distinct().groupBy("key").agg(F.collect_list(F.struct("term", "ratio")).alias("__terms")).withColumnRenamed("key", "__key")
+    joined = docs.withColumn("__key", key).join(own, "__key", "left")
+
+    def run_joined(batches):
+        for b in batches:
+            of = [{x["term"]: x["ratio"] for x in r or ()} for r in b.column("__terms").to_pylist()]
+            yield from mapped(b, lambda i, of=of: lambda w: of[i].get(_hash(w.lower()), 0.0) if of[i] else 0.0)
+
+    return joined.mapInArrow(run_joined, schema)
+
+
+_FOUND = "doc_id long, spans array<struct<start:int,kind:int,end:int>>, terms array<struct<start:int,end:int,ratio:double>>"
 
 
 def find(docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
     """One row per document: doc_id, spans array<struct<start, kind (place in KINDS), end>> of base entities, terms array<struct<start, end, ratio>> (null if none)."""
-    return _with_terms(written(scan(docs), "pii"), support, disclose).drop("rid")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = written(disclosures(written(scan(docs), "pii"), support, disclose), "terms")
+    span = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
+    term = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ratio", pa.float64())]))
+
+    def made(b, spans, terms):
+        s = pa.array([[{"start": x, "kind": k, "end": y} for x, k, y in r] for r in spans], span)
+        t = pa.array([[{"start": x, "end": y, "ratio": z} for x, y, z in r] or None for r in terms], term)
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), s, t], ["doc_id", "spans", "terms"])
+
+    return _marked(rows, found, T._parse_datatype_string(_FOUND), made)
 
 
 def redact(docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
     """The documents with each base entity replaced by its kind and each revealing term removed or generalised. Joins by doc_id and text hash, so repeated ids do no harm; spans depend on the text alone."""
-    scanned = written(scan(docs), "pii")
-    hit = _with_terms(scanned, support, disclose).where((F.size("spans") > 0) | F.col("terms").isNotNull())
+    hit = find(docs, support, disclose).where((F.size("spans") > 0) | F.col("terms").isNotNull())
     hit = hit.select(F.col("doc_id").alias("__id"), "spans", "terms")
     repeated = hit.groupBy("__id").count().where("count > 1")
     once = hit.join(repeated, hit["__id"].eqNullSafe(repeated["__id"]), "left_anti")

@@ -264,6 +264,17 @@ def test_pii_terms(spark):
     assert [r.text for r in twice.collect()] == ["<EMAIL> x"] * 2
 
 
+def test_pii_terms_far_from_the_entity(spark, monkeypatch):
+    far = " ".join(f"filler{k}" for k in range(40))
+    texts = [f"a mail to trudy@corp.example {far} signed Quux Li" for _ in range(4)] + [f"{far} Quux Li came" for _ in range(1)] + [f"{far} number {i}" for i in range(400)]
+    for most in (pii_info.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii_info, "BROADCAST_TERMS", most)
+        got = {r.doc_id: r for r in pii_info.find(docs_of(spark, texts)).collect()}
+        for i, t in enumerate(texts):
+            terms = {t[x.start : x.end] for x in got[i].terms or []}
+            assert terms == ({"a", "mail", "to", "signed", "Quux", "Li"} if i < 4 else {"Quux", "Li"} if i == 4 else set()), (i, terms)
+
+
 # 8: near duplicates
 
 
