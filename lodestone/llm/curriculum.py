@@ -6,20 +6,22 @@ min(cap, L * weight), found in closed form from running sums over the sources, o
 
 Positions: a source's weight changes over training time t in [0, 1] as w(t) = 1 + s(2t - 1), s being its
 schedule's slope. Its integral t + s(t^2 - t) is the share of the source's demand met by time t. The words
-that a source gives stand in a fixed random order (by MD5 of the doc_id and the epoch); the cumulative count at the
-middle of a document, over the target, is inverted through that integral: the document's training position. Range-sorting by it
-gives the curriculum.
+that a source gives stand in a fixed random order (by MD5 of the doc_id), the same in each epoch; the cumulative count at the
+middle of a taking of a document, over the target and from the source's first epoch on, is inverted through that integral: the taking's training
+position. ``replay`` range-sorts all takings by it, which gives the curriculum; ``mix`` reports the first of each document.
 
 The running count over a source is built from two sums, over the hash slices of the source and inside a slice,
 so a source that holds most rows is never gathered in one task. Reruns agree: no random numbers, no partition order.
 
 Defined results: null text has size 0 and takes 0 words; a null source is a source of its own, ordered last; the document at the
 end of a target is taken in part; rows of equal doc_id are told apart by their text and counted as one if that is equal too, each with its
-own size and share; an empty table gives no row. Input columns other than doc_id, text and source are dropped.
+own size and share; rows of null doc_id are rows each, ordered by text; an empty table gives no row. Input columns other than doc_id, text and source are dropped.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,39 +59,52 @@ def position(share: Column, slope: Column) -> Column:
     return F.when(F.abs(slope) < 1e-9, y).otherwise((slope - 1 + root) / (2 * slope))
 
 
-def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most_repeats: float = 2.0, slopes=(0.6, 0.0, -0.6)) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, position of its first taking (null if none), in curriculum order.
+#: Key of the rows without doc_id. They may be many, so they are cut into slices of their own, by their text.
+NO_ID = hashlib.md5(b"mix").hexdigest()
 
-    taken counts the words of all takings: 0 up to most_repeats times the size.
-    """
+
+def _planned(docs: DataFrame, carried: list[Column], weights=(3.0, 1.0, 2.0), share: float = 1.5, most_repeats: float = 2.0, slopes=(0.6, 0.0, -0.6)) -> DataFrame:
+    """The carried columns of each row, doc_id, source, size, source_size, target, and takings: an array of (part, position), the words and the place of each taking."""
     if any(w <= 0 for w in weights) or any(abs(s) > 1 for s in slopes):
         raise ValueError("weights are positive and slopes within -1 and 1")
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("mix"))).alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
-    rows = rows.withColumn("slice", F.conv(F.substring("key", 1, 2), 16, 10).cast("int"))
+    rows = docs.select(*carried, "doc_id", "source", words(F.col("text")).alias("size"), F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), F.lit("mix"))).alias("key"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
+    first_two = lambda c: F.conv(F.substring(c, 1, 2), 16, 10).cast("int")
+    within = F.when(F.col("key") < NO_ID, 0).when(F.col("key") == NO_ID, 1 + first_two("tie")).otherwise(257)
+    rows = rows.withColumn("slice", first_two("key") * 258 + F.when(F.substring("key", 1, 2) == NO_ID[:2], within).otherwise(0))
     slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
     sources = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), list(weights), share, most_repeats, list(slopes))
     order = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("slice_before", F.coalesce(F.sum("slice_size").over(order), F.lit(0))).drop("slice_size")
-    # At most SLICES rows a source; every join is null-safe on the source.
+    # At most SLICES + 257 rows a source; every join is null-safe on the source.
     plan = slices.alias("a").join(sources.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.slice", "slice_before", "source_size", "slope", "target")
     inside = Window.partitionBy("source", "slice").orderBy("key", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.alias("r").join(plan.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.slice") == F.col("p.slice")))
     before, size = F.col("slice_before") + F.col("inside"), F.col("size")
     whole = F.floor("target").cast("long")
-    taken, first = F.lit(0), F.lit(None).cast("double")
-    for epoch in reversed(range(int(-(-most_repeats // 1)))):
+    takings = []
+    for epoch in range(int(-(-most_repeats // 1))):
         begin = before + F.lit(epoch) * F.col("source_size")
-        part = F.greatest(F.lit(0), F.least(size, whole - begin))
-        taken = taken + part
+        part = F.greatest(F.lit(0), F.least(size, whole - begin)).cast("long")
         middle = (begin + part / 2) / F.greatest(F.col("target"), F.lit(1.0))
-        first = F.when(part > 0, position(middle, F.col("slope"))).otherwise(first)
-    out = rows.select("doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", taken.cast("long").alias("taken"), first.alias("position"))
+        takings.append(F.struct(part.alias("part"), position(middle, F.col("slope")).alias("position")))
+    names = [F.col(c) for c in docs.select(*carried).columns]
+    takings = F.filter(F.array(*takings), lambda x: x["part"] > 0)
+    return rows.select(*names, "doc_id", F.col("r.source").alias("source"), "size", "source_size", "target", takings.alias("takings"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken, position of its first taking (null if none), in curriculum order.
+
+    taken counts the words of all takings: 0 up to most_repeats times the size.
+    """
+    taken = F.aggregate("takings", F.lit(0).cast("long"), lambda n, x: n + x["part"])
+    out = _planned(docs, [], **how).select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), F.get("takings", F.lit(0))["position"].alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def replay(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents with their own columns, each as many times as it is taken (a part counts as a taking), in curriculum order. Needs unique doc_ids."""
-    m = mix(docs, **how).where("taken > 0").select("doc_id", "position", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("times"))
-    rows = docs.join(m, "doc_id").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return rows.orderBy("__time", "position", "doc_id").select(*docs.columns)
+    """The mixed documents with their own columns, a row for each taking (a part counts as one), ordered by the position of the taking, then doc_id. The rows are carried through, so null and repeated doc_ids do no harm."""
+    rows = _planned(docs, [F.struct(*docs.columns).alias("__row")], **how)
+    rows = rows.select("__row", F.explode("takings.position").alias("__position"))
+    return rows.orderBy("__position", "__row.doc_id").select("__row.*")

@@ -372,6 +372,33 @@ def test_mixture_meets_targets(spark):
     assert curriculum.mix(docs_of(spark, [])).count() == 0
 
 
+def test_replay_meets_the_schedule_with_all_takings(spark):
+    texts, source = ["w " * (1 + i % 7) for i in range(900)], ["abc"[i % 3] for i in range(900)]
+    docs = docs_of(spark, texts, source=source)
+    first = {r.doc_id: r for r in curriculum.mix(docs).collect()}
+    want = []
+    for r in first.values():
+        slope = dict(a=0.6, b=0.0, c=-0.6)[r.source]
+        if r.taken:
+            share = r.position + slope * (r.position**2 - r.position)
+            want.append((r.position, r.doc_id))
+            if r.taken > r["size"]:  # the middle of the second taking, a source size further on
+                y = share + (r.source_size + (r.taken - 2 * r["size"]) / 2) / r.target
+                t = y if not slope else (slope - 1 + ((1 - slope) ** 2 + 4 * slope * y) ** 0.5) / (2 * slope)
+                want.append((t, r.doc_id))
+    got = [r.doc_id for r in curriculum.replay(docs).collect()]
+    place = {}
+    for t, i in want:
+        place.setdefault(i, []).append(t)
+    seen, times = {}, []
+    for i in got:
+        times.append(sorted(place[i])[seen.get(i, 0)])
+        seen[i] = seen.get(i, 0) + 1
+    assert len(got) == len(want) and all(x <= y + 1e-9 for x, y in zip(times, times[1:]))
+    odd = spark.createDataFrame([(None if i % 3 else 7, f"text {i}", "en", "s", 6) for i in range(90)], DOC)
+    assert {r.text for r in curriculum.replay(odd, share=2.0).collect()} == {f"text {i}" for i in range(90)}
+
+
 def test_positions_follow_the_schedule(spark):
     s = spark.range(101).select((F.col("id") / 100).alias("y"))
     for slope in (-1.0, -0.6, 0.0, 0.6, 1.0):
