@@ -238,25 +238,15 @@ def find(docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE) ->
 
 
 def redact(docs: DataFrame, support: int = SUPPORT, disclose: float = DISCLOSE) -> DataFrame:
-    """The documents with each base entity replaced by its kind and each revealing term removed or generalised. Joins by doc_id and text hash, so repeated ids do no harm; spans depend on the text alone."""
-    hit = find(docs, support, disclose).where((F.size("spans") > 0) | F.col("terms").isNotNull())
-    hit = hit.select(F.col("doc_id").alias("__id"), "spans", "terms")
-    repeated = hit.groupBy("__id").count().where("count > 1")
-    once = hit.join(repeated, hit["__id"].eqNullSafe(repeated["__id"]), "left_anti")
-    joined = docs.join(once, docs["doc_id"].eqNullSafe(once["__id"]), "left").drop("__id").withColumn("__seen", F.lit(True))
+    """The documents with each base entity replaced by its kind and each revealing term removed or generalised. Spans depend on the text alone and each row's are found in its own text, so null and repeated ids do no harm."""
+    found = written(disclosures(written(scan(docs), "pii"), support, disclose), "terms")
     names = docs.columns
 
-    def run(batches):
-        for b in batches:
-            texts = []
-            for t, spans, terms in zip(*(b.column(c).to_pylist() for c in ("text", "spans", "terms")), strict=True):
-                # Ids that stand for several rows carry no spans here; their base entities are found again.
-                spans = [(s["start"], s["kind"], s["end"]) for s in spans] if spans is not None else base_spans(t or "")
-                texts.append(replace(t, spans, [(s["start"], s["end"], s["ratio"]) for s in terms or []]))
-            cols = [pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return joined.drop("__seen").mapInArrow(run, docs.schema)
+    def made(b, spans, terms):
+        texts = [replace(*x) for x in zip(b.column("text").to_pylist(), spans, terms, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in names], names)
+
+    return _marked(docs, found, docs.schema, made)
 
 
 def replace(text: str | None, spans: list[tuple[int, int, int]], terms: list[tuple[int, int, float]]) -> str | None:

@@ -275,6 +275,14 @@ def test_pii_terms_far_from_the_entity(spark, monkeypatch):
             assert terms == ({"a", "mail", "to", "signed", "Quux", "Li"} if i < 4 else {"Quux", "Li"} if i == 4 else set()), (i, terms)
 
 
+def test_pii_redact_tells_rows_of_one_id_apart(spark):
+    texts = [f"write to trudy@corp.example about zanzibar {'others ' * i}" for i in range(5)] + ["nothing of the kind stands in this other text"] + [f"write to about {i} others" for i in range(80)]
+    for same in (None, 4):
+        df = spark.createDataFrame([(same, t) for t in texts], "doc_id long, text string")
+        clean = [r.text for r in pii_info.redact(df).collect()]
+        assert sorted(clean) == sorted([f"write to <EMAIL> about  {'others ' * i}" for i in range(5)] + texts[5:])
+
+
 # 8: near duplicates
 
 
