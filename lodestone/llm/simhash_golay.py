@@ -16,8 +16,8 @@ that may differ, cut in four, one part is equal), as often as needed, so no task
 Components come from min-label propagation over the forest's edges, through tables in the shared folder.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero, linked like any other; rows
-of equal doc_id are fingerprinted each and share a component, as do rows of null doc_id, whose component_id is null only if nothing else links to
-them; an empty table gives no row. Columns other than doc_id and text are dropped.
+of equal or null doc_id are fingerprinted and linked each by its own text; component_id is null only if all rows of the component have a null
+doc_id, and components with one smallest doc_id have one component_id; an empty table gives no row. Columns other than doc_id and text are dropped.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.session import written
@@ -103,14 +103,18 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+    """doc_id, tie (MD5 of the text, empty for null), fp (the 64 bits as a signed long)."""
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tie"), pa.array(fps, pa.int64())], ["doc_id", "tie", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tie(docs).alias("tie"), "text").mapInArrow(run, "doc_id long, tie string, fp long")
+
+
+def _tie(docs: DataFrame) -> Column:
+    return F.coalesce(F.md5(docs["text"]), F.lit(""))
 
 
 #: By kind of key: the bits that are equal in a bucket. Kind 7 leaves all open.
@@ -281,21 +285,35 @@ def components(links: DataFrame) -> DataFrame:
     return roots.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def dedup(docs: DataFrame, bits: int = BITS, most: int = BUCKET) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable through links)."""
+def _rooted(docs: DataFrame, bits: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' doc_id, tie and fp; and of each distinct fingerprint, which is a node, fp, node (smallest doc_id) and root (smallest fingerprint reachable through links)."""
     fps = written(fingerprints(docs), "fingerprints")
-    # A distinct fingerprint's node is its smallest doc_id, so the smallest node of a component is its smallest doc_id.
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    roots = components(edges(nodes.where("node IS NOT NULL"), bits, most))
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    roots = components(edges(nodes.select(F.col("fp").alias("node"), "fp"), bits, most)).select(F.col("node").alias("fp"), "root")
+    return fps, nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def dedup(docs: DataFrame, bits: int = BITS, most: int = BUCKET) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable through links)."""
+    fps, nodes = _rooted(docs, bits, most)
+    named = nodes.join(nodes.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents that stay: the one with the smallest doc_id of each component (and, of rows that share it, the first by text)."""
-    first = dedup(docs, bits).where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """The documents that stay: of each component one row, that with the smallest doc_id (null last), then MD5 of the text, then columns as JSON."""
+    fps, nodes = _rooted(docs, bits, BUCKET)
+    rows = fps.groupBy("fp", "doc_id", "tie").agg(F.count("*").alias("n")).join(nodes.select("fp", "root"), "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "n")).alias("x"))
+    first = written(first.select(F.col("x.doc_id").alias("__id"), F.col("x.tie").alias("__tie"), "x.n"), "first")
+
+    def rows_of(these: DataFrame, how: str) -> DataFrame:
+        return docs.join(these, docs["doc_id"].cast("long").eqNullSafe(these["__id"]) & (_tie(docs) == these["__tie"]), how)
+
+    alone, several = first.where("n = 1"), first.where("n > 1").select("__id", "__tie")
+    kept = rows_of(alone, "left_semi")
+    if several.isEmpty():
         return kept
-    one = Window.partitionBy("doc_id").orderBy("text")
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    one = rows_of(several, "inner").groupBy("__id", "__tie").agg(F.min_by(row, F.to_json(row)).alias("__row"))
+    return kept.unionByName(one.select("__row.*"))

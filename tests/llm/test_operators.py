@@ -336,6 +336,19 @@ def test_simhash_equals_brute_force(spark):
     assert [r.component_id for r in simhash_golay.dedup(odd).collect()] == [5, 5, 5]
 
 
+def test_pipeline_keeps_documents_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    texts = [" ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(60)) for _ in range(30)]
+    ids = [None] * 10 + [5] * 10 + list(range(100, 110))
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)]
+    docs = spark.createDataFrame(rows + rows[:3] + rows[10:12], DOC)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r.text for r in kept.collect()) == sorted(texts)
+    assert {r.text for r in corpus_pipeline.mixture(spark, corpus_pipeline.personal_data(spark, kept, ""), "").collect()} == set(texts)
+
+
 def test_golay_keys_meet_for_three_errors():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 1 << 63, 3000).astype(np.uint64)
