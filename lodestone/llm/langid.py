@@ -3,30 +3,31 @@
 Texts are lower-cased, ASCII other than letters is made a space, and n-grams of 1 to 3 code points are hashed into ``BUCKETS``.
 Their counts c weigh log(1 + c) * idf, with unit length over the text. Inverse document frequencies cover every
 labelled document. The regression is trained by follow-the-regularised-leader (per-coordinate steps, L1 and L2 penalties) on a bounded
-sample: about ``TRAIN_PER_LANG`` documents of each language, chosen by hash of doc_id, of ``TRAIN_CHARS`` characters at most. A fifth of it
+sample: ``TRAIN_PER_LANG`` documents of each language, or fewer if the languages are so many that these are more than ``TRAIN_TOTAL``, chosen by
+hash of doc_id and text, whatever their length. The sample comes to the driver as n-gram counts, at most two numbers a bucket for a document. A fifth of it
 is left out of training and sets the temperature that the scores are divided by, at the least log loss.
 
-Defined results: a text that is null or has no letter gets ``und`` with score 0; with no labelled document at all, every
-text gets ``und``; rows with equal doc_id are judged each by its text. Extra columns pass through; a taken output name is an error.
+Defined results: a text that is null or has no letter (Unicode category L) gets ``und`` with score 0; with no labelled document at all, every
+text gets ``und``; more than ``MOST_LANGS`` languages are an error, since the model is a number for each bucket and language; rows with equal doc_id are
+judged each by its text, and copies of a row stand in the sample once. Extra columns pass through; a taken output name is an error.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKETS = 1 << 15
-TRAIN_PER_LANG, TRAIN_CHARS, EPOCHS = 800, 20_000, 3
+TRAIN_PER_LANG, TRAIN_TOTAL, MOST_LANGS, EPOCHS = 800, 40_000, 1_000, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _PLAIN = np.array([c if 97 <= c <= 122 else 32 for c in range(128)], np.uint64)
 
 
@@ -49,6 +50,11 @@ def counts(text: str) -> np.ndarray:
     return out
 
 
+def has_letter(text: str) -> bool:
+    """Any code point of the categories Lu, Ll, Lt, Lm or Lo, which is what ``isalpha`` tells."""
+    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(c.isalpha() for c in set(text))
+
+
 class Model:
     """Weights by bucket and language, and the temperature."""
 
@@ -56,21 +62,26 @@ class Model:
         self.langs, self.idf, self.weights, self.bias, self.temperature = langs, idf, weights, bias, temperature
 
     def logits(self, text: str) -> np.ndarray:
-        k, x = vector(text, self.idf)
+        k, x = vector(*_sparse(text), self.idf)
         return x @ self.weights[k] + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UNDETERMINED, 0.0
         p = softmax(self.logits(text) / self.temperature)
         best = int(p.argmax())
         return self.langs[best], float(p[best])
 
 
-def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _sparse(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that occur, and their counts."""
     c = counts(text)
     k = np.flatnonzero(c)
-    x = np.log1p(c[k]) * idf[k]
+    return k, c[k]
+
+
+def vector(k: np.ndarray, c: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    x = np.log1p(c) * idf[k]
     return k, x / (np.sqrt((x * x).sum()) or 1.0)
 
 
@@ -79,11 +90,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def train(samples: list[tuple[str, str]], idf: np.ndarray) -> Model:
-    """samples: (text, lang)."""
-    langs = sorted({lang for _, lang in samples})
+def train(samples: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray) -> Model:
+    """samples: (buckets, counts, lang)."""
+    langs = sorted({lang for *_, lang in samples})
     place = {lang: i for i, lang in enumerate(langs)}
-    rows = [(*vector(t, idf), place[lang]) for t, lang in samples]
+    rows = [(*vector(k, c, idf), place[lang]) for k, c, lang in samples]
     fit, held = [r for i, r in enumerate(rows) if i % 5], rows[::5]
     fit = fit or rows
     n_lang = len(langs)
@@ -147,11 +158,26 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     df, n = document_frequencies(known)
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    ticket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1 << 30))
-    chance = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1 << 30, int((1 << 30) * per_lang / c)))) for k, c in sizes.items()])
-    chosen = known.where((ticket <= chance) & (F.length("text") <= TRAIN_CHARS)).collect()
-    chosen.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.text, r.lang))
-    return train([(r.text, r.lang) for r in chosen], idf)
+    if len(sizes) > MOST_LANGS:
+        raise ValueError(f"{len(sizes)} languages are more than {MOST_LANGS}")
+    per_lang = max(1, min(per_lang, TRAIN_TOTAL // len(sizes)))
+    # The place of each text among the tickets of its language, without the texts; a task passes on no more than per_lang of a language.
+    ticket = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    tickets = known.select("lang", ticket.alias("ticket")).distinct()
+    tickets = tickets.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))).where(F.col("place") <= per_lang)
+    last = {r["lang"]: r["last"] for r in tickets.groupBy("lang").agg(F.max("ticket").alias("last")).collect()}
+    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(t)) for k, t in last.items()])
+    chosen = known.select("lang", ticket.alias("ticket"), "text").where(F.col("ticket") <= bound).dropDuplicates(["lang", "ticket"])
+
+    def counted(batches):
+        for b in batches:
+            got = [_sparse(t) for t in b.column("text").to_pylist()]
+            bytes_of = lambda i: pa.array([x[i].astype("<i4").tobytes() for x in got], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("ticket"), bytes_of(0), bytes_of(1)], ["lang", "ticket", "k", "c"])
+
+    rows = chosen.mapInArrow(counted, "lang string, ticket long, k binary, c binary").collect()
+    rows.sort(key=lambda r: (r.ticket, r.lang))
+    return train([(np.frombuffer(r.k, "<i4"), np.frombuffer(r.c, "<i4"), r.lang) for r in rows], idf)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -1,27 +1,40 @@
 """Main text of web pages by a site style tree.
 
-The DOMs of a host's pages are merged: a node of the tree is a chain of element names with their classes, ids and roles, from the root. Each
-page gives for each of its nodes the sequence of its children (presentation) and its own text (content). Over the distinct pages that have the
-node, the entropies of both, divided by the logarithm of their number, tell its importance:
-
-    content(E) = entropy of its texts        presentation(E) = entropy of its child sequences
-    importance(E) = max(content(E), presentation(E)), 1 for a node that only one distinct page has
-
-On a host of ``MIN_PAGES`` or more distinct pages importance decides. A branch that looks and reads the same all over the site has an
-importance near 0 and is removed from each page: under ``THRESHOLD``, if ``MIN_PAGES`` pages have it. Names only raise that bar: a branch whose
-element, role, class or id says it is page furniture is removed under ``DOUBTED``, whatever the number of its pages, and so is a block outside article and
-main elements where those remain. On a smaller host, which has no statistics, the names alone decide, and if article or main elements
-remain, only what they hold is kept. What the page itself hides (hidden, aria-hidden, display:none) is never text.
-The counts of a node are summed by (host, node, value) first, so the pages of a large host are never gathered.
-
-Defined results: null html, null url or a page of nothing but furniture gives an empty string or, for a null url, is judged as a host of its own; rows with
-equal ids are pages each; equal pages of a host count once in its tree; an empty table gives no row. Extra columns pass through.
+The DOMs of a host's pages are merged: a node of the tree is a chain of element names with their classes, ids and roles, from the root. Over the m
+distinct pages that have a node,
+
+    presentation(E) = entropy of its child sequences / log m
+    H(a)            = entropy of a feature's spread over those pages / log m; features are the words, links and images of E's own text
+    content(E)      = 1 - mean of H(a) over all features of E's branch, each as often as it occurs
+    share(E)        = sum of 1 - H(a) over E's branch / that over whole pages: E's part of what the site says
+    importance(E)   = 1 - (1 - presentation(E)) (1 - share(E))
+
+A feature that every page repeats has H = 1 and says nothing; one of a single page has H = 0. On a host of ``MIN_PAGES`` or more distinct
+pages the tree decides, from the root down, over the nodes that ``MIN_PAGES`` pages have:
+
+* a branch whose content is under ``STALE`` reads the same all over the site and is removed;
+* a node whose presentation is ``VARIED`` or more, and that isn't of low importance, holds what differs from page to page. Above such nodes, where the layout is the
+  template's, a branch whose importance is under ``THRESHOLD`` is removed: menus, adverts and footers, even where their words differ on
+  each page. A heading whose own content is ``OWN`` or more is a title and stays;
+* names add to it: a branch whose element, role, class or id says it is furniture (reader comments, say) is removed unless its share is ``HEAVY`` or
+  more, and so is a block outside article and main elements where those remain, but for a title.
+
+On a smaller host, which has no statistics, names alone decide, and if article or main elements remain, only what they hold is kept, with an
+h1 outside if there is none inside. What the page itself hides (hidden, aria-hidden, display:none) is never text.
+
+Counts are summed by (host, node, value) in each task before they are shuffled, so the pages of a large host are never gathered. Equal pages of a host count
+once: each weighs one over the number of its copies.
+
+Defined results: null html, empty html or a page of nothing but furniture gives an empty string; pages of null or unparsable url are those of one host;
+rows with equal ids are pages each; an empty table gives no row. Extra columns pass through; a column named text is an error.
 """
 
 from __future__ import annotations
 
 import html as _html
+import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -29,25 +42,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MIN_PAGES, THRESHOLD, DOUBTED = 8, 0.12, 0.5
+from lodestone.session import written
+
+MIN_PAGES, THRESHOLD, STALE, VARIED, OWN, HEAVY = 8, 0.1, 0.12, 0.2, 0.5, 0.5
 #: Node of the whole page, in the tree only: its pages are the distinct pages of the host.
 WHOLE = 0
-#: Removed and doubted branches, and large hosts, that are sent to every task; with more, pages are joined with those of their host.
+#: What the tree says of a node, as bits of one number.
+IS_STALE, IS_LOW, IS_VARIED, IS_OWN, IS_HEAVY = 1, 2, 4, 8, 16
+#: Judged nodes that are sent to every task; with more, pages are joined with those of their host.
 BROADCAST_RULES = 200_000
+#: Copied pages that are sent to every task; with more, pages are joined with their number of copies.
+BROADCAST_COPIES = 200_000
+#: Features, and child sequences, counted in a task before their counts are passed on.
+HELD = 300_000
 
 # HTML's own vocabulary.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe object svg math canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas annotation annotation-xml".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 CLOSES_P = BLOCK - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 OWN_CLOSE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol table dl body article section div".split())
 FURNITURE = frozenset("nav aside footer form button select menu dialog head fieldset label input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar toolbar dialog alert alertdialog form".split())
-# Words that name furniture in classes and ids, whole words between hyphens, underscores, digits or humps.
+# Words that name furniture in classes and ids. In a name of several words the last one counts, but for those that say nothing.
 NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent disqus
 footer foot gdpr header masthead menu menus modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination popup promo promos promotion recommend recommended related replies reply respond share sharing
 shares sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription tagcloud tags toolbar topbar trending widget widgets login search disclaimer paywall responses discussion reviews""".split())
+EMPTY_NAMES = frozenset("area bar block box btn button buttons col container content form group holder icons inner items left links list module outer panel right row section slot top bottom wrap wrapper unit zone".split())
 MAIN_NAMES = frozenset("article main content post entry story".split())
 
 _TAG = re.compile(
@@ -55,23 +77,33 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
+_LINK = re.compile(r"\b(?:href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 def _named(value: str) -> set[str]:
-    return {w.lower() for w in _HUMP.findall(value)}
+    """The word that says what a thing is, of each name in a class or id."""
+    out = set()
+    for name in value.split():
+        words = [w.lower() for w in _HUMP.findall(name)]
+        while len(words) > 1 and words[-1] in EMPTY_NAMES:
+            words.pop()
+        out.update(words[-1:])
+    return out
 
 
 class Page:
     """A page as text blocks, each with the chain of nodes it stands in; and for each node its child sequence and texts."""
 
-    __slots__ = ("nodes", "blocks", "seen")
+    __slots__ = ("nodes", "blocks", "links")
 
     def __init__(self, source: str):
-        #: node: (parent, chain hash, furniture by its own name, main, children, hidden by itself)
+        #: node: (parent, chain hash, furniture by its own name, main, children, hidden by itself, element name)
         self.nodes: list[list] = []
         self.blocks: list[tuple[int, str]] = []
+        #: (node, address) of links and images
+        self.links: list[tuple[int, str]] = []
         self._read(source)
 
     def _read(self, source: str) -> None:
@@ -108,7 +140,7 @@ class Page:
                 parts.append(" ")
                 continue
             if name in RAW and not close:
-                if m[0].endswith("/>") and name in ("svg", "math", "object"):
+                if m[0].endswith("/>") and name == "svg":
                     continue
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else size
@@ -123,6 +155,10 @@ class Page:
             if name not in BLOCK and name not in FURNITURE:
                 if not m[3] and not m[6]:
                     continue
+                if name in ("a", "img"):
+                    if at_ := _LINK.search(m[3] or m[6]):
+                        self.links.append((here, at_[1] or at_[2] or at_[3] or ""))
+                    continue
             attrs = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(m[3] or m[6] or "")} if (m[3] or m[6]) else {}
             if name not in BLOCK and name not in FURNITURE:
                 if not ("hidden" in attrs and name == "span"):
@@ -157,41 +193,61 @@ class Page:
                 bad = not (words & MAIN_NAMES and not words & {"comment", "comments", "reply", "replies", "sidebar", "nav", "menu", "footer", "ad", "ads", "related"})
                 if inside and words <= {"header", "article", "post", "entry", "main", "content"}:
                     bad = False
-            nodes.append([here, chain, bad, inside or name in ("article", "main") or attrs.get("role", "").lower() == "main", [], hidden])
+            nodes.append([here, chain, bad, inside or name in ("article", "main") or attrs.get("role", "").lower() == "main", [], hidden, name])
             if up:
                 up[4].append(name)
             here = len(nodes) - 1
             stack.append((name, here))
         flush()
 
-    def signatures(self) -> list[tuple[int, int]]:
-        """(node chain, value) of content and presentation; a chain that occurs more than once in the page gives one value of all its places."""
-        text: dict[int, object] = {}
-        for k, t in self.blocks:
-            while k >= 0:
-                node = self.nodes[k]
-                text.setdefault(node[1], xxhash.xxh64()).update(t + "\n")
-                k = node[0]
+    def looks(self) -> dict[int, int]:
+        """Child sequences of each chain, hashed; a chain that occurs more than once in the page gives one value of all its places."""
         look: dict[int, list] = {}
         for n in self.nodes:
             look.setdefault(n[1], []).append(tuple(n[4]))
-        return [(chain, text[chain].intdigest() if chain in text else 0, xxhash.xxh64_intdigest(repr(shapes))) for chain, shapes in look.items()]
-
-    def text(self, judged: tuple[set, set] | None) -> str:
-        """judged: the nodes to remove and those to remove if in doubt, of a host with statistics."""
-        nodes, keep = self.nodes, []
-        removed, doubted = judged or ((), ())
-        for k, t in self.blocks:
-            j, ok = k, True
-            while ok and j >= 0:
-                up, chain, named, _, _, hidden = nodes[j]
-                ok = not (hidden or chain in removed or named and (judged is None or chain in doubted))
-                j = up
-            if ok:
-                keep.append((k >= 0 and nodes[k][3], t, k))
-        if any(main for main, _, _ in keep):
-            keep = [x for x in keep if x[0] or judged is not None and (x[2] < 0 or nodes[x[2]][1] not in doubted)]
-        return "\n\n".join(t for _, t, _ in keep)
+        return {chain: xxhash.xxh64_intdigest(repr(shapes)) for chain, shapes in look.items()}
+
+    def features(self) -> dict[int, Counter]:
+        """Words, links and images of each chain's own text, but for what is hidden, and how often they occur in the page."""
+        found: dict[int, list] = {}
+        hidden: list[bool] = []
+        for n in self.nodes:
+            hidden.append(n[5] or n[0] >= 0 and hidden[n[0]])
+        for k, some in (*((k, t.lower().split()) for k, t in self.blocks), *((k, [f"\0{address}"]) for k, address in self.links)):
+            if k < 0 or not hidden[k]:
+                found.setdefault(self.nodes[k][1] if k >= 0 else WHOLE, []).extend(some)
+        return {chain: Counter(words) for chain, words in found.items()}
+
+    def paths(self) -> dict[int, list[int]]:
+        """The chains above each chain, from its parent to the whole page."""
+        out: dict[int, list[int]] = {WHOLE: []}
+        for n in self.nodes:
+            if n[1] not in out:
+                up = self.nodes[n[0]][1] if n[0] >= 0 else WHOLE
+                out[n[1]] = [up, *out[up]]
+        return out
+
+    def text(self, judged: dict[int, int] | None) -> str:
+        """judged: what the tree of a host with statistics says of its nodes."""
+        nodes, state = self.nodes, []
+        for up, chain, named, _, _, hidden, name in nodes:
+            kept, varied = state[up] if up >= 0 else (True, False)
+            says = judged.get(chain, 0) if judged is not None else 0
+            title = says & IS_OWN and len(name) == 2 and name[0] == "h"
+            gone = hidden or says & IS_STALE or named and not says & IS_HEAVY or not varied and says & IS_LOW and not title
+            state.append((kept and not gone, varied or bool(says & IS_VARIED)))
+        keep = [(k, t) for k, t in self.blocks if k < 0 or state[k][0]]
+        if any(k >= 0 and nodes[k][3] for k, _ in keep):
+            headed = any(k >= 0 and nodes[k][3] and nodes[k][6] == "h1" for k, _ in keep)
+
+            def stays(k: int) -> bool:
+                if k < 0 or nodes[k][3]:
+                    return k >= 0
+                says = judged.get(nodes[k][1], 0) if judged is not None else IS_OWN
+                return bool(says & IS_HEAVY) or nodes[k][6] == "h1" and not headed and bool(says & IS_OWN)
+
+            keep = [x for x in keep if stays(x[0])]
+        return "\n\n".join(t for _, t in keep)
 
 
 def _signed(h: int) -> int:
@@ -202,91 +258,132 @@ def host(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
+_TALLY = "kind int, key long, value long, n double, s double, host string, node long, path array<long>"
+
+
 def tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, importance) of the site style trees of all hosts."""
-    schema = pa.schema([("host", pa.string()), ("node", pa.int64()), ("content", pa.int64()), ("look", pa.int64()), ("page", pa.int64())])
+    """(host, node, pages, presentation, content, share, importance) of the site style trees of all hosts."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.int64()), ("n", pa.float64()), ("s", pa.float64()), ("host", pa.string()), ("node", pa.int64()), ("path", pa.list_(pa.int64()))])
+    page = F.xxhash64("html")
+    rows = pages.select(host(F.col("url")).alias("host"), "html").where("html <> ''").withColumn("page", page)
+    copied = rows.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1")
+    copied = written(copied, "copies")
+    few = copied.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
+    rows = rows.join(F.broadcast(copied) if few else copied, ["host", "page"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def run(batches):
+        # (kind, key, value): [sum of weights, sum of weighted c log c]; kind 0 are child sequences, kind 1 features.
+        held: dict[tuple, list[float]] = {}
+        nodes: dict[tuple[str, int], int] = {}
+
+        def counted():
+            k, v = list(held), list(held.values())
+            value = [_signed(x if q == 0 else xxhash.xxh64_intdigest(x)) for q, _, x in k]
+            parts = [pa.array([x[0] for x in k], pa.int32()), pa.array([x[1] for x in k], pa.int64()), pa.array(value, pa.int64()), pa.array([x[0] for x in v], pa.float64()), pa.array([x[1] for x in v], pa.float64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*parts, *(pa.nulls(len(k), f.type) for f in list(schema)[5:])], schema=schema)
+
+        def add(kind, key, value, n, s):
+            cell = held.get((kind, key, value))
+            if cell is None:
+                held[kind, key, value] = [n, s]
+            else:
+                cell[0] += n
+                cell[1] += s
+
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                s = b.slice(k, 256)
-                rows = {n: [] for n in schema.names}
-                for h, source in zip(s.column("host").to_pylist(), s.column("html").to_pylist(), strict=True):
-                    page = _signed(xxhash.xxh64_intdigest(source or ""))
-                    whole = [(WHOLE, page % (1 << 64), 0)] if source else []
-                    for chain, content, look in whole + Page(source or "").signatures():
-                        for name, v in zip(schema.names, (h, _signed(chain), _signed(content), _signed(look), page), strict=True):
-                            rows[name].append(v)
-                yield pa.RecordBatch.from_pydict(rows, schema)
-
-    seen = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, node long, content long, look long, page long").distinct()
-    n_log_n = lambda n: F.sum(F.col(n) * F.log(F.col(n)))
-    values = seen.select("host", "node", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("look").alias("value")))).alias("v")).select("host", "node", "v.*")
-    each = values.groupBy("host", "node", "kind", "value").agg(F.count("*").alias("n"))
-    kinds = each.groupBy("host", "node", "kind").agg(F.sum("n").alias("pages"), n_log_n("n").alias("s"))
-    entropy = F.when(F.col("pages") < 2, F.lit(1.0)).otherwise(1 - F.col("s") / F.col("pages") / F.log("pages"))
-    return kinds.groupBy("host", "node").agg(F.max("pages").alias("pages"), F.max(entropy).alias("importance"))
-
-
-def _judge(sets: tuple[set, set], node: int, gone: bool) -> None:
-    if node != WHOLE:
-        sets[1].add(node % (1 << 64))
-        if gone:
-            sets[0].add(node % (1 << 64))
-
-
-def _judged(rules: list | None) -> tuple[set, set] | None:
-    if rules is None:
-        return None
-    sets = (set(), set())
-    for r in rules:
-        _judge(sets, r["node"], r["gone"])
-    return sets
+            for h, source, copies in zip(*(b.column(c).to_pylist() for c in ("host", "html", "copies")), strict=True):
+                p, weight, new = Page(source), 1.0 / copies, []
+                paths = p.paths()
+                for chain in paths:
+                    if (h, chain) not in nodes:
+                        nodes[h, chain] = _signed(xxhash.xxh64_intdigest(h, chain))
+                        new.append({"kind": 2, "key": nodes[h, chain], "host": h, "node": _signed(chain), "path": [_signed(x) for x in paths[chain]]})
+                looks = p.looks()
+                looks[WHOLE] = 0
+                for chain, look in looks.items():
+                    add(0, nodes[h, chain], look, weight, 0.0)
+                for chain, words in p.features().items():
+                    key = nodes[h, chain]
+                    for w, c in words.items():
+                        add(1, key, w, weight * c, weight * c * math.log(c) if c > 1 else 0.0)
+                if new:
+                    yield pa.RecordBatch.from_pylist(new, schema)
+                if len(held) > HELD:
+                    yield counted()
+                if len(nodes) > HELD:
+                    nodes.clear()
+        if held:
+            yield counted()
+
+    tally = written(rows.mapInArrow(run, _TALLY), "tally")
+    n_log_n = F.when(F.col("n") > 0, F.col("n") * F.log("n")).otherwise(0.0)
+    each = tally.where("kind < 2").groupBy("kind", "key", "value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    is_look = F.col("kind") == 0
+    sums = each.groupBy("key").agg(
+        F.sum(F.when(is_look, F.col("n")).otherwise(0.0)).alias("pages"), F.sum(F.when(is_look, n_log_n).otherwise(0.0)).alias("looks"),
+        F.sum(F.when(~is_look, F.col("n")).otherwise(0.0)).alias("total"), F.sum(F.when(~is_look, n_log_n - F.col("s")).otherwise(0.0)).alias("spread"),
+    )
+    log_m = F.log("pages")
+    many = F.col("pages") > 1.5
+    sums = sums.select("key", F.round("pages").cast("long").alias("pages"), F.when(many, 1 - F.col("looks") / F.col("pages") / log_m).otherwise(1.0).alias("presentation"), "total", (F.col("total") - F.when(many, F.col("spread") / log_m).otherwise(0.0)).alias("says"))
+    nodes = tally.where("kind = 2").select("host", "node", "path", "key").dropDuplicates(["key"])
+    own = written(nodes.join(sums, "key"), "nodes")
+    branch = own.select("host", F.explode(F.concat(F.array("node"), "path")).alias("node"), "total", "says").groupBy("host", "node").agg(F.sum("total").alias("total"), F.sum("says").alias("says"))
+    whole = branch.where(F.col("node") == WHOLE).select("host", F.col("says").alias("all_says"))
+    out = own.select("host", "node", "pages", "presentation").join(branch, ["host", "node"]).join(whole, "host")
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    out = out.select("host", "node", "pages", "presentation", ratio("says", "total").alias("content"), ratio("says", "all_says").alias("share"))
+    return out.withColumn("importance", 1 - (1 - F.col("presentation")) * (1 - F.col("share")))
+
+
+def judge(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(host, node, says) of the nodes that MIN_PAGES pages have, on hosts with as many; a host's row for the whole page marks it as such."""
+    known = nodes.where(F.col("pages") >= MIN_PAGES)
+    bit = lambda test, value: F.when(test, F.lit(value)).otherwise(0)
+    low = F.col("importance") < threshold
+    says = bit(F.col("content") < STALE, IS_STALE) + bit(low, IS_LOW) + bit(~low & (F.col("presentation") >= VARIED), IS_VARIED) + bit(F.col("content") >= OWN, IS_OWN) + bit(F.col("share") >= HEAVY, IS_HEAVY)
+    # A branch without any feature says nothing, and there is nothing to remove of it.
+    return known.select("host", "node", F.when(F.col("node") == WHOLE, F.lit(0)).otherwise(says).alias("says"))
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Adds text: the main text of each page's whole html, blocks joined by two line ends."""
     if "text" in {c.lower() for c in pages.columns}:
         raise ValueError("the input has a column 'text' already")
-    from lodestone.session import written
-
     spark = pages.sparkSession
-    # A row for each large host itself, and one for each of its nodes that is removed, or removed if in doubt.
-    doubt = max(threshold, DOUBTED)
-    judged = written(tree(pages).where(((F.col("node") == WHOLE) & (F.col("pages") >= MIN_PAGES)) | (F.col("importance") < doubt)), "style")
-    gone = (F.col("importance") < threshold) & (F.col("pages") >= MIN_PAGES)
-    rules = judged.join(judged.where(F.col("node") == WHOLE).select("host"), "host", "left_semi").select("host", "node", gone.alias("gone"))
+    rules = written(judge(tree(pages), threshold), "style")
     few = rules.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    names = pages.columns
+    names, spare = pages.columns, "__host"
+    while spare in names:
+        spare += "_"
     out = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
 
     def texts(b, judged_of):
         for k in range(0, b.num_rows, 256):
             s = b.slice(k, 256)
-            got = [Page(h).text(judged_of(s, i)) if h else "" for i, h in enumerate(s.column("html").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(s.column(c) for c in names), pa.array(got, pa.string())], [*names, "text"])
+            got = [Page(h).text(judged_of(k + i)) if h else "" for i, h in enumerate(s.column("html").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(s.column(i) for i in range(len(names))), pa.array(got, pa.string())], [*names, "text"])
 
     if few:
-        by_host: dict[str, tuple[set[int], set[int]]] = {}
+        by_host: dict[str, dict[int, int]] = {}
         for r in rules.toLocalIterator():
-            _judge(by_host.setdefault(r.host, (set(), set())), r.node, r.gone)
+            by_host.setdefault(r.host, {})[r.node % (1 << 64)] = r.says
         shared = spark.sparkContext.broadcast(by_host)
 
         def run(batches):
             for b in batches:
-                hosts = b.column("__host").to_pylist()
-                for k in range(0, b.num_rows, 256):
-                    yield from texts(b.slice(k, 256), lambda s, i, k=k, hosts=hosts: shared.value.get(hosts[k + i]))
+                hosts = b.column(len(names)).to_pylist()
+                yield from texts(b, lambda i, hosts=hosts: shared.value.get(hosts[i]))
 
-        return pages.withColumn("__host", host(F.col("url"))).mapInArrow(run, out)
-    # A host's rules are as many as its templates have removed or doubted branches; AQE splits a large host's pages.
-    lists = rules.groupBy("host").agg(F.collect_list(F.struct("node", "gone")).alias("__rules")).withColumnRenamed("host", "__host")
-    joined = pages.withColumn("__host", host(F.col("url"))).join(lists, "__host", "left")
+        return pages.select("*", host(F.col("url")).alias(spare)).mapInArrow(run, out)
+    # A host's rules are as many as its templates have nodes; AQE splits a large host's pages.
+    lists = rules.groupBy(F.col("host").alias(spare)).agg(F.collect_list(F.struct("node", "says")).alias(f"{spare}_rules"))
+    joined = pages.select("*", host(F.col("url")).alias(spare)).join(lists, spare, "left").select(*names, f"{spare}_rules")
 
     def run_joined(batches):
         for b in batches:
-            rules_of = b.column("__rules").to_pylist()
-            for k in range(0, b.num_rows, 256):
-                yield from texts(b.slice(k, 256), lambda s, i, k=k, r=rules_of: _judged(r[k + i]))
+            of = [None if r is None else {x["node"] % (1 << 64): x["says"] for x in r} for r in b.column(len(names)).to_pylist()]
+            yield from texts(b, lambda i, of=of: of[i])
 
     return joined.mapInArrow(run_joined, out)

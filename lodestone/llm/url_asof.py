@@ -6,12 +6,13 @@ host's parent domains (kind ``domain``), and its URL's path prefixes (kind ``pre
 with the fetch time inside the interval. The capture is blocked if a block entry was active, unless an allow entry of
 the same or a longer pattern was active as well.
 
-The captures' keys are joined without their other columns; the interval table is broadcast only by Spark's own size check, and AQE splits
-what a hot host makes uneven. Path prefixes and parent domains tried for a URL follow its own length.
+A verdict depends on the URL and the day of the fetch alone, so each distinct pair is judged once and joined back to its captures, which keep their rows
+whatever their ids. The interval table is broadcast only by Spark's own size check, and AQE splits what a hot URL or host makes
+uneven. Path prefixes and parent domains tried for a URL follow its own length; domains of fewer labels than any list entry has aren't tried.
 
 Defined results: a null or unparsable URL or a null fetch time matches nothing and is kept; of entries of equal date for one list and pattern a
 removal counts last; a repeated addition only renews; entries with a null pattern or date are ignored; captures repeated in the table
-are judged each; an empty list blocks nothing. Columns of captures pass through, but for the taken names blocked, list_name, pattern, since.
+are judged each; an empty list blocks nothing. Columns of captures pass through; a column named blocked, list_name, pattern or since is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.site_style import host
+from lodestone.session import written
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -45,13 +47,18 @@ def patterns(url: Column) -> Column:
     return F.when(h != "", F.array_distinct(F.concat(domains, dirs)))
 
 
-def judge(captures: DataFrame, entries: DataFrame, id_col: str, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
-    """Adds blocked, list_name, pattern, since: the deciding entry, longest pattern first, allow over block, then list and date. id_col must be unique."""
-    spans = intervals(entries)
-    keys = captures.select(F.col(id_col).alias("__id"), F.to_date(time_col).alias("__day"), F.explode(patterns(F.col(url_col))).alias("p")).select("__id", "__day", "p.kind", "p.pattern")
+def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched") -> DataFrame:
+    """Adds blocked, list_name, pattern, since: the deciding entry, longest pattern first, allow over block, then list and date."""
+    if taken := {"blocked", "list_name", "pattern", "since"} & {c.lower() for c in captures.columns}:
+        raise ValueError(f"the input has columns {sorted(taken)} already")
+    spans = written(intervals(entries), "intervals")
+    labels = spans.where("kind = 'domain'").agg(F.min(F.size(F.split("pattern", r"\."))).alias("n")).first()["n"] or 0
+    asked = captures.select(F.col(url_col).alias("__url"), F.to_date(time_col).alias("__day")).where("__url IS NOT NULL AND __day IS NOT NULL").distinct()
+    tried = F.filter(patterns(F.col("__url")), lambda p: (p["kind"] != "domain") | (F.size(F.split(p["pattern"], r"\.")) >= labels))
+    keys = asked.select("__url", "__day", F.explode(tried).alias("p")).select("__url", "__day", "p.kind", "p.pattern")
     active = keys.join(spans, ["kind", "pattern"]).where((F.col("since") <= F.col("__day")) & (F.col("until").isNull() | (F.col("__day") < F.col("until"))))
     rank = F.struct(F.length("pattern").alias("size"), (F.col("action") == "allow").alias("allow"), F.col("list_name"), F.col("since"), F.col("pattern"))
-    best = active.groupBy("__id").agg(F.max(rank).alias("best"))
-    named = best.select("__id", (~F.col("best.allow")).alias("blocked"), F.col("best.list_name").alias("list_name"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
-    out = captures.join(named, captures[id_col] == named["__id"], "left").drop("__id")
+    best = active.groupBy("__url", "__day").agg(F.max(rank).alias("best"))
+    named = best.select("__url", "__day", (~F.col("best.allow")).alias("blocked"), F.col("best.list_name").alias("list_name"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
+    out = captures.join(named, (captures[url_col] == named["__url"]) & (F.to_date(captures[time_col]) == named["__day"]), "left").drop("__url", "__day")
     return out.withColumn("blocked", F.coalesce("blocked", F.lit(False)))

@@ -6,22 +6,27 @@ k-th best so far divided by ``relax``: the triangle inequality at 1, which makes
 and may miss some. Distances are compared as squares, 2 - 2 x.q, whose rounding is the same near and far, with a bound on it (``rounding``) to spare;
 near zero that is far more of the distance itself. Queries travel through a tree in blocks, so that every step works on arrays.
 
-Shards are dealt by hash of the id and hold about ``shard_rows`` vectors; every block of queries visits every shard, and each query
-keeps its k best of all shards. Scores are computed anew on the original vectors, in double precision, in one order of
-summation, so equal vectors score equally; ties go to the smaller id.
+The upper levels are one tree for all: it is fitted on ``SAMPLE`` vectors, deals every vector to a cell, and its shells are measured over all
+vectors of each cell. A query has k neighbours at most as far as its k nearest of the sample, so it travels only to the cells that the triangle
+inequality leaves for that distance. Cells hold about ``SHARD_BYTES`` of vectors, and larger ones are cut into shards by hash. Vectors
+of different lengths have no cosine, so each length has cells of its own. Scores are computed anew on the original vectors, in double
+precision, in one order of summation, so equal vectors score equally; ties go to the smaller id, null ids last.
 
-Defined results: null or zero vectors, and those with null or non-finite components or of another length than the most common one,
-take no part; with fewer than k candidates all are returned; of rows with equal ids the one with the smallest vector counts; an empty table gives no row.
+Defined results: null, empty or zero vectors, and those with null or non-finite components, take no part; with fewer than k candidates all
+are returned; each row is a query or candidate of its own, whether or not others have its id or vector, and is no candidate for itself; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD_ROWS, QUERY_BLOCK, LEAF = 8_192, 512, 128
+from lodestone.session import written
+
+SHARD_BYTES, LEAST_SHARD, MOST_CELLS, SAMPLE, QUERY_BLOCK, LEAF = 32 << 20, 4_096, 1_024, 2_048, 512, 128
 
 
 def rounding(dims: int) -> float:
@@ -88,60 +93,205 @@ class Tree:
                         self._visit(child, active[side][go])
 
 
-def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+class Cells:
+    """The upper levels: a vantage point and a median for each inner node, in heap order; a cell is a path through them."""
+
+    def __init__(self, sample: np.ndarray, levels: int):
+        self.levels, inner = levels, (1 << levels) - 1
+        self.vantage, self.median = np.zeros((inner, sample.shape[1])), np.zeros(inner)
+        rows = {0: np.arange(len(sample))}
+        for node in range(inner):
+            here = rows.pop(node)
+            x = sample[here] if len(here) else sample
+            self.vantage[node] = x[np.argmin(x @ x[0])]
+            d = self.far(x, self.vantage[node : node + 1])[:, 0]
+            self.median[node] = np.median(d)
+            if len(here):
+                rows[2 * node + 1], rows[2 * node + 2] = here[d <= self.median[node]], here[d > self.median[node]]
+            else:
+                rows[2 * node + 1] = rows[2 * node + 2] = here
+
+    @staticmethod
+    def far(x: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, 2 - 2 * (x @ v.T)))
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each row, and its distances to the vantage points on the way."""
+        node, out = np.zeros(len(x), np.int64), np.zeros((len(x), self.levels))
+        for level in range(self.levels):
+            out[:, level] = np.sqrt(np.maximum(0, 2 - 2 * (x * self.vantage[node]).sum(axis=1)))
+            node = 2 * node + 1 + (out[:, level] > self.median[node])
+        return node - len(self.median), out
+
+    def nearest(self, q: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least distance that each query can have to each of the cells, by their shells."""
+        gap = np.zeros((len(q), len(cells)))
+        d, node = self.far(q, self.vantage) if self.levels else None, cells + len(self.median)
+        for level in range(self.levels - 1, -1, -1):
+            node = (node - 1) // 2
+            gap = np.maximum(gap, np.maximum(low[:, level] - d[:, node], d[:, node] - high[:, level]))
+        return gap
+
+
+def _valid(vectors: DataFrame, asked: Column, id_col: str, vec_col: str) -> DataFrame:
     v = F.col("v")
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.coalesce(asked, F.lit(False)).alias("asked"), F.col(vec_col).alias("v"))
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return rows.where(F.col("id").isNotNull() & F.coalesce(v.isNotNull() & good, F.lit(False)))
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, relax: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, ``id_col``, score: the k nearest vectors of each query other than itself. queries has the columns of vectors."""
-    rows = _valid(vectors, id_col, vec_col)
-    top = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    size, n = (top[0], top[1]) if top else (1, 0)
-    shards = max(1, -(-n // shard_rows))
-    right = F.size("v") == size
-    data = rows.where(right).select(F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), F.array("id").alias("ids"), F.col("v").alias("flat"))
-    asked = _valid(queries, id_col, vec_col).where(right).groupBy("id").agg(F.min("v").alias("v"))
-    # Blocks of queries, one row each; every shard gets each block.
-    blocks = asked.withColumn("block", F.pmod(F.xxhash64(F.col("id"), F.lit(7)), F.lit(asked.count() // QUERY_BLOCK + 1)).cast("int"))
-    blocks = blocks.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("q"))
-    blocks = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), F.col("q.id").alias("ids"), F.flatten("q.v").alias("flat"))
+    return rows.where(F.coalesce(v.isNotNull() & good, F.lit(False)))
+
+
+def _matrix(column) -> np.ndarray:
+    """The vectors of an Arrow list column, all of one length, in double precision."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norm = np.sqrt((x * x).sum(axis=1))
+    extreme = ~((norm > 1e-140) & (norm < 1e140))
+    if extreme.any():  # squares overflow or vanish
+        most = np.abs(x).max(axis=1, keepdims=True)
+        unit = x / most
+        length = np.sqrt((unit * unit).sum(axis=1))
+        return unit / length[:, None], np.where(extreme, length * most[:, 0], norm)
+    return x / norm[:, None], norm
+
+
+def _scores(x: np.ndarray, norm: np.ndarray, q: np.ndarray, q_norm: float) -> np.ndarray:
+    """Cosines of the rows of x with q."""
+    if q_norm < 1e-140 or q_norm > 1e140 or ((norm < 1e-140) | (norm > 1e140)).any():
+        return ((x / norm[:, None]) * (q / q_norm)).sum(axis=1)
+    return (x * q).sum(axis=1) / (norm * q_norm)
+
+
+def _by_length(batch: pa.RecordBatch, most: int = 4_096):
+    """Parts of a batch whose vectors have one length."""
+    sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        of = batch if (sizes == size).all() else batch.take(pa.array(np.flatnonzero(sizes == size)))
+        for k in range(0, of.num_rows, most):
+            yield int(size), of.slice(k, most)
+
+
+def search(vectors: DataFrame, asked: Column | str, k: int = 5, relax: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """query_id, rank, ``id_col``, score: the k nearest rows of each row that ``asked`` (a condition on the rows) holds for."""
+    asked = F.expr(asked) if isinstance(asked, str) else asked
+    spark = vectors.sparkSession
+    rows = _valid(vectors, asked, id_col, vec_col).withColumn("size", F.size("v"))
+    counts = {r["size"]: r["count"] for r in rows.groupBy("size").count().collect()}  # one row per length of vectors
+    kind = vectors.schema[vec_col].dataType.simpleString()
+    first = Window.partitionBy("size").orderBy(F.xxhash64("id", "v"), "id")
+    sample: dict[int, np.ndarray] = {}
+    for r in rows.select("id", "size", "v").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE).select("size", "v").collect():
+        sample.setdefault(r["size"], []).append(r["v"])
+    sample = {size: _units(np.array(x, np.float64))[0] for size, x in sample.items()}
+    cores = spark.sparkContext.defaultParallelism
+    # Rows of a shard by memory; a small table is cut further, to keep all cores busy.
+    most = {size: max(1, min(shard_bytes // (8 * size), max(LEAST_SHARD, -(-n // (2 * cores))))) for size, n in counts.items()}
+    cells = {size: Cells(sample[size], int(np.log2(max(1, min(MOST_CELLS, len(sample[size]) // 2, n // most[size]))))) for size, n in counts.items()}
+    fitted = spark.sparkContext.broadcast((cells, sample))
+
+    def place(batches):
+        grids = fitted.value[0]
+        for b in batches:
+            for size, part in _by_length(b):
+                cell, d = grids[size].place(_units(_matrix(part.column("v")))[0])
+                way = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * d.shape[1], pa.int32()), pa.array(d.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rid", "id", "asked", "size", "v")), pa.array(cell), way], ["rid", "id", "asked", "size", "v", "cell", "way"])
+
+    numbered = rows.withColumn("rid", F.monotonically_increasing_id())
+    placed = written(numbered.mapInArrow(place, f"rid long, id long, asked boolean, size int, v {kind}, cell long, way array<double>"), "cells")
+    deep = max((c.levels for c in cells.values()), default=0)
+    way = lambda i: F.get("way", F.lit(i))
+    shells = placed.groupBy("size", "cell").agg(F.count("*").alias("n"), *[f(way(i)).alias(f"{name}{i}") for i in range(deep) for name, f in (("low", F.min), ("high", F.max))])
+    # One row per cell: at most MOST_CELLS for each length.
+    grid, at = {}, 0
+    for r in shells.orderBy("size", "cell").collect():
+        parts = max(1, -(-r["n"] // most[r["size"]]))
+        levels = range(cells[r["size"]].levels)
+        grid.setdefault(r["size"], []).append((r["cell"], at, parts, [r[f"low{i}"] for i in levels], [r[f"high{i}"] for i in levels]))
+        at += parts
+    shards = max(1, at)
+    places = {size: tuple(np.array(x, float if i > 2 else np.int64).reshape(len(g), -1) if i > 2 else np.array(x, np.int64) for i, x in enumerate(zip(*g, strict=True))) for size, g in grid.items()}
+    dealt_to = spark.sparkContext.broadcast(places)
+
+    def deal(batches):
+        grids, near = fitted.value
+        for b in batches:
+            for size, part in _by_length(b, QUERY_BLOCK):
+                cell, begin, parts, low, high = dealt_to.value[size]
+                x, _ = _units(_matrix(part.column("v")))
+                rid, is_asked = part.column("rid").to_numpy(), part.column("asked").to_numpy(zero_copy_only=False)
+                own = np.searchsorted(cell, part.column("cell").to_numpy())
+                mixed = (rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                row, shard, kind_of = [np.arange(len(x))], [begin[own] + (mixed % parts[own].astype(np.uint64)).astype(np.int64)], [np.zeros(len(x), np.int32)]
+                q = np.flatnonzero(is_asked)
+                if len(q):
+                    off = rounding(size)
+                    d = np.maximum(0, 2 - 2 * (x[q] @ near[size].T))
+                    # One more than k, since the query itself may be in the sample.
+                    bound = np.sqrt(np.partition(d, k, axis=1)[:, k] + off) if d.shape[1] > k else np.full(len(q), np.inf)
+                    i, j = np.nonzero(grids[size].nearest(x[q], cell, low, high) <= (bound / relax + 2 * np.sqrt(off))[:, None])
+                    times = parts[j]
+                    one = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    row.append(np.repeat(q[i], times))
+                    shard.append(np.repeat(begin[j], times) + one)
+                    kind_of.append(np.ones(len(one), np.int32))
+                sent = part.take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), pa.array(np.concatenate(kind_of)), *(sent.column(c) for c in ("rid", "id", "v"))], ["shard", "kind", "rid", "id", "v"])
 
     def run(batches):
-        shard, tree, held_ids, held, ids, x = None, None, [], [], None, None
+        shard, tree, held, waiting = None, None, [], []
+        out_rows = lambda: {n: [] for n in schema.names}
+
+        def answer():
+            nonlocal tree, ids, rids, x, norm
+            if tree is None:
+                if not held:
+                    return
+                ids, rids = [z for h in held for z in h[0]], np.concatenate([h[1] for h in held])
+                x = np.concatenate([h[2] for h in held])
+                unit, norm = _units(x)
+                tree = Tree(unit)
+            q_ids, q_rids, q = [z for w in waiting for z in w[0]], np.concatenate([w[1] for w in waiting]), np.concatenate([w[2] for w in waiting])
+            unit, q_norm = _units(q)
+            out = out_rows()
+            for i, found in enumerate(tree.search(unit, k + 1, relax)):
+                found = found[rids[found] != q_rids[i]]
+                score = _scores(x[found], norm[found], q[i], q_norm[i])
+                near = sorted((-s, ids[r] is None, ids[r] or 0, int(rids[r])) for s, r in zip(score.tolist(), found.tolist(), strict=True))[:k]
+                for s, no_id, j, r in near:
+                    for name, v in zip(schema.names, (int(q_rids[i]), q_ids[i], r, None if no_id else j, -s), strict=True):
+                        out[name].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema)
+
+        ids = rids = x = norm = None
         for b in batches:
-            shard_of, kind_of = b.column("shard").to_pylist(), b.column("kind").to_pylist()
-            for i in range(b.num_rows):
-                if shard_of[i] != shard:
-                    shard, tree, held_ids, held = shard_of[i], None, [], []
-                row_ids = b.column("ids")[i].values.to_numpy(zero_copy_only=False)
-                flat = b.column("flat")[i].values.to_numpy(zero_copy_only=False).reshape(len(row_ids), -1)
-                if kind_of[i] == 0:
-                    held_ids.append(row_ids)
-                    held.append(flat)
-                    continue
-                if tree is None and held:
-                    ids, one = np.unique(np.concatenate(held_ids), return_index=True)
-                    x = np.concatenate(held)[one]
-                    norm = np.sqrt((x * x).sum(axis=1))
-                    tree = Tree(x / norm[:, None])
-                if tree is None:
+            shard_of, kind_of = b.column("shard").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero((np.diff(shard_of) != 0) | (np.diff(kind_of) != 0)) + 1
+            for a, e in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(shard_of)]]), strict=True):
+                if a == e:
                     continue
-                out = {"query_id": [], "id": [], "score": []}
-                q_norm = np.sqrt((flat * flat).sum(axis=1))
-                for q, (i_q, rows_) in enumerate(zip(row_ids.tolist(), tree.search(flat / q_norm[:, None], k + 1, relax), strict=True)):
-                    score = (x[rows_] * flat[q]).sum(axis=1) / (norm[rows_] * q_norm[q])
-                    near = sorted((-s, j) for s, j in zip(score.tolist(), ids[rows_].tolist(), strict=True) if j != i_q)[:k]
-                    for s, j in near:
-                        out["query_id"].append(i_q)
-                        out["id"].append(j)
-                        out["score"].append(-s)
-                yield pa.RecordBatch.from_pydict(out, schema)
-
-    schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
-    dealt = data.unionByName(blocks).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "ids", "flat")
-    near = dealt.mapInArrow(run, "query_id long, id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+                if shard_of[a] != shard:
+                    if waiting:
+                        yield from answer()
+                    shard, tree, held, waiting = shard_of[a], None, [], []
+                part = b.slice(int(a), int(e - a))
+                for t in range(0, part.num_rows, QUERY_BLOCK):
+                    s = part.slice(t, QUERY_BLOCK)
+                    some = s.column("id").to_pylist(), s.column("rid").to_numpy(), _matrix(s.column("v"))
+                    if kind_of[a] == 0:
+                        held.append(some)
+                        continue
+                    waiting.append(some)
+                    if sum(len(w[1]) for w in waiting) >= QUERY_BLOCK:
+                        yield from answer()
+                        waiting.clear()
+        if waiting:
+            yield from answer()
+
+    schema = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("row", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
+    dealt = placed.mapInArrow(deal, f"shard long, kind int, rid long, id long, v {kind}").repartition(shards, "shard").sortWithinPartitions("shard", "kind", "rid")
+    near = dealt.mapInArrow(run, "query long, query_id long, row long, id long, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "row")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
