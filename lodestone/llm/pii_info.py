@@ -8,7 +8,7 @@ e the term gives away: 1 if it occurs with e alone. A term seen with e in ``SUPP
 ``DISCLOSE`` or more becomes a span of kind ``term`` wherever it stands in any document, those without e too; its ratio is the highest of all
 entities. ``redact`` removes it from ``REMOVE`` on, and generalises it to its class below.
 
-Document counts of all terms are summed inside each task before they are shuffled; entities and terms travel as 64-bit hashes. Pairs are made only
+An entity is the same however its digits are grouped or its letters cased. Document counts of all terms are summed inside each task before they are shuffled; entities and terms travel as 64-bit hashes. Pairs are made only
 of entities and terms whose own counts leave a ratio of ``DISCLOSE`` possible, which loses none.
 
 Defined results: null text counts as empty and has no span; equal documents have equal spans; a repeated row counts as a
@@ -88,6 +88,11 @@ def _hash(s: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _entity(kind: int, span: str) -> int:
+    """One number for an entity, however its digits are grouped or its letters cased."""
+    return _hash(f"{kind}:{re.sub('[^0-9]', '', span) if kind >= 2 else span.lower()}")
+
+
 def _free_words(text: str, spans: list[tuple[int, int, int]]):
     """(start, end) of the words that touch no base entity, in order."""
     k, reach = 0, -1
@@ -133,7 +138,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     terms = _terms(t, found)
                     held.update(terms)
                     if found:
-                        rows.append({"rid": rid, "entities": list({_hash(f"{q}:{t[x:y].lower()}") for x, q, y in found}), "terms": [_hash(w) for w in terms]})
+                        rows.append({"rid": rid, "entities": list({_entity(q, t[x:y]) for x, q, y in found}), "terms": [_hash(w) for w in terms]})
                     rid += 1
                 yield pa.RecordBatch.from_pylist(rows, schema)
                 if len(held) > HELD_TERMS:
