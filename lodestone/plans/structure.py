@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.functions import fidelity
+from lodestone.functions import answers, fidelity
 from lodestone.operators import chunking, features, freshness, integrity
 from lodestone.plans import catalog
 from lodestone.plans.catalog import _TOKS, _asked, _fused, _lexical, _t, query
@@ -28,25 +28,65 @@ def _docs(spark, sf):
     return _t(spark, sf, "documents").select("doc_id", "source", "text")
 
 
-@rows_only
+_W = "list_filter(list_transform(p, lambda w: trim(w, '()[]{}.,;:')), lambda w: w <> '' AND NOT regexp_full_match(w, '[A-Z]{2,8}') AND NOT (regexp_full_match(w, '[A-Za-z0-9._/+%-]{2,}') AND regexp_matches(w, '[A-Za-z]') AND regexp_matches(w, '[0-9]')))"
+_SHAPE = "length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, '\\pL+', chr(1), 'g'), '\\p{Nd}+', chr(2), 'g'), '[^' || chr(1) || chr(2) || ']+', chr(3), 'g'), '', ''))"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '^[\s\x0b]+', ''), '[\s\x0b]+$', '') AS t FROM documents), p AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\s\x0b]+'), lambda w: w <> '') AS p FROM t),
+w AS (SELECT doc_id, t, len(p) AS n, {_W} AS w FROM p), s AS (SELECT *, list_sort(list_filter(list_transform(w, lambda w: lower(regexp_replace(w, '[^A-Za-z0-9]', '', 'g'))), lambda w: length(w) BETWEEN 1 AND 4)) AS short,
+list_transform(list_filter(w, lambda w: length(w) >= 5), lambda w: {_SHAPE}) AS shapes FROM w),
+g AS (SELECT doc_id, t, n, 20 * len(regexp_extract_all(t, '[�□¤]'))::DOUBLE / greatest(1, length(t)) AS a, 2 * len(regexp_extract_all(t, '[^\pL\pN_\s]{{4,}}'))::DOUBLE / greatest(1, n) AS b, 2 * len(regexp_extract_all(t, '(?:\b[A-Za-z0-9]\s+){{3,}}[A-Za-z0-9]\b'))::DOUBLE / greatest(1, n) AS c,
+len(list_filter(w, lambda w: regexp_full_match(w, '\pL{{1,2}}')))::DOUBLE / greatest(1, len(w)) AS d, len(list_filter(w, lambda w: length(w) >= 4 AND len(regexp_extract_all(w, '[^A-Za-z0-9._/+%°µμΩΩ-]')) >= 2))::DOUBLE / greatest(1, len(w)) AS e,
+2 * len(list_filter(range(3, len(short) + 1), lambda i: short[i] = short[i - 2]))::DOUBLE / greatest(1, n) AS f, coalesce(list_sum(list_transform(list_filter(shapes, lambda k: k >= 4), lambda k: least(1.0::DOUBLE, (k - 3) / 4.0::DOUBLE))), 0) / greatest(1, len(shapes)) AS h FROM s),
+r AS (SELECT doc_id, t, n, round_even(least(1.0::DOUBLE, a), 4) AS a, round_even(least(1.0::DOUBLE, b), 4) AS b, round_even(least(1.0::DOUBLE, c), 4) AS c, round_even(d, 4) AS d, round_even(e, 4) AS e, round_even(least(1.0::DOUBLE, f), 4) AS f, round_even(h, 4) AS h FROM g),
+x AS (SELECT *, CASE WHEN t = '' THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 0.18::DOUBLE * a + 0.10::DOUBLE * b + 0.15::DOUBLE * c + 0.34::DOUBLE * d + 0.08::DOUBLE * e + 0.10::DOUBLE * f + 0.05::DOUBLE * h) END AS score FROM r)
+SELECT doc_id, a AS replacement_chars, b AS punctuation_runs, c AS spaced_character_fragments, d AS tiny_token_ratio, e AS mixed_fragment_ratio, f AS repeated_broken_fragments, h AS abnormal_token_transitions, round_even(score, 4) AS score, score >= 0.12 AS confirmed, score <= 0.08 AS structurally_normal, n::BIGINT AS token_count FROM x""")
 def garble_profile(spark, sf):
-    return _docs(spark, sf).select("doc_id", fidelity.garble_profile("text").alias("g")).select("doc_id", "g.*")
+    return fidelity.garble(_docs(spark, sf).select("doc_id", "text"), "text").select("doc_id", "garble.*")
 
 
 @rows_only
 def technical_profile(spark, sf):
-    t = _docs(spark, sf).select("doc_id", fidelity.technical_profile("text").alias("p"))
-    return t.select("doc_id", F.array_join("p.classes", ",").alias("classes"), "p.coverage", "p.dominant")
+    d = fidelity.read(_docs(spark, sf), "text", "r").select("doc_id", fidelity.technical(F.col("r")).alias("p"))
+    return d.select("doc_id", F.array_join("p.classes", ",").alias("classes"), "p.coverage", "p.dominant", F.array_join("p.prose_classes", ",").alias("prose_classes"))
+
+
+_PLAIN_CLASSES = {k: fidelity.PATTERNS[k].replace("(?i)", "") for k in ("tolerance", "standard_or_spec", "terminal_or_wire", "rating", "formula_like")}
+_FLAGS = {k: "i" if fidelity.PATTERNS[k].startswith("(?i)") else "c" for k in _PLAIN_CLASSES}
+_CLASS_SQL = [f"len(regexp_extract_all(coalesce(text, ''), '{p}', 0, '{_FLAGS[k]}'))::BIGINT AS {k}" for k, p in _PLAIN_CLASSES.items()]
+_PROSE_SQL = [f"regexp_matches(coalesce(text, ''), '{p[p.index(')') + 1:]}', '{p[2:p.index(')')]}') AS {k}" for k, p in fidelity.PROSE.items()]
+
+
+@query(f"SELECT doc_id, {', '.join(_CLASS_SQL)}, {', '.join(_PROSE_SQL)} FROM documents")
+def technical_classes(spark, sf):
+    """How often each technical pattern without lookaround occurs, and which kinds of technical prose a text shows."""
+    d = fidelity.read(_docs(spark, sf), "text", "r")
+    counts = [F.size(fidelity.of_kinds(F.col("r.spans"), [k])).cast("long").alias(k) for k in _PLAIN_CLASSES]
+    prose = fidelity.prose_classes(F.col("r.text"))
+    return d.select("doc_id", *counts, *[F.array_contains(prose, k).alias(k) for k in fidelity.PROSE])
 
 
 @rows_only
 def critical_tokens(spark, sf):
-    return _docs(spark, sf).select("doc_id", fidelity.critical_tokens("text").alias("c")).select("doc_id", F.size("c").cast("long").alias("n"), F.array_join("c", " ").alias("tokens"))
+    c = fidelity.read(_docs(spark, sf), "text", "r").select("doc_id", fidelity.critical_set(F.col("r")).alias("c"))
+    return c.select("doc_id", F.size("c").cast("long").alias("n"), F.array_join("c", " ").alias("tokens"))
 
 
-@rows_only
+#: Sentences of a manual, chosen by key: instructions that share a sentence, lead to each other, or have no object.
+_MANUAL = ["Check the pump and replace the filter.", "Open valve; close the drain, then stop.", "No work is needed.", "Inspect and clean the bowl. Tighten", "Measure A, B and C before the test"]
+
+
+@query(r"""WITH m AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Check the pump and replace the filter.' WHEN 1 THEN 'Open valve; close the drain, then stop.' WHEN 2 THEN 'No work is needed.' WHEN 3 THEN 'Inspect and clean the bowl. Tighten' ELSE 'Measure A, B and C before the test' END AS said FROM orders),
+parts AS (SELECT o_orderkey, string_split_regex(said, '[.;]') AS parts FROM m), s AS (SELECT o_orderkey, unnest(parts) AS s, generate_subscripts(parts, 1) AS k FROM parts),
+v AS (SELECT o_orderkey, k, s, unnest(regexp_extract_all(lower(s), '\b(check|inspect|replace|open|close|drain|clean|tighten|measure|test|stop)\b')) AS verb FROM s),
+p AS (SELECT *, strpos(lower(s), verb) AS b, strpos(lower(s), verb) + length(verb) AS e FROM v), n AS (SELECT *, lead(b) OVER (PARTITION BY o_orderkey, k ORDER BY b) AS after FROM p),
+o AS (SELECT o_orderkey, verb, CASE WHEN after IS NOT NULL AND regexp_matches(substr(s, e, after - e), '(\b(and|or)(\s+then)?\b|,\s*(then\s+)?)\s*$', 'i') THEN regexp_replace(substr(s, e, after - e), '(\b(and|or)(\s+then)?\b|,\s*(then\s+)?)\s*$', '', 'i') ELSE substr(s, e) END AS what FROM n)
+SELECT o_orderkey, verb, regexp_replace(regexp_replace(lower(trim(what)), '^(the|a|an)\s+', ''), '[\s,.:;!?-]+$', '') AS object, count(*) AS n FROM o GROUP BY ALL""")
 def action_obligations(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.explode(fidelity.action_obligations("text")).alias("o")).groupBy("doc_id", "o.verb").agg(F.count("*").alias("n"))
+    ship(spark)
+    text = F.element_at(F.array(*[F.lit(t) for t in _MANUAL]), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    d = fidelity.read(_t(spark, sf, "orders").select("o_orderkey", text.alias("text")), "text", "r")
+    return d.select("o_orderkey", F.explode(fidelity.obligations(F.col("r"))).alias("o")).groupBy("o_orderkey", "o.verb", "o.object").agg(F.count("*").alias("n"))
 
 
 def _turns(spark, sf):
@@ -58,26 +98,34 @@ def _turns(spark, sf):
 
 @rows_only
 def correction_fidelity(spark, sf):
-    t = _turns(spark, sf).select("conv_id", "turn", fidelity.correction_fidelity("before", "text").alias("f"))
-    return t.select("conv_id", "turn", "f.accepted", F.array_join("f.reasons", ",").alias("reasons"), "f.similarity", "f.length_ratio", "f.preservation")
+    t = fidelity.correction_fidelity(_turns(spark, sf), "before", "text")
+    return t.select("conv_id", "turn", "fidelity.accepted", F.array_join("fidelity.reasons", ",").alias("reasons"), "fidelity.similarity", "fidelity.length_ratio", "fidelity.preservation")
 
 
 @rows_only
 def transcription_safety(spark, sf):
-    t = _turns(spark, sf).select("conv_id", "turn", fidelity.transcription_safety("before", "text").alias("f"))
-    return t.select("conv_id", "turn", "f.accepted", F.array_join("f.reasons", ",").alias("reasons"), "f.similarity", "f.recall", "f.precision")
+    t = fidelity.transcription_safety(_turns(spark, sf), "before", "text")
+    return t.select("conv_id", "turn", "safety.accepted", F.array_join("safety.reasons", ",").alias("reasons"), "safety.similarity", "safety.recall", "safety.precision")
 
 
-@query("SELECT event_id, json(props)::VARCHAR AS found FROM events")
+@query("""SELECT event_id, CASE event_id % 4 WHEN 1 THEN NULL WHEN 3 THEN NULL ELSE json(props)::VARCHAR END AS found, CASE WHEN event_id % 4 IN (0, 1, 2) AND event_id % 4 <> 3 THEN CASE event_id % 4 WHEN 1 THEN 'OK' WHEN 2 THEN 'OK' END END AS verdict,
+CASE WHEN event_id % 4 = 1 THEN 'a "b" c' WHEN event_id % 4 = 2 THEN 'whole' END AS reason, CASE WHEN event_id % 4 = 1 THEN 'x,y' END AS seen FROM events""".replace("json(props)::VARCHAR END AS found", "CASE WHEN event_id % 4 = 2 THEN '{\"verdict\":\"ok\",\"reason\":\"whole\"}' ELSE json(props)::VARCHAR END END AS found"))
 def json_salvage(spark, sf):
+    """Objects in free text, whole, cut off in a field, complete but for other text, and none at all."""
     ship(spark)
-    said = F.concat(F.lit("Here it is:\n"), F.col("props"), F.lit("\nIs {that} all?"))
-    return _t(spark, sf, "events").select("event_id", fidelity.json_salvage(said).alias("found"))
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, F.concat(F.lit("Here it is:\n"), F.col("props"), F.lit("\nIs {that} all?")))
+    said = said.when(k == 1, F.lit('{"verdict": "ok", "reason": "a \\"b\\" c", "visible_text": ["x", "y", "z cut o')).when(k == 2, F.lit('```json {"verdict": "ok", "reason": "whole"} ```')).otherwise(F.lit("no object } here"))
+    e = _t(spark, sf, "events").select("event_id", said.alias("said"))
+    seen = F.array_join(answers.closed_strings(F.col("said"), "visible_text"), ",")
+    return e.select("event_id", answers.json_salvage("said").alias("found"), answers.verdict_of(F.col("said"), ["OK", "WRONG"]).alias("verdict"), answers.closed_string(F.col("said"), "reason").alias("reason"), seen.alias("seen"))
 
 
-@rows_only
+@query(r"""SELECT doc_id, i - 1 AS part, string_split(acc, chr(30))[i] AS segment FROM (SELECT doc_id, acc, unnest(range(1, len(string_split(acc, chr(30))) + 1)) AS i FROM (
+SELECT doc_id, CASE WHEN len(u) = 0 THEN '' ELSE list_reduce(u, lambda acc, x: CASE WHEN length(regexp_extract(acc, '[^]*$')) + length(x) > 1800 THEN acc || chr(30) || x ELSE acc || x END) END AS acc FROM (
+SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[+-]?\d+(?:[.,]\d+)?\s+\S+\s*|\S+\s*|\s+') AS u FROM documents)))""")
 def split_long_text(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.posexplode(fidelity.text_segments("text")).alias("part", "segment"))
+    return _docs(spark, sf).select("doc_id", F.posexplode(answers.text_segments(F.col("text"))).alias("part", "segment")).withColumn("part", F.col("part").cast("long"))
 
 
 @rows_only

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import fidelity
+from lodestone.functions import answers, fidelity
 from lodestone.operators import chunking, features, integrity
 from lodestone.plans import structure
 from lodestone.streaming import governor
@@ -17,29 +17,59 @@ def test_query_runs_on_the_whole_table(spark, sf, name):
     df = structure.ROWS[name](spark, sf)
     rows = df.collect()
     assert len(set(df.columns)) == len(df.columns)
-    assert rows or name == "action_obligations"  # invented prose has few instructions
+    assert rows
 
 
-def test_garble_judges_shape_not_words():
-    assert fidelity.garble("")["score"] == 1.0 and fidelity.garble(None)["confirmed"]
-    assert fidelity.garble("Check the main pump before the engine starts every morning")["normal"]
+def one(spark, df, column):
+    return df.select(column).first()[0]
+
+
+def text_of(spark, *texts):
+    return spark.createDataFrame([texts], ", ".join(f"{c} string" for c in "ab"[: len(texts)]))
+
+
+def test_garble_judges_shape_not_words(spark):
+    g = lambda t: one(spark, fidelity.garble(text_of(spark, t), "a"), "garble")
+    assert g("")["score"] == 1.0 and g(None)["confirmed"]
+    assert g("Check the main pump before the engine starts every morning")["structurally_normal"]
     # Every ordinary piece is tiny: 0.34; two runs of spaced letters over 16 pieces: 0.15 * 0.25 at least.
-    bad = fidelity.garble("t h e p u mp i s b r o ke n a t")
-    assert bad["tiny"] == 1.0 and bad["confirmed"]
-    assert fidelity.garble("��")["replacement"] == 1.0
-    assert fidelity.garble("PLC RPM MCC PT100")["score"] == 0.0
+    bad = g("t h e p u mp i s b r o ke n a t")
+    assert bad["tiny_token_ratio"] == 1.0 and bad["confirmed"]
+    assert g("\ufffd\ufffd")["replacement_chars"] == 1.0
+    assert g("PLC RPM MCC PT100")["score"] == 0.0
+    # The third and fourth "ab" of six pieces; and shapes a-p-d-p-a (5) of one long word.
+    assert g("ab ab ab ab word word")["repeated_broken_fragments"] == round(4 / 6, 4)
+    assert g("ab-1-cdé")["abnormal_token_transitions"] == 0.5
+
+
+def plain_spans(text):
+    """Spans by the patterns alone, without the module's reading."""
+    return {(k, m.start(), m.end()) for k, p in fidelity.PATTERNS.items() for m in re.finditer(p, text)}
+
 
+def test_technical_tokens(spark):
+    def read(t):
+        df = fidelity.read(text_of(spark, t), "a", "r")
+        return df.select(fidelity.critical_set(F.col("r")).alias("c"), fidelity.technical(F.col("r")).alias("t"), "r").first()
 
-def test_technical_tokens():
-    assert fidelity.critical_set("set 24 V at X12, 5 to 7") >= {"24v", "x12", "5to7"}
-    assert fidelity.technical("24V 400V")["dominant"] and not fidelity.technical("plain words only")["classes"]
-    assert fidelity.technical(None) == {"classes": [], "coverage": 0.0, "dominant": False}
+    assert set(read("set 24 V at X12, 5 to 7").c) >= {"24v", "x12", "5to7"}
+    assert read("24V 400V").t.dominant and not read("plain words only").t.classes
+    assert read(None).t.asDict() == {"classes": [], "coverage": 0.0, "dominant": False, "prose_classes": []}
+    assert read("If the pump fails, stop. Check the fuse").t.prose_classes == ["conditional_fault", "imperative_check"]
+    for t in ("P12 = 3.5 kW\n IP 54, EN 60204-1:2 ± 5 mm and 10 - 20 °C", "x" * 50 + " 24 V 24V M8x20 ﬁne", "5 to 7 mm²"):
+        row, plain = read(t), fidelity.unicodedata.normalize("NFKC", t)
+        assert {(s.kind, s.start, s.stop) for s in row.r.spans} == plain_spans(plain)
+        inside = {i for k, a, b in plain_spans(plain) if k in fidelity.TECHNICAL for i in range(a, b) if not plain[i].isspace()}
+        assert row.t.coverage == round(len(inside) / sum(not c.isspace() for c in plain), 4)
 
 
-def test_obligations_split_at_the_next_verb_only():
-    assert fidelity.obligations("Replace the fuse and holder assembly and check the plug. Then stop.") == [("replace", "fuse and holder assembly"), ("check", "plug"), ("stop", "")]
-    assert fidelity.missing_obligations("Replace the fuse. Replace the fuse.", "Replace the fuse.") == [("replace", "fuse")]
-    assert fidelity.missing_obligations("Check the oil level.", "Check the oil levels.") == []
+def test_obligations_split_at_the_next_verb_only(spark):
+    r = one(spark, fidelity.read(text_of(spark, "Replace the fuse and holder assembly and check the plug. Then stop."), "a", "r").select(fidelity.obligations(F.col("r")).alias("o")), "o")
+    assert [(x.verb, x.object) for x in r] == [("replace", "fuse and holder assembly"), ("check", "plug"), ("stop", "")]
+    fuse = ("replace", "fuse")
+    assert fidelity.unmatched_of([fuse, fuse], [fuse]) == [fuse]
+    assert fidelity.unmatched_of([("check", "oil level")], [("check", "oil levels")]) == []
+    assert fidelity.unmatched_of([("check", "oil")], [("stop", "oil")]) == [("check", "oil")]
 
 
 @pytest.mark.parametrize(
@@ -49,28 +79,37 @@ def test_obligations_split_at_the_next_verb_only():
         ("The pump runs at 24 V", "The pump runs at 42 V", ["UNSUPPORTED_NEW_TECHNICAL_TOKEN", "TECHNICAL_TOKENS_NOT_PRESERVED"]),
         ("The pump", "", ["EMPTY_CORRECTION"]),
         (None, None, ["EMPTY_CORRECTION"]),
+        ("at 85 o C", "at 85°C", ["UNSUPPORTED_NEW_TECHNICAL_TOKEN"]),
         ("short", "a very much longer text than short", ["EDIT_DISTANCE_TOO_LARGE", "LENGTH_RATIO_OUT_OF_RANGE", "SOURCE_CHARACTERS_NOT_PRESERVED"]),
     ],
 )
-def test_corrections(source, proposed, reasons):
-    assert fidelity.judge_correction(source, proposed)["reasons"] == reasons
+def test_corrections(spark, source, proposed, reasons):
+    got = fidelity.correction_fidelity(text_of(spark, source, proposed), "a", "b")
+    assert got.columns == ["a", "b", "fidelity"] and got.first().fidelity.reasons == reasons
 
 
-def test_transcriptions():
-    assert fidelity.judge_transcription("Oil pressure low", "Oil presure low")["accepted"]
-    assert "TROUBLESHOOTING_ACTION_DROPPED" in fidelity.judge_transcription("Alarm rings. Replace the filter.", "Alarm rings. The filter.")["reasons"]
-    assert "CRITICAL_SOURCE_TOKEN_NOT_PRESERVED" in fidelity.judge_transcription("Set to 24 V", "Set to 42 V")["reasons"]
+def test_transcriptions(spark):
+    judge = lambda a, b, cell=False: fidelity.transcription_safety(text_of(spark, a, b), "a", "b", cell).first().safety
+    assert judge("Oil pressure low", "Oil presure low").accepted
+    dropped = judge("Alarm rings. Replace the filter.", "Alarm rings. The filter.")
+    assert "TROUBLESHOOTING_ACTION_DROPPED" in dropped.reasons and (dropped.missing_verbs, dropped.missing_objects) == (["replace"], ["filter"])
+    assert "CRITICAL_SOURCE_TOKEN_NOT_PRESERVED" in judge("Set to 24 V", "Set to 42 V").reasons
     # A bare number counts in a cell alone.
-    assert fidelity.judge_transcription("row 7", "row 8")["accepted"] and not fidelity.judge_transcription("row 7", "row 8", cell=True)["accepted"]
+    assert judge("row 7", "row 8").accepted and not judge("row 7", "row 8", cell=True).accepted
+    assert judge(None, "x").accepted
 
 
-def test_json_and_segments():
-    assert fidelity.first_object('<think>x</think> ```{"a": {"b": "}"}}``` {') == '{"a":{"b":"}"}}'
-    assert fidelity.first_object('{"a": 1') is None and fidelity.first_object(None) is None
+def test_json_and_segments(spark):
+    assert answers.first_object('<think>x</think> ```{"a": {"b": "}"}}``` {') == '{"a":{"b":"}"}}'
+    assert answers.first_object('{"a": 1') is None and answers.first_object(None) is None
     for text in ("", "one", " lead and trail ", "a 12 mm bolt " * 400):
-        parts = fidelity.segments(text, 50)
+        parts = one(spark, text_of(spark, text).select(answers.text_segments(F.col("a"), 50).alias("p")), "p")
         assert "".join(parts) == text and all(len(p) <= 50 for p in parts)
         assert not any(p.rstrip().endswith("12") for p in parts)
+    said = F.lit('{"n": 4, "confidence": 0.')
+    assert text_of(spark, "").select(answers.closed_number(said, "n"), answers.closed_number(said, "confidence"), answers.closed_string(said, "n")).first()[:] == (4.0, None, None)
+    for raw, want in (("<think>a\nb</think> yes ", "yes"), ("rest of it</think>yes", "yes"), ("yes<think>cut", "yes"), ("plain", "plain")):
+        assert one(spark, text_of(spark, raw).select(answers.completion(F.col("a")).alias("c")), "c") == want
 
 
 def _greedy(units, joint, head, parent_tokens, parent_length, budget):
