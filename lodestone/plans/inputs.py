@@ -33,3 +33,14 @@ def view(spark: SparkSession, sf: str, sql: str) -> DataFrame:
     found = {t for t in TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)}
     named = re.sub(r"\b(FROM|JOIN) (" + "|".join(TABLES) + r")\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
     return spark.sql(named, **{t: spark.read.parquet(f"{sf}/{t}.parquet") for t in found})
+
+
+LEDGER = """SELECT o_orderkey AS entry_id, o_custkey % 50 AS book, CASE WHEN o_orderkey % 3 = 0 THEN 'text_correction' ELSE 'vision_enrichment' END AS entry_type, CASE WHEN o_orderkey % 6 = 0 THEN 'table_cell' ELSE 'text' END AS source_type,
+CASE WHEN o_orderkey % 19 > 0 THEN o_orderkey % 23 END AS source_index, o_orderkey % 5 AS table_index, CASE WHEN o_orderkey % 12 > 0 THEN o_orderkey % 4 END AS cell_index, concat('g', CAST(o_orderkey % 2 AS STRING)) AS generation,
+CASE WHEN o_custkey % 7 < 2 THEN 'applied' WHEN o_custkey % 7 = 2 THEN 'pending' WHEN o_custkey % 7 = 3 THEN 'proposed' WHEN o_custkey % 7 = 4 THEN 'excluded' WHEN o_custkey % 7 = 5 THEN 'superseded' ELSE 'rejected' END AS status,
+CASE WHEN o_custkey % 7 = 5 AND o_orderkey % 4 = 1 THEN 'SUPERSEDED_BY_NORMAL_PICTURE_ROUTE' ELSE 'WHY' END AS status_reason, CASE WHEN o_orderkey % 4 = 2 THEN 'applied' END AS previous_status, CASE WHEN o_orderkey % 8 = 2 THEN 'BEFORE' END AS previous_status_reason,
+CASE WHEN o_orderkey % 5 = 0 THEN 'TECHNICAL_USEFUL' WHEN o_orderkey % 5 = 1 THEN 'DECORATIVE_OR_LOW_VALUE' WHEN o_orderkey % 5 = 2 THEN 'UNCERTAIN' WHEN o_orderkey % 5 = 3 THEN 'LIKELY_CORRUPT' END AS verdict, o_orderkey % 10 < 3 AS diagram_like,
+o_orderkey % 13 = 0 AS human_verified, CASE WHEN o_orderkey % 26 = 0 THEN 'technical' WHEN o_orderkey % 39 = 0 THEN 'decorative' END AS human_decision, CASE WHEN o_orderkey % 26 = 0 THEN CAST(o_orderkey AS DOUBLE) END AS decided_at, CASE WHEN o_orderkey % 39 = 0 THEN CAST(o_orderkey AS DOUBLE) / 2 END AS saved_at, CAST(o_orderkey % 1000 AS DOUBLE) AS created_at,
+o_orderkey % 3 = 1 AS unresolved, CASE WHEN o_orderkey % 4 = 0 THEN concat('AV', lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0')) ELSE concat('R', CAST(o_orderkey % 90 AS STRING)) END AS route_id, CASE WHEN o_orderkey % 11 = 0 THEN 'FULL_TECHNICAL_VISUAL' END AS route_code,
+CASE WHEN o_orderkey % 9 < 3 THEN '' WHEN o_orderkey % 9 < 6 THEN 'Pump  P1|pump p1| Valve' ELSE 'Gauge' END AS visible_text, CASE WHEN o_orderkey % 8 < 5 THEN '' ELSE 'pipe|PIPE|flange' END AS visible_objects, CASE WHEN o_orderkey % 10 < 6 THEN ' ' ELSE ' A  view of pump ' END AS summary, CASE WHEN o_orderkey % 4 = 0 THEN 'Wiring Diagram' WHEN o_orderkey % 4 = 1 THEN 'unknown' END AS category,
+concat('text ', CAST(o_orderkey % 77 AS STRING)) AS original_text, CASE WHEN o_orderkey % 2 = 0 THEN concat('new ', CAST(o_orderkey % 77 AS STRING)) END AS proposed_text FROM orders"""
