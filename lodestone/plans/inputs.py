@@ -44,3 +44,21 @@ o_orderkey % 13 = 0 AS human_verified, CASE WHEN o_orderkey % 26 = 0 THEN 'techn
 o_orderkey % 3 = 1 AS unresolved, CASE WHEN o_orderkey % 4 = 0 THEN concat('AV', lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0')) ELSE concat('R', CAST(o_orderkey % 90 AS STRING)) END AS route_id, CASE WHEN o_orderkey % 11 = 0 THEN 'FULL_TECHNICAL_VISUAL' END AS route_code,
 CASE WHEN o_orderkey % 9 < 3 THEN '' WHEN o_orderkey % 9 < 6 THEN 'Pump  P1|pump p1| Valve' ELSE 'Gauge' END AS visible_text, CASE WHEN o_orderkey % 8 < 5 THEN '' ELSE 'pipe|PIPE|flange' END AS visible_objects, CASE WHEN o_orderkey % 10 < 6 THEN ' ' ELSE ' A  view of pump ' END AS summary, CASE WHEN o_orderkey % 4 = 0 THEN 'Wiring Diagram' WHEN o_orderkey % 4 = 1 THEN 'unknown' END AS category,
 concat('text ', CAST(o_orderkey % 77 AS STRING)) AS original_text, CASE WHEN o_orderkey % 2 = 0 THEN concat('new ', CAST(o_orderkey % 77 AS STRING)) END AS proposed_text FROM orders"""
+
+
+_RAW = {
+    0: "| Item name | Size range |\n| --- | --- |", 1: "| bolt steel | 12 | 4 |\n| nut brass | 5 | 6 |", 2: "| Name part | Torque value |\n|---|:---:|\n| bearing | 24 |\nloose line", 3: "12 | 13 | 14\n15 | 16 | 17",
+    4: "Plain prose about pumps and valves.\n\n  It has   two lines.", 5: "Item Qty Article no Description 1 2 3 bolt", 6: "", 7: "-----|----\n| seal kit | 7 |",
+}
+_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in _RAW.items())
+CHUNKS = f"""SELECT book, chunk_index, concat(CAST(book AS STRING), '-', CAST(chunk_index AS STRING)) AS chunk_id, CAST(floor((chunk_index + 1) / 3) AS INT) AS page, CASE WHEN k < 8 THEN concat('#/tables/', CAST(floor(chunk_index / 5) AS INT)) END AS table_ref, CASE k % 8 {_CASES} END AS raw_text, CAST(n_tokens AS INT) AS n_tokens,
+concat('Part ', CAST(floor(chunk_index / 4) AS INT)) AS heading FROM (SELECT l_orderkey AS book, l_partkey % 10 AS k, l_quantity * 12 AS n_tokens, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS chunk_index FROM lineitem) x"""
+
+_SAID = [
+    'See instruction "High pressure pumps" in section 6.1 first.', "Refer to section 6.1, 'Valve gear' and see section 6.", "see the Cooling water system in chapter A-2; then stop.", "No reference here.", "See “Fuel pumps”. Refer to clause 4.2 and see section 4.2.1 too", 'SEE INSTRUCTION UNDER SECTION 7 "Governor  drive".', 'see "instruction" and see "Filters", see "filters"',
+]
+SAYINGS = "SELECT o_orderkey, CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in enumerate(_SAID)) + " END AS said FROM orders"
+
+ROWS = """SELECT book, chunk_index, CAST(floor(chunk_index / 4) AS INT) AS page, CASE WHEN k % 25 = 0 THEN 'High Pressure Pumps' WHEN k % 25 = 1 THEN 'The high pressure pumps of type 2' WHEN k % 25 = 2 THEN 'Section 6.1' ELSE concat('Part ', CAST(k % 9 AS STRING)) END AS heading,
+CASE WHEN k % 7 = 0 THEN 'see high pressure pumps in 6.1' WHEN k % 7 = 1 THEN 'pumps for oil' WHEN k % 7 = 2 THEN 'section 6.12 of this' ELSE 'other text' END AS text, CASE WHEN k % 2 = 0 THEN 'prose' ELSE 'table' END AS content_type, CAST(60 + k % 40 AS INT) AS quality FROM
+(SELECT l_suppkey AS book, l_partkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS chunk_index FROM lineitem) x"""
