@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.session import written
 
-#: Levels that a walk goes down at most; a longer chain of references counts as broken structure.
+#: Levels that a walk goes down before it stops with an error; a longer chain of references is broken structure.
 DEEPEST = 200
 
 
@@ -20,7 +20,7 @@ def reachable(edges: DataFrame, roots: DataFrame, deepest: int = DEEPEST) -> Dat
     """edges (src, dst), roots (node) -> (node, depth): each node with the least number of steps from a root.
 
     Breadth-first: a step joins only the newest level, and each level is a table in the shared folder, so lineage stays short and lost executors
-    cost one level. Cycles end because a node is reached once.
+    cost one level. Cycles end because a node is reached once. A walk that isn't done after ``deepest`` levels is an error, never a part of the answer.
     """
     level = written(roots.select("node").where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)), "level")
     seen, e = level, edges.select("src", "dst")
@@ -30,6 +30,8 @@ def reachable(edges: DataFrame, roots: DataFrame, deepest: int = DEEPEST) -> Dat
         if level.isEmpty():
             break
         seen = seen.unionByName(level)
+    else:
+        raise ValueError(f"references go deeper than {deepest} levels")
     return seen
 
 

@@ -37,11 +37,24 @@ def ranked(scores: DataFrame, k: int, by: list[str], digits: int = 6) -> DataFra
     return scores.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+#: Queries of a block; every block meets every shard of the vectors once.
+QUERY_BLOCK = 256
+
+
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score): dot products of unit vectors. queries is a short stated set, its size bounded by the caller."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return vectors.join(F.broadcast(q), F.col("id") != F.col("query_id")).select("query_id", "id", dot.alias("score"))
+    """(query_id, id, score): dot products of unit vectors with a stated set of queries.
+
+    The queries are dealt to blocks, a row each, and each vector is joined to the blocks by number: the vectors stay where the join puts them, and what is copied is one
+    number a block. Spark broadcasts the blocks if they are few; otherwise it shuffles both sides.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
+    dot = lambda q: F.aggregate(F.zip_with("v", q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    met = vectors.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(q, "block")
+    scored = met.select("id", F.explode(F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), dot(a["q"]).alias("score")))).alias("s"))
+    return scored.select("s.query_id", "id", "s.score").where(F.col("id") != F.col("query_id"))
 
 
 def unit(v):

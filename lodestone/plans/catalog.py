@@ -72,8 +72,10 @@ def term_stats(spark, sf):
 
 
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
+#: Which vectors are asked: those of the benchmark's questions, whose ids they share, or every fiftieth.
+_OF_ITEMS, _FIFTIETH = "q.id IN (SELECT item_id FROM benchmark)", "q.id % 50 = 0"
 _VEC = f"""u AS (SELECT vec_id AS id, label, {_UNIT} AS v FROM embeddings),
-vs AS (SELECT q.id AS query_id, d.id, round(list_dot_product(d.v, q.v), 6) AS score FROM u d JOIN u q ON q.id < 10 AND d.id <> q.id),
+vs AS (SELECT q.id AS query_id, d.id, round(list_dot_product(d.v, q.v), 6) AS score FROM u d JOIN u q ON {{asked}} AND d.id <> q.id),
 vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs)"""
 
 
@@ -81,14 +83,13 @@ def _vectors(spark, sf):
     return _t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", retrieval.unit(F.col("embedding")).alias("v"))
 
 
-def _vector(spark, sf, k):
-    v = _vectors(spark, sf)
-    return retrieval.ranked(retrieval.vector_scores(v, v.where("id < 10")).withColumn("score", F.round("score", 6)), k, ["query_id"])
+def _vector(spark, sf, k, asked):
+    return retrieval.ranked(retrieval.vector_scores(_vectors(spark, sf), asked).withColumn("score", F.round("score", 6)), k, ["query_id"])
 
 
-@query(f"WITH {_VEC} SELECT query_id, id AS vec_id, score, rank FROM vec WHERE rank <= 10")
+@query(f"WITH {_VEC.format(asked=_FIFTIETH)} SELECT query_id, id AS vec_id, score, rank FROM vec WHERE rank <= 10")
 def vector_topk(spark, sf):
-    return _vector(spark, sf, 10).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
+    return _vector(spark, sf, 10, _vectors(spark, sf).where("id % 50 = 0")).select("query_id", F.col("id").alias("vec_id"), "score", "rank")
 
 
 @query(f"SELECT vec_id, label, round(list_sum(list_transform({_UNIT}, lambda x: x * x)), 6) AS norm FROM embeddings")
@@ -96,15 +97,16 @@ def vector_l2_normalize(spark, sf):
     return _vectors(spark, sf).select(F.col("id").alias("vec_id"), "label", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
-_RRF = f"""WITH {_BM25.format(scope=chr(39) + 'all' + chr(39))}, {_VEC},
-l AS (SELECT * FROM lex WHERE rank <= 60 AND query_id < 10), x AS (SELECT * FROM vec WHERE rank <= 60),
+_RRF = f"""WITH {_BM25.format(scope=chr(39) + 'all' + chr(39))}, {_VEC.format(asked=_OF_ITEMS)},
+l AS (SELECT * FROM lex WHERE rank <= 60), x AS (SELECT * FROM vec WHERE rank <= 60),
 j AS (SELECT coalesce(l.query_id, x.query_id) AS query_id, coalesce(l.id, x.id) AS id, l.rank AS r1, x.rank AS r2, round(coalesce(1.0::DOUBLE / (60 + l.rank), 0) + coalesce(1.0::DOUBLE / (60 + x.rank), 0), 9) AS score
     FROM l FULL JOIN x ON l.query_id = x.query_id AND l.id = x.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, least(r1, r2), id) AS rank FROM j)"""
 
 
 def _fused(spark, sf):
-    return retrieval.rrf(_lexical(spark, sf, 60).where("query_id < 10"), _vector(spark, sf, 60))
+    items = _t(spark, sf, "benchmark").select(F.col("item_id").alias("id"))
+    return retrieval.rrf(_lexical(spark, sf, 60), _vector(spark, sf, 60, _vectors(spark, sf).join(items, "id", "left_semi")))
 
 
 @query(_RRF + " SELECT query_id, id, r1, r2, score, rank FROM r WHERE rank <= 20")

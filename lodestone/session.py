@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import shutil
 import tempfile
 import uuid
 import zipfile
@@ -15,11 +14,13 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset, as in tests."""
+    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where it is unset in local mode, as in tests. A cluster must name one."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.applicationId not in _OWN_DIRS:
         _OWN_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="lodestone-shared-")
         sc.setCheckpointDir(_OWN_DIRS[sc.applicationId])
@@ -58,4 +59,3 @@ def ship(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, root))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
-    shutil.rmtree(folder, ignore_errors=True) if not os.path.exists(path) else None
