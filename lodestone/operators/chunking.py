@@ -97,3 +97,29 @@ def split_over_budget(chunks: DataFrame, id_col: str, text_col: str, tokens_col:
     rows = F.when(split, F.arrays_zip(F.col("__s.parts").alias("text"), F.col("__s.sizes").alias("n"))).otherwise(F.array(F.struct(F.col("__t").alias("text"), F.col("__n").alias("n"))))
     out = c.select("__id", "__s.boundary", F.size(rows).alias("n_parts"), F.posexplode(rows).alias("part", "p"))
     return out.select(F.col("__id").alias(id_col), "part", "n_parts", "p.text", F.col("p.n").alias("n_tokens"), "boundary")
+
+
+def compacted(chunks: DataFrame, raw: str, text: str, heading: str, n_tokens: str, budget: int) -> DataFrame:
+    """Chunks over budget with less mark-up around what they say, and ``action``: what was done. ``text`` and its count change; ``raw`` never does.
+
+    separator_only: nothing but table lines, so the deepest heading alone is kept. padding: a table without separators and blanks in cells. heading: the
+    deepest heading instead of all of them, or none, if that fits the budget. Others are left to be split.
+    """
+    r, t, n = F.coalesce(raw, F.lit("")), F.coalesce(text, F.lit("")), F.col(n_tokens)
+    deep = F.when(F.coalesce(heading, F.lit("")) == "", "").otherwise(F.concat(heading, F.lit("\n")))
+    pieces = lambda c: F.regexp_count(c, F.lit(r"[A-Za-z]+|\d+(?:\.\d+)?|[^\w\s]"))
+    estimate = lambda c: F.greatest(F.lit(1), F.ceil(F.length(c) * (n / F.length(t)) * 1.08), F.ceil(F.length(c) / 2.5), pieces(c)).cast("long")
+    lines = F.filter(F.split(r, "\n"), lambda x: F.trim(x) != "")
+    cells = lambda x: F.transform(F.split(F.btrim(F.trim(x), F.lit("|")), r"\|"), lambda c: F.trim(c))
+    separator = lambda x: (F.size(cells(x)) >= 2) & F.forall(cells(x), lambda c: c.rlike("^:?-{3,}:?$"))
+    row = lambda x: F.when(x.contains("|"), F.concat(F.lit("| "), F.array_join(cells(x), " | "), F.lit(" |"))).otherwise(F.trim(x))
+    tight = F.concat(deep, F.array_join(F.transform(F.filter(lines, lambda x: ~(x.contains("|") & separator(x))), row), "\n"), F.lit("\n"))
+    table = (F.size(lines) > 0) & (F.size(F.filter(lines, lambda x: x.contains("|"))) >= 0.7 * F.size(lines))
+    over = (n > budget) & (F.trim(r) != "")
+    short = F.when((deep != "") & (estimate(F.concat(deep, r)) <= budget), F.concat(deep, r)).when(estimate(r) <= budget, r)
+    c = chunks.withColumn("__bare", over & r.rlike(r"^[\s|:\-]+$")).withColumn("__tight", F.when(over & table, tight))
+    padded = F.col("__tight").isNotNull() & (F.length("__tight") < F.length(t))
+    new = F.when(F.col("__bare"), deep).when(padded, F.col("__tight")).when(over & F.endswith(t, r), short)
+    action = F.when(F.col("__bare"), "separator_only").when(padded, "padding").otherwise("heading")
+    c = c.withColumn("__new", new).withColumn("action", F.when(F.col("__new").isNull(), "none").otherwise(action))
+    return c.withColumn(n_tokens, F.when(F.col("__new").isNull(), n.cast("long")).otherwise(estimate(F.col("__new")))).withColumn("text", F.coalesce("__new", F.col(text))).drop("__bare", "__tight", "__new")
