@@ -36,10 +36,12 @@ def snippet(text: Column, first_hit: Column, limit: int = 560, lead: int = 120)
 
 
 def duration_seconds(value: Column) -> Column:
-    """Seconds of texts such as ``1d2h3m4s`` or ``1m30s``; null for anything else."""
-    part = lambda unit: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(value, rf"(\d+){unit}", 1), F.lit("")), F.lit("999999999")), F.lit(0)).cast("double")
+    """Seconds of texts such as ``1d2h3m4s``, ``1m30.5s`` or a whole number of seconds; null for anything else."""
+    t = F.trim(value)
+    part = lambda unit: F.coalesce(F.regexp_extract(t, rf"(\d+(?:\.\d+)?){unit}", 1).try_cast("double"), F.lit(0.0))
     total = part("d") * 86400 + part("h") * 3600 + part("m") * 60 + part("s")
-    return F.when(value.rlike(r"^(\d+d)?(\d+h)?(\d+m)?(\d+s)?$") & (F.length(value) > 0), total)
+    whole = r"^(?:\d+(?:\.\d+)?d)?\s*(?:\d+(?:\.\d+)?h)?\s*(?:\d+(?:\.\d+)?m)?\s*(?:\d+(?:\.\d+)?s)?$"
+    return F.when(t.rlike(r"^\d+$"), t.try_cast("double")).when((t != "") & t.rlike(whole), total)
 
 
 def identifiers(text: Column) -> Column:

@@ -81,3 +81,14 @@ def box_problem(left: Column, top: Column, right: Column, bottom: Column, width:
     out = (F.greatest(left, right) < -1) | (F.least(left, right) > width + 1) | (F.greatest(top, bottom) < -1) | (F.least(top, bottom) > height + 1)
     none = sides[0].isNull() & sides[1].isNull() & sides[2].isNull() & sides[3].isNull()
     return F.when(none, "missing_bbox").when(bad, "invalid_bbox").when(empty, "degenerate_bbox").when((width > 0) & (height > 0) & out, "bbox_outside_page")
+
+
+def heading_levels(headings: DataFrame) -> DataFrame:
+    """headings (book, place, text, level) -> of each numbering scheme and depth in a book: n, the commonest level (the first seen of equals), its support, and how many stand two levels or more from it."""
+    from lodestone.functions import scalars
+
+    h = headings.select("book", "place", "level", scalars.heading(F.col("text")).alias("h")).where("h IS NOT NULL").select("book", "h.scheme", "h.depth", "level", "place")
+    counts = h.groupBy("book", "scheme", "depth", "level").agg(F.count("*").alias("c"), F.min("place").alias("first"))
+    mode = counts.groupBy("book", "scheme", "depth").agg(F.sum("c").alias("n"), F.max_by("level", F.struct("c", -F.col("first"))).alias("mode"), F.max("c").alias("support"))
+    far = F.sum(F.when(F.abs(F.col("level") - F.col("mode")) >= 2, F.col("c")).otherwise(0)).alias("anomalies")
+    return counts.drop("first").join(mode, ["book", "scheme", "depth"]).groupBy("book", "scheme", "depth", "n", "mode", "support").agg(far)

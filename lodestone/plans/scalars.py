@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
 from lodestone.plans.catalog import _BM25, _lexical, _t, query
+from lodestone.plans.inputs import view
 
 
 @query(r"""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, (p_size - 10) / 25.0::DOUBLE)) END AS share, substr(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-'), 1, 12) AS slug, p_name AS book,
@@ -22,24 +23,15 @@ def scalar_helpers(spark, sf):
     )
 
 
-@query("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'decimal' WHEN 1 THEN 'alpha_decimal' WHEN 2 THEN 'chapter_section' WHEN 3 THEN 'appendix' WHEN 4 THEN 'roman' END AS scheme,
-CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN o_custkey % 2 = 0 THEN 3 ELSE 2 END WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 END::INTEGER AS depth FROM orders""")
-def heading_depth(spark, sf):
-    k, c = F.col("o_orderkey") % 6, F.col("o_custkey").cast("string")
-    deep = F.when(F.col("o_custkey") % 2 == 0, ".4").otherwise("")
-    text = F.when(k == 0, F.concat(F.lit(" 1."), c, deep, F.lit(" Pumps"))).when(k == 1, F.concat(F.lit("B."), c, F.lit(" Tests"))).when(k == 2, F.concat(F.lit("Chapter "), c)).when(k == 3, "APPENDIX C").when(k == 4, "IV. Safety").otherwise(F.concat(c, F.lit(" a list")))
-    return _t(spark, sf, "orders").select("o_orderkey", scalars.heading(text).alias("h")).select("o_orderkey", "h.scheme", "h.depth")
+_CITED = """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'So [S1] and [s2], as [S1] says.' WHEN 1 THEN 'See [S9] or [V1]' WHEN 2 THEN 'See (S1) and [S 1] and [Sx]' WHEN 3 THEN '' WHEN 4 THEN '[v1][V1] [S10]' WHEN 5 THEN '[S3]' END AS answer FROM orders"""
 
 
-@query("""SELECT l_orderkey, count(*) FILTER (WHERE l_linenumber <= l_orderkey % 7)::BIGINT AS valid, count(*) FILTER (WHERE l_linenumber > l_orderkey % 7)::BIGINT AS invalid, bool_and(l_linenumber <= l_orderkey % 7) AS grounded
-FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY l_orderkey""")
+@query(f"""WITH a AS ({_CITED}), c AS (SELECT o_orderkey, list_distinct(list_transform(regexp_extract_all(coalesce(answer, ''), '\\[([SVsv]\\d+)\\]', 1), lambda l: upper(l))) AS said, CASE WHEN o_orderkey % 2 = 0 THEN ['S1', 'S2', 'V1'] ELSE ['S3', 'S9'] END AS given FROM a)
+SELECT o_orderkey, len(list_filter(said, lambda l: list_contains(given, l)))::BIGINT AS valid, len(list_filter(said, lambda l: NOT list_contains(given, l)))::BIGINT AS invalid, len(said) > 0 AND len(list_filter(said, lambda l: NOT list_contains(given, l))) = 0 AS grounded FROM c""")
 def citation_check(spark, sf):
-    said = F.concat(F.lit("So [s"), F.col("l_linenumber").cast("string"), F.lit("]."))
-    a = _t(spark, sf, "lineitem").select("l_orderkey", said.alias("said")).groupBy("l_orderkey").agg(F.array_join(F.collect_list("said"), " ").alias("answer"))
-    last = F.col("l_orderkey") % 7
-    labels = F.when(last > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(last, F.lit(1))), lambda n: F.concat(F.lit("S"), n.cast("string")))).otherwise(F.expr("cast(array() AS array<string>)"))
-    c = a.select("l_orderkey", scalars.citations(F.col("answer"), labels).alias("c"))
-    return c.select("l_orderkey", F.size("c.valid").cast("long").alias("valid"), F.size("c.invalid").cast("long").alias("invalid"), "c.grounded")
+    given = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("S1"), F.lit("S2"), F.lit("V1"))).otherwise(F.array(F.lit("S3"), F.lit("S9")))
+    c = view(spark, sf, _CITED).select("o_orderkey", scalars.citations(F.col("answer"), given).alias("c"))
+    return c.select("o_orderkey", F.size("c.valid").cast("long").alias("valid"), F.size("c.invalid").cast("long").alias("invalid"), "c.grounded")
 
 
 _PAGES = r"""SELECT page_id, CASE WHEN drawings > 0 THEN 'engineering_visual' WHEN tables >= 1 AND pictures = 0 THEN 'table_or_list' WHEN pictures > 0 AND texts > 0 THEN 'mixed' WHEN pictures > 0 THEN 'visual' ELSE 'text' END AS kind FROM (

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import scalars
 from lodestone.functions.text import duration_seconds, identifiers, snippet, tokens
+from lodestone.operators import integrity
 from lodestone.plans.catalog import _TOKS, _t, query
+from lodestone.plans.inputs import view
 
 
 @query("""SELECT doc_id, (CASE WHEN s > 1 THEN '…' ELSE '' END) || trim(substr(text, s, 560), ' ') || (CASE WHEN s + 559 < length(text) THEN '…' ELSE '' END) AS snippet
@@ -16,11 +19,13 @@ def snippets(spark, sf):
     return d.select("doc_id", snippet(F.col("text"), F.locate("tion", F.lower("text"))).alias("snippet"))
 
 
-@query("SELECT o_orderkey, (o_orderkey % 3)::DOUBLE * 86400 + (o_orderkey % 24) * 3600 + (o_orderkey % 60) * 60 + (o_orderkey % 7) AS seconds FROM orders")
+_SAID = "SELECT o_orderkey, CASE o_orderkey % 12 WHEN 0 THEN '1d2h3m4s' WHEN 1 THEN ' 90 ' WHEN 2 THEN '1m30.5s' WHEN 3 THEN '' WHEN 4 THEN '4s1m' WHEN 5 THEN 'soon' WHEN 6 THEN '2h x' WHEN 7 THEN '1h 30m' WHEN 8 THEN '-5' WHEN 9 THEN concat(CAST(o_custkey AS STRING), 'm') WHEN 10 THEN concat(CAST(o_custkey AS STRING), 'd7') END AS said FROM orders"
+_PART = "coalesce(TRY_CAST(regexp_extract(t, '(\\d+(?:\\.\\d+)?){u}', 1) AS DOUBLE), 0)"
+
+
+@query(rf"""SELECT o_orderkey, CASE WHEN regexp_full_match(t, '\d+') THEN t::DOUBLE WHEN t <> '' AND regexp_full_match(t, '(\d+(\.\d+)?d)?\s*(\d+(\.\d+)?h)?\s*(\d+(\.\d+)?m)?\s*(\d+(\.\d+)?s)?') THEN {_PART.format(u='d')} * 86400 + {_PART.format(u='h')} * 3600 + {_PART.format(u='m')} * 60 + {_PART.format(u='s')} END AS seconds FROM (SELECT o_orderkey, trim(said) AS t FROM ({_SAID}))""")
 def parse_duration(spark, sf):
-    k = F.col("o_orderkey")
-    text = F.concat((k % 3).cast("string"), F.lit("d"), (k % 24).cast("string"), F.lit("h"), (k % 60).cast("string"), F.lit("m"), (k % 7).cast("string"), F.lit("s"))
-    return _t(spark, sf, "orders").select("o_orderkey", duration_seconds(text).alias("seconds"))
+    return view(spark, sf, _SAID).select("o_orderkey", duration_seconds(F.col("said")).alias("seconds"))
 
 
 @query(f"SELECT doc_id, len(i)::BIGINT AS n, array_to_string(list_sort(i), ' ') AS ids FROM (SELECT doc_id, list_distinct(list_filter({_TOKS.format(c='text')}, lambda t: regexp_matches(t, '[-_/.+:]') AND regexp_matches(t, '\\d'))) AS i FROM documents)")
@@ -54,21 +59,31 @@ def reading_order_inversions(spark, sf):
     return rows.select("l_orderkey", pairs(False).alias("pairs"), pairs(True).alias("inversions")).where("pairs > 0")
 
 
-@query("SELECT conv_id, turn, n, n - before AS step FROM (SELECT conv_id, turn, length(text) // 100 AS n, lag(length(text) // 100) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) WHERE n - before >= 2")
-def heading_monotonicity(spark, sf):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = F.floor(F.length("text") / 100)
-    c = _t(spark, sf, "conversations").select("conv_id", "turn", n.alias("n"), (n - F.lag(n).over(w)).alias("step"))
-    return c.where("step >= 2")
+_HEADS = """SELECT l_suppkey AS book, place, CASE k % 9 WHEN 0 THEN concat(CAST(k % 5 + 1 AS STRING), '.', CAST(k % 3 AS STRING), ' Pumps') WHEN 1 THEN concat('  ', CAST(k % 4 + 1 AS STRING), '.1.', CAST(k % 7 AS STRING), ' Valves') WHEN 2 THEN 'B.2 Tests' WHEN 3 THEN 'CHAPTER IV Safety' WHEN 4 THEN 'Appendix C' WHEN 5 THEN 'IV. Safety' WHEN 6 THEN '7 a list' WHEN 7 THEN '' END AS text,
+CAST(CASE WHEN k % 9 = 0 THEN 1 + k % 2 WHEN k % 9 = 1 THEN CASE WHEN k % 11 = 0 THEN 5 ELSE 1 END WHEN k % 9 = 2 THEN 3 ELSE k % 4 END AS INT) AS level FROM (SELECT l_suppkey, l_partkey AS k, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS place FROM lineitem) x"""
+_SIGN = r"""s AS (SELECT *, CASE WHEN regexp_matches(t, '^[0-9]+(\.[0-9]+){1,5}(\s|\.|$)') THEN 'decimal' WHEN regexp_matches(t, '^[A-Z](\.[0-9]+){1,5}(\s|\.|$)') THEN 'alpha_decimal' WHEN regexp_matches(t, '(?i)^(chapter|section)\s+([0-9]+|[IVXLCDM]+)\b') THEN 'chapter_section' WHEN regexp_matches(t, '(?i)^appendix\s+([A-Z]|[0-9]+|[IVXLCDM]+)\b') THEN 'appendix' WHEN regexp_matches(t, '^[IVXLCDM]+(\.|\s)\s*[A-Z0-9]') THEN 'roman' END AS scheme,
+len(string_split(regexp_extract(t, '^([0-9A-Z]+(\.[0-9]+)+)', 1), '.')) AS dots FROM (SELECT *, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM h))"""
+_GROUPS = f"""WITH h AS ({_HEADS}), {_SIGN}, d AS (SELECT *, CASE WHEN scheme IN ('decimal', 'alpha_decimal') THEN dots ELSE 1 END AS depth FROM s WHERE scheme IS NOT NULL),
+c AS (SELECT book, scheme, depth, level, count(*) AS n, min(place) AS first FROM d GROUP BY ALL), m AS (SELECT book, scheme, depth, sum(n)::BIGINT AS n, max(n)::BIGINT AS support, arg_max(level, n * 1000000 - first) AS mode FROM c GROUP BY ALL)"""
+
 
+@query(f"WITH h AS ({_HEADS}), {_SIGN} SELECT book, place, scheme, CASE WHEN scheme IN ('decimal', 'alpha_decimal') THEN dots WHEN scheme IS NOT NULL THEN 1 END::INTEGER AS depth FROM s")
+def heading_depth(spark, sf):
+    h = view(spark, sf, _HEADS)
+    return h.select("book", "place", scalars.heading(F.col("text")).alias("h")).select("book", "place", "h.scheme", "h.depth")
 
-@query("""SELECT l_suppkey, mode_level, n, anomalies FROM (SELECT l_suppkey, mode_level, count(*) AS n, count_if(abs(level - mode_level) >= 2)::BIGINT AS anomalies FROM
-(SELECT l.l_suppkey, l.l_linenumber AS level, m.level AS mode_level FROM lineitem l JOIN (SELECT l_suppkey, level FROM (SELECT l_suppkey, level, row_number() OVER (PARTITION BY l_suppkey ORDER BY c DESC, level) AS r FROM (SELECT l_suppkey, l_linenumber AS level, count(*) AS c FROM lineitem GROUP BY 1, 2)) WHERE r = 1) m USING (l_suppkey)) GROUP BY l_suppkey, mode_level) WHERE n >= 4""")
+
+@query(f"{_GROUPS} SELECT m.book, m.scheme, m.depth::INTEGER AS depth, m.n, m.mode, m.support, sum(CASE WHEN abs(c.level - m.mode) >= 2 THEN c.n ELSE 0 END)::BIGINT AS anomalies FROM m JOIN c ON c.book = m.book AND c.scheme = m.scheme AND c.depth = m.depth WHERE m.n >= 4 GROUP BY ALL")
 def heading_mode_deviation(spark, sf):
-    counts = _t(spark, sf, "lineitem").groupBy("l_suppkey", F.col("l_linenumber").alias("level")).agg(F.count("*").alias("c"))
-    mode = counts.groupBy("l_suppkey").agg(F.max_by("level", F.struct("c", -F.col("level"))).alias("mode_level"))
-    out = counts.join(mode, "l_suppkey").groupBy("l_suppkey", "mode_level").agg(F.sum("c").alias("n"), F.sum(F.when(F.abs(F.col("level") - F.col("mode_level")) >= 2, F.col("c")).otherwise(0)).alias("anomalies"))
-    return out.where("n >= 4")
+    """Levels of headings against the commonest level of their numbering scheme and depth in the book."""
+    return integrity.heading_levels(view(spark, sf, _HEADS)).where("n >= 4")
+
+
+@query(f"{_GROUPS} SELECT book, scheme, depth::INTEGER AS depth, mode, before FROM (SELECT *, lag(mode) OVER (PARTITION BY book, scheme ORDER BY depth) AS before FROM m WHERE n >= 4) WHERE before >= mode")
+def heading_monotonicity(spark, sf):
+    """Depths whose commonest level isn't below that of the depth before it."""
+    w = Window.partitionBy("book", "scheme").orderBy("depth")
+    return integrity.heading_levels(view(spark, sf, _HEADS)).where("n >= 4").withColumn("before", F.lag("mode").over(w)).where("before >= mode").select("book", "scheme", "depth", "mode", "before")
 
 
 @query("""WITH e AS (SELECT doc_id, source, text FROM documents), a AS (SELECT e.doc_id, l.quality, l.toxic FROM e JOIN labels l USING (doc_id) WHERE l.toxic = 0)
