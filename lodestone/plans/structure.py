@@ -40,7 +40,7 @@ len(list_filter(w, lambda w: regexp_full_match(w, '\pL{{1,2}}')))::DOUBLE / grea
 2 * len(list_filter(range(3, len(short) + 1), lambda i: short[i] = short[i - 2]))::DOUBLE / greatest(1, n) AS f, coalesce(list_sum(list_transform(list_filter(shapes, lambda k: k >= 4), lambda k: least(1.0::DOUBLE, (k - 3) / 4.0::DOUBLE))), 0) / greatest(1, len(shapes)) AS h FROM s),
 r AS (SELECT doc_id, t, n, round_even(least(1.0::DOUBLE, a), 4) AS a, round_even(least(1.0::DOUBLE, b), 4) AS b, round_even(least(1.0::DOUBLE, c), 4) AS c, round_even(d, 4) AS d, round_even(e, 4) AS e, round_even(least(1.0::DOUBLE, f), 4) AS f, round_even(h, 4) AS h FROM g),
 x AS (SELECT *, CASE WHEN t = '' THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 0.18::DOUBLE * a + 0.10::DOUBLE * b + 0.15::DOUBLE * c + 0.34::DOUBLE * d + 0.08::DOUBLE * e + 0.10::DOUBLE * f + 0.05::DOUBLE * h) END AS score FROM r)
-SELECT doc_id, a AS replacement_chars, b AS punctuation_runs, c AS spaced_character_fragments, d AS tiny_token_ratio, e AS mixed_fragment_ratio, f AS repeated_broken_fragments, h AS abnormal_token_transitions, round_even(score, 4) AS score, score >= 0.12 AS confirmed, score <= 0.08 AS structurally_normal, n::BIGINT AS token_count FROM x""")
+SELECT doc_id, a AS replacement_chars, b AS punctuation_runs, c AS spaced_character_fragments, d AS tiny_token_ratio, e AS mixed_fragment_ratio, f AS repeated_broken_fragments, h AS abnormal_token_transitions, (k // 100 + (k % 100 > 50 OR (k % 100 = 50 AND k // 100 % 2 = 1))::INT)::DOUBLE / 10000 AS score, score >= 0.12 AS confirmed, score <= 0.08 AS structurally_normal, n::BIGINT AS token_count FROM (SELECT *, round(score * 1000000)::BIGINT AS k FROM x)""")
 def garble_profile(spark, sf):
     return fidelity.garble(_docs(spark, sf).select("doc_id", "text"), "text").select("doc_id", "garble.*")
 
