@@ -35,6 +35,7 @@ import html as _html
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pyarrow as pa
 import xxhash
@@ -227,12 +228,12 @@ class Page:
                 out[n[1]] = [up, *out[up]]
         return out
 
-    def text(self, judged: dict[int, int] | None) -> str:
-        """judged: what the tree of a host with statistics says of its nodes."""
+    def text(self, judged: Callable[[int], int] | None) -> str:
+        """judged: what the tree of a host with statistics says of a chain."""
         nodes, state = self.nodes, []
         for up, chain, named, _, _, hidden, name in nodes:
             kept, varied = state[up] if up >= 0 else (True, False)
-            says = judged.get(chain, 0) if judged is not None else 0
+            says = judged(chain) if judged is not None else 0
             title = says & IS_OWN and len(name) == 2 and name[0] == "h"
             gone = hidden or says & IS_STALE or named and not says & IS_HEAVY or not varied and says & IS_LOW and not title
             state.append((kept and not gone, varied or bool(says & IS_VARIED)))
@@ -243,7 +244,7 @@ class Page:
             def stays(k: int) -> bool:
                 if k < 0 or nodes[k][3]:
                     return k >= 0
-                says = judged.get(nodes[k][1], 0) if judged is not None else IS_OWN
+                says = judged(nodes[k][1]) if judged is not None else IS_OWN
                 return bool(says & IS_HEAVY) or nodes[k][6] == "h1" and not headed and bool(says & IS_OWN)
 
             keep = [x for x in keep if stays(x[0])]
@@ -258,93 +259,94 @@ def host(url: F.Column) -> F.Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1), F.lit("")))
 
 
-_TALLY = "kind int, key long, value long, n double, s double, host string, node long, path array<long>"
+def _key(site: str, chain: int) -> int:
+    """A node of a site's tree; for the whole page it is what Spark's xxhash64 gives for the host."""
+    return _signed(xxhash.xxh64_intdigest(site, chain if chain != WHOLE else 42))
+
+
+#: Child sequences, features, and the nodes above a node, of which the whole page is marked.
+LOOK, FEATURE, ABOVE = 0, 1, 2
 
 
 def tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content, share, importance) of the site style trees of all hosts."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("value", pa.int64()), ("n", pa.float64()), ("s", pa.float64()), ("host", pa.string()), ("node", pa.int64()), ("path", pa.list_(pa.int64()))])
-    page = F.xxhash64("html")
-    rows = pages.select(host(F.col("url")).alias("host"), "html").where("html <> ''").withColumn("page", page)
-    copied = rows.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1")
-    copied = written(copied, "copies")
+    """(node, site, pages, presentation, content, share, importance) of the site style trees of all hosts; node and site are keys, equal for the whole page."""
+    schema = pa.schema([("kind", pa.int8()), ("node", pa.int64()), ("value", pa.int64()), ("n", pa.float64()), ("s", pa.float64())])
+    rows = pages.select(host(F.col("url")).alias("host"), "html").where("html <> ''").withColumn("page", F.xxhash64("html"))
+    copied = written(rows.groupBy("host", "page").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
     few = copied.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES
     rows = rows.join(F.broadcast(copied) if few else copied, ["host", "page"], "left").select("host", "html", F.coalesce("copies", F.lit(1)).alias("copies"))
 
     def run(batches):
-        # (kind, key, value): [sum of weights, sum of weighted c log c]; kind 0 are child sequences, kind 1 features.
+        # (kind, node, value): [sum of weights, sum of weighted c log c].
         held: dict[tuple, list[float]] = {}
-        nodes: dict[tuple[str, int], int] = {}
+        known: dict[tuple[str, int], int] = {}
 
         def counted():
             k, v = list(held), list(held.values())
-            value = [_signed(x if q == 0 else xxhash.xxh64_intdigest(x)) for q, _, x in k]
-            parts = [pa.array([x[0] for x in k], pa.int32()), pa.array([x[1] for x in k], pa.int64()), pa.array(value, pa.int64()), pa.array([x[0] for x in v], pa.float64()), pa.array([x[1] for x in v], pa.float64())]
+            # 32 bits tell the words of one node apart, and are half of what is shuffled.
+            value = [xxhash.xxh32_intdigest(x) if q == FEATURE else x for q, _, x in k]
+            columns = [[x[0] for x in k], [x[1] for x in k], value, [x[0] for x in v], [x[1] for x in v]]
             held.clear()
-            return pa.RecordBatch.from_arrays([*parts, *(pa.nulls(len(k), f.type) for f in list(schema)[5:])], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-        def add(kind, key, value, n, s):
-            cell = held.get((kind, key, value))
+        def add(kind, node, value, n, s=0.0):
+            cell = held.get((kind, node, value))
             if cell is None:
-                held[kind, key, value] = [n, s]
+                held[kind, node, value] = [n, s]
             else:
                 cell[0] += n
                 cell[1] += s
 
         for b in batches:
-            for h, source, copies in zip(*(b.column(c).to_pylist() for c in ("host", "html", "copies")), strict=True):
-                p, weight, new = Page(source), 1.0 / copies, []
+            for site, source, copies in zip(*(b.column(c).to_pylist() for c in ("host", "html", "copies")), strict=True):
+                p, weight = Page(source), 1.0 / copies
                 paths = p.paths()
-                for chain in paths:
-                    if (h, chain) not in nodes:
-                        nodes[h, chain] = _signed(xxhash.xxh64_intdigest(h, chain))
-                        new.append({"kind": 2, "key": nodes[h, chain], "host": h, "node": _signed(chain), "path": [_signed(x) for x in paths[chain]]})
-                looks = p.looks()
-                looks[WHOLE] = 0
-                for chain, look in looks.items():
-                    add(0, nodes[h, chain], look, weight, 0.0)
+                for chain, above in paths.items():
+                    if (site, chain) not in known:
+                        known[site, chain] = _key(site, chain)
+                        for up in (chain, *above):
+                            add(ABOVE, known[site, chain], _key(site, up), 1.0, float(up == WHOLE))
+                add(LOOK, known[site, WHOLE], 0, weight)
+                for chain, look in p.looks().items():
+                    add(LOOK, known[site, chain], _signed(look), weight)
                 for chain, words in p.features().items():
-                    key = nodes[h, chain]
+                    node = known[site, chain]
                     for w, c in words.items():
-                        add(1, key, w, weight * c, weight * c * math.log(c) if c > 1 else 0.0)
-                if new:
-                    yield pa.RecordBatch.from_pylist(new, schema)
+                        add(FEATURE, node, w, weight * c, weight * c * math.log(c) if c > 1 else 0.0)
                 if len(held) > HELD:
                     yield counted()
-                if len(nodes) > HELD:
-                    nodes.clear()
+                if len(known) > HELD:
+                    known.clear()
         if held:
             yield counted()
 
-    tally = written(rows.mapInArrow(run, _TALLY), "tally")
     n_log_n = F.when(F.col("n") > 0, F.col("n") * F.log("n")).otherwise(0.0)
-    each = tally.where("kind < 2").groupBy("kind", "key", "value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    is_look = F.col("kind") == 0
-    sums = each.groupBy("key").agg(
-        F.sum(F.when(is_look, F.col("n")).otherwise(0.0)).alias("pages"), F.sum(F.when(is_look, n_log_n).otherwise(0.0)).alias("looks"),
-        F.sum(F.when(~is_look, F.col("n")).otherwise(0.0)).alias("total"), F.sum(F.when(~is_look, n_log_n - F.col("s")).otherwise(0.0)).alias("spread"),
+    each = rows.mapInArrow(run, "kind byte, node long, value long, n double, s double").groupBy("kind", "node", "value").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    of = lambda kind, v: F.sum(F.when(F.col("kind") == kind, v).otherwise(0.0))
+    # A row for the sums of each node, and one for each node above it.
+    sums = each.groupBy("node", F.when(F.col("kind") == ABOVE, F.col("value")).alias("above")).agg(
+        of(LOOK, F.col("n")).alias("pages"), of(LOOK, n_log_n).alias("looks"), of(FEATURE, F.col("n")).alias("total"), of(FEATURE, n_log_n - F.col("s")).alias("spread"), of(ABOVE, F.col("s")).alias("top")
     )
-    log_m = F.log("pages")
-    many = F.col("pages") > 1.5
-    sums = sums.select("key", F.round("pages").cast("long").alias("pages"), F.when(many, 1 - F.col("looks") / F.col("pages") / log_m).otherwise(1.0).alias("presentation"), "total", (F.col("total") - F.when(many, F.col("spread") / log_m).otherwise(0.0)).alias("says"))
-    nodes = tally.where("kind = 2").select("host", "node", "path", "key").dropDuplicates(["key"])
-    own = written(nodes.join(sums, "key"), "nodes")
-    branch = own.select("host", F.explode(F.concat(F.array("node"), "path")).alias("node"), "total", "says").groupBy("host", "node").agg(F.sum("total").alias("total"), F.sum("says").alias("says"))
-    whole = branch.where(F.col("node") == WHOLE).select("host", F.col("says").alias("all_says"))
-    out = own.select("host", "node", "pages", "presentation").join(branch, ["host", "node"]).join(whole, "host")
+    sums = written(sums, "nodes")
+    log_m, many = F.log("pages"), F.col("pages") > 1.5
+    own = sums.where("above IS NULL").select("node", F.round("pages").cast("long").alias("pages"), F.when(many, 1 - F.col("looks") / F.col("pages") / log_m).otherwise(1.0).alias("presentation"), "total", (F.col("total") - F.when(many, F.col("spread") / log_m).otherwise(0.0)).alias("says"))
+    above = sums.where("above IS NOT NULL").select("node", "above", "top")
+    branch = above.join(own.select("node", "total", "says"), "node").groupBy(F.col("above").alias("node")).agg(F.sum("total").alias("total"), F.sum("says").alias("says"))
+    out = own.select("node", "pages", "presentation").join(branch, "node").join(above.where("top > 0").select("node", F.col("above").alias("site")), "node")
+    whole = branch.select(F.col("node").alias("site"), F.col("says").alias("all_says"))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    out = out.select("host", "node", "pages", "presentation", ratio("says", "total").alias("content"), ratio("says", "all_says").alias("share"))
+    out = out.join(whole, "site").select("node", "site", "pages", "presentation", ratio("says", "total").alias("content"), ratio("says", "all_says").alias("share"))
     return out.withColumn("importance", 1 - (1 - F.col("presentation")) * (1 - F.col("share")))
 
 
 def judge(nodes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(host, node, says) of the nodes that MIN_PAGES pages have, on hosts with as many; a host's row for the whole page marks it as such."""
+    """(site, node, says) of the nodes that MIN_PAGES pages have; a site's row for the whole page marks it as one with statistics."""
     known = nodes.where(F.col("pages") >= MIN_PAGES)
     bit = lambda test, value: F.when(test, F.lit(value)).otherwise(0)
     low = F.col("importance") < threshold
     says = bit(F.col("content") < STALE, IS_STALE) + bit(low, IS_LOW) + bit(~low & (F.col("presentation") >= VARIED), IS_VARIED) + bit(F.col("content") >= OWN, IS_OWN) + bit(F.col("share") >= HEAVY, IS_HEAVY)
     # A branch without any feature says nothing, and there is nothing to remove of it.
-    return known.select("host", "node", F.when(F.col("node") == WHOLE, F.lit(0)).otherwise(says).alias("says"))
+    return known.select("site", "node", F.when(F.col("node") == F.col("site"), F.lit(0)).otherwise(says).alias("says"))
 
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -359,31 +361,30 @@ def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         spare += "_"
     out = T.StructType([*pages.schema.fields, T.StructField("text", T.StringType())])
 
-    def texts(b, judged_of):
+    def texts(b, sites, judged_of):
         for k in range(0, b.num_rows, 256):
-            s = b.slice(k, 256)
-            got = [Page(h).text(judged_of(k + i)) if h else "" for i, h in enumerate(s.column("html").to_pylist())]
+            s, got = b.slice(k, 256), []
+            for i, h in enumerate(s.column("html").to_pylist(), k):
+                known = judged_of(i)
+                got.append(Page(h).text((lambda chain, at=sites[i], known=known: known.get(_key(at, chain), 0)) if _key(sites[i], WHOLE) in known else None) if h else "")
             yield pa.RecordBatch.from_arrays([*(s.column(i) for i in range(len(names))), pa.array(got, pa.string())], [*names, "text"])
 
     if few:
-        by_host: dict[str, dict[int, int]] = {}
-        for r in rules.toLocalIterator():
-            by_host.setdefault(r.host, {})[r.node % (1 << 64)] = r.says
-        shared = spark.sparkContext.broadcast(by_host)
+        shared = spark.sparkContext.broadcast({r.node: r.says for r in rules.toLocalIterator()})
 
         def run(batches):
             for b in batches:
-                hosts = b.column(len(names)).to_pylist()
-                yield from texts(b, lambda i, hosts=hosts: shared.value.get(hosts[i]))
+                yield from texts(b, b.column(len(names)).to_pylist(), lambda i: shared.value)
 
         return pages.select("*", host(F.col("url")).alias(spare)).mapInArrow(run, out)
     # A host's rules are as many as its templates have nodes; AQE splits a large host's pages.
-    lists = rules.groupBy(F.col("host").alias(spare)).agg(F.collect_list(F.struct("node", "says")).alias(f"{spare}_rules"))
-    joined = pages.select("*", host(F.col("url")).alias(spare)).join(lists, spare, "left").select(*names, f"{spare}_rules")
+    lists = rules.groupBy(F.col("site").alias(f"{spare}_site")).agg(F.map_from_entries(F.collect_list(F.struct("node", "says"))).alias(f"{spare}_rules"))
+    of = pages.select("*", host(F.col("url")).alias(spare))
+    joined = of.join(lists, F.xxhash64(of[spare]) == lists[f"{spare}_site"], "left").select(*names, spare, f"{spare}_rules")
 
     def run_joined(batches):
         for b in batches:
-            of = [None if r is None else {x["node"] % (1 << 64): x["says"] for x in r} for r in b.column(len(names)).to_pylist()]
-            yield from texts(b, lambda i, of=of: of[i])
+            found = [dict(r or ()) for r in b.column(len(names) + 1).to_pylist()]
+            yield from texts(b, b.column(len(names)).to_pylist(), lambda i, found=found: found[i])
 
     return joined.mapInArrow(run_joined, out)

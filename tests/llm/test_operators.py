@@ -592,7 +592,7 @@ def brute_tree(pages):
     for node, seen in looks.items():
         presentation = entropy([seen.count(x) for x in set(seen)], len(seen)) if len(seen) > 1 else 1.0
         content, share = (says[node] / total[node] if total[node] else 0.0), (says[node] / says[site_style.WHOLE] if says[site_style.WHOLE] else 0.0)
-        out[site_style._signed(node)] = (len(seen), *(round(x, 6) for x in (presentation, content, share, 1 - (1 - presentation) * (1 - share))))
+        out[node] = (len(seen), *(round(x, 6) for x in (presentation, content, share, 1 - (1 - presentation) * (1 - share))))
     return out
 
 
@@ -606,8 +606,9 @@ def test_tree_equals_its_definition(spark, monkeypatch):
         monkeypatch.setattr(site_style, "BROADCAST_COPIES", most)
         got = {}
         for r in site_style.tree(spark.createDataFrame(rows, "url string, html string").repartition(3)).collect():
-            got.setdefault(r.host, {})[r.node] = (r.pages, *(round(x, 6) + 0.0 for x in (r.presentation, r.content, r.share, r.importance)))
-        assert got == {h: brute_tree([p for p in ps if p]) for h, ps in sites.items()}
+            got.setdefault(r.site, {})[r.node] = (r.pages, *(round(x, 6) + 0.0 for x in (r.presentation, r.content, r.share, r.importance)))
+        want = {h: brute_tree([p for p in ps if p]) for h, ps in sites.items()}
+        assert got == {site_style._key(h, site_style.WHOLE): {site_style._key(h, node): v for node, v in nodes.items()} for h, nodes in want.items()}
 
 
 def test_the_tree_finds_the_articles_of_pages_without_names(spark, sf, monkeypatch):
