@@ -25,6 +25,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import written
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hash slices of a source: one for each value of the key's first two hex digits.
 SLICES = 256
@@ -104,7 +106,18 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 
 
 def replay(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents with their own columns, a row for each taking (a part counts as one), ordered by the position of the taking, then doc_id. The rows are carried through, so null and repeated doc_ids do no harm."""
-    rows = _planned(docs, [F.struct(*docs.columns).alias("__row")], **how)
-    rows = rows.select("__row", F.explode("takings.position").alias("__position"))
-    return rows.orderBy("__position", "__row.doc_id").select("__row.*")
+    """The mixed documents with their own columns, a row for each taking (a part counts as one), ordered by the position of the taking, then doc_id.
+
+    Rows are numbered in a written table and positions are worked out without the texts, so a text is shuffled twice, to meet its positions and to be
+    sorted by them; null and repeated doc_ids do no harm.
+    """
+    number, place = _unused(docs, "__number"), _unused(docs, "__position")
+    rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "mixture")
+    plan = _planned(rows, [F.col(number)], **how).select(number, F.explode("takings.position").alias(place))
+    return rows.join(plan, number).orderBy(place, "doc_id").select(*docs.columns)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
