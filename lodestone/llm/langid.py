@@ -161,12 +161,15 @@ def fit(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     if len(sizes) > MOST_LANGS:
         raise ValueError(f"{len(sizes)} languages are more than {MOST_LANGS}")
     per_lang = max(1, min(per_lang, TRAIN_TOTAL // len(sizes)))
-    # The place of each text among the tickets of its language, without the texts; a task passes on no more than per_lang of a language.
+    # Texts are chosen by ticket, the hash of doc_id and text: of each language those below a bound that leaves about twice as many as are wanted, then exactly the lowest.
     ticket = F.xxhash64(F.col("doc_id").cast("string"), "text")
     tickets = known.select("lang", ticket.alias("ticket")).distinct()
-    tickets = tickets.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))).where(F.col("place") <= per_lang)
-    last = {r["lang"]: r["last"] for r in tickets.groupBy("lang").agg(F.max("ticket").alias("last")).collect()}
-    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(t)) for k, t in last.items()])
+    distinct = {r["lang"]: r["count"] for r in tickets.groupBy("lang").count().collect()}  # one row per language
+    bounds = {k: (1 << 63) - 1 if n <= 4 * per_lang else (2 * per_lang << 64) // n - (1 << 63) for k, n in distinct.items()}
+    below = lambda of: F.coalesce(*[F.when(F.col("lang") == k, F.lit(t)) for k, t in of.items()])
+    few = tickets.where(F.col("ticket") <= below(bounds)).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("ticket"))).where(F.col("place") <= per_lang)
+    last = {r["lang"]: r["last"] for r in few.groupBy("lang").agg(F.max("ticket").alias("last")).collect()}
+    bound = below(last)
     chosen = known.select("lang", ticket.alias("ticket"), "text").where(F.col("ticket") <= bound).dropDuplicates(["lang", "ticket"])
 
     def counted(batches):
