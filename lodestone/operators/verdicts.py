@@ -92,3 +92,51 @@ def unsafe_overlay(original: Column, proposed: Column, truncated: Column, guard_
     a, b = (F.lower(F.trim(F.regexp_replace(F.coalesce(t, F.lit("")), r"\s+", " "))) for t in (original, proposed))
     part = (F.length(a) >= 80) & (b != "") & (F.length(b) < 0.90 * F.length(a)) & (F.startswith(a, b) | F.endswith(a, b))
     return F.coalesce(truncated, F.lit(False)) | (F.size(F.coalesce(guard_reasons, F.expr("cast(array() AS array<string>)"))) > 0) | ~F.coalesce(profile_accepted, F.lit(False)) | part
+
+
+# The length of kept evidence, the longest run of words sought, and marks of a prompt.
+EVIDENCE_CHARS, EVIDENCE_WORDS = 120, 16
+MARKERS = ["NEARBY CONTEXT:", "ORIGINAL TEXT:", "SUSPECT TEXT:", "CONTEXT:", "CORRECTED TEXT:", "PI5 PROPOSAL:"]
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Every n words in a row, joined by one space."""
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - (n - 1)))
+    return F.when(F.size(words) >= n, F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.expr("cast(array() AS array<string>)"))
+
+
+def recover_evidence(df: DataFrame, evidence: str, suspect: str) -> DataFrame:
+    """Adds recovered: struct<span, method>. The shortest quotation that stands in the suspect text; else the evidence itself if it stands there; else the longest run of the suspect's words, first of equals, that the evidence holds.
+
+    Nothing is matched loosely: apart from quotes, case and blanks, a span stands in the text as it is.
+    """
+    df = df.withColumns({"__raw": F.trim(F.coalesce(evidence, F.lit(""))), "__in": evidence_text(F.col(suspect)), "__words": F.filter(F.split(F.coalesce(suspect, F.lit("")), r"\s+"), lambda w: w != "")})
+    df = df.withColumn("__said", evidence_text(F.col("__raw")))
+    quoted = F.transform(F.regexp_extract_all("__raw", F.lit("[\"'‘’“”]([^\"'‘’“”]{1,500})[\"'‘’“”]"), F.lit(1)), lambda q: F.trim(q))
+    there = F.filter(quoted, lambda q: (evidence_text(q) != "") & F.contains(F.col("__in"), evidence_text(q)))
+    quote = F.array_min(F.transform(there, lambda q, i: F.struct(F.length(q).alias("n"), i.alias("i"), q.alias("q"))))["q"]
+    df = df.withColumn("__quote", quote)
+    fits = lambda run: (F.length(run) <= EVIDENCE_CHARS) & (F.length(F.regexp_replace(run, r"[^\p{L}\p{N}_]", "")) >= 4) & F.contains(F.col("__said"), evidence_text(run))
+    longest = F.coalesce(*[F.get(F.filter(_runs(F.col("__words"), n), fits), F.lit(0)) for n in range(EVIDENCE_WORDS, 0, -1)])
+    has_quote, whole = F.length("__quote") <= EVIDENCE_CHARS, (F.col("__said") != "") & F.contains(F.col("__in"), F.col("__said")) & (F.length("__raw") <= EVIDENCE_CHARS)
+    df = df.withColumn("__run", F.when(~F.coalesce(has_quote, F.lit(False)) & ~whole, longest))
+    none = (F.col("__raw") == "") | (F.coalesce(suspect, F.lit("")) == "")
+    span = F.when(none, "").when(has_quote, F.col("__quote")).when(whole, F.col("__raw")).otherwise(F.coalesce("__run", F.rtrim(F.substring("__raw", 1, EVIDENCE_CHARS))))
+    method = F.when(none, None).when(has_quote, "QUOTED_SOURCE_SPAN").when(whole, None).when(F.col("__run").isNotNull(), F.when(F.length("__raw") > EVIDENCE_CHARS, "TRIMMED_EXACT_SOURCE_SPAN").otherwise("WRAPPED_SOURCE_SPAN"))
+    return df.withColumn("recovered", F.struct(span.alias("span"), method.alias("method"))).drop("__raw", "__in", "__words", "__said", "__quote", "__run")
+
+
+def points_at(observed: Column, evidence: Column) -> Column:
+    """Whether the evidence holds one of the spellings that the document itself makes doubtful."""
+    said = evidence_text(evidence)
+    return (said != "") & F.exists(observed, lambda o: (evidence_text(o) != "") & F.contains(said, evidence_text(o)))
+
+
+def scope_guard(df: DataFrame, original: str, context: str, proposed: str) -> DataFrame:
+    """Adds scope: struct<accepted, reasons>: a correction that repeats marks of its prompt, or six to eight words in a row of its context that the original hasn't."""
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    df = df.withColumns({"__new": F.lower(plain(F.col(proposed))), "__old": F.lower(plain(F.col(original))), "__near": F.filter(F.split(F.lower(plain(F.col(context))), " "), lambda w: w != "")})
+    leaked = F.exists(F.concat(*[_runs(F.col("__near"), n) for n in (8, 7, 6)]), lambda r: F.contains(F.col("__new"), r) & ~F.contains(F.col("__old"), r))
+    marked = F.exists(F.array(*[F.lit(m.lower()) for m in MARKERS]), lambda m: F.contains(F.col("__new"), m))
+    reasons = F.array_compact(F.array(F.when(marked, "PROMPT_OR_CONTEXT_MARKER_LEAKAGE"), F.when(leaked, "NEARBY_CONTEXT_COPIED_INTO_CORRECTION")))
+    return df.withColumn("scope", F.struct((F.size(reasons) == 0).alias("accepted"), reasons.alias("reasons"))).drop("__new", "__old", "__near")
