@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The code of rows that sweep all pictures of a book, and the errors of an endpoint that was down.
+# The code of rows that sweep all pictures of a book, and the errors of an endpoint that was down. How a remote service says that it failed itself is its own.
 SWEEP = "FULL_TECHNICAL_VISUAL"
 OUTAGES = ["ConnectError", "ConnectTimeout", "ConnectionError", "NetworkError"]
-REMOTE_FAILURE = "Docling Serve reported a task failure"
+REMOTE_FAILURE = "The remote service reported a task failure"
 LONGEST_MESSAGE = 2_000
 
 

@@ -14,16 +14,16 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 CONVERSIONS = """SELECT o_orderkey AS id, concat('book', CAST(o_custkey AS STRING), '.pdf') AS filename,
 CASE WHEN o_orderkey % 7 IN (0, 1) THEN 'processing' WHEN o_orderkey % 7 IN (2, 3) THEN 'failed' WHEN o_orderkey % 7 = 4 THEN 'completed' ELSE 'pending' END AS status,
 CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN '' ELSE concat('task', CAST(o_orderkey AS STRING)) END AS task_id,
-CASE WHEN o_orderkey % 11 < 4 THEN 'Docling Serve reported a task failure: x' WHEN o_orderkey % 11 < 8 THEN 'ReadTimeout' END AS error_message, CASE WHEN o_orderkey % 11 < 8 THEN 'Error' END AS error_type,
+CASE WHEN o_orderkey % 11 < 4 THEN 'The remote service reported a task failure: x' WHEN o_orderkey % 11 < 8 THEN 'ReadTimeout' END AS error_message, CASE WHEN o_orderkey % 11 < 8 THEN 'Error' END AS error_type,
 CAST(o_orderkey % 4 AS INT) AS retry_count, CAST(o_orderkey % 97 AS DOUBLE) AS seconds, o_orderkey * 10 AS submitted_at, CASE WHEN o_orderkey % 7 IN (2, 3, 4) THEN o_orderkey * 10 + 5 END AS completed_at,
 CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE concat('h', CAST(o_orderkey % 90 AS STRING), 'abcdefghij') END AS sha256, CASE WHEN o_orderkey % 6 < 2 THEN NULL ELSE o_orderkey % 13 END AS size, CASE WHEN o_orderkey % 6 < 2 THEN NULL ELSE o_orderkey % 5 END AS mtime,
 CASE WHEN o_orderkey % 8 = 0 THEN 'converted_folder' ELSE 'watcher' END AS kind, concat('out', CAST(o_orderkey % 300 AS STRING), '.zip') AS output_filename FROM orders"""
 
-VERIFICATIONS = """SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS book, concat('g', CAST(l_orderkey % 2 AS STRING)) AS generation, concat('R', CAST(l_partkey % 400 AS STRING)) AS route_id, CASE WHEN l_partkey % 2 = 0 THEN 'pi5' ELSE 'oneplus' END AS target,
+VERIFICATIONS = """SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS book, concat('g', CAST(l_orderkey % 2 AS STRING)) AS generation, concat('R', CAST(l_partkey % 400 AS STRING)) AS route_id, CASE WHEN l_partkey % 2 = 0 THEN 'text_lane' ELSE 'picture_lane' END AS target,
 CASE WHEN l_orderkey % 5 = 0 THEN 'FULL_TECHNICAL_VISUAL' WHEN l_orderkey % 5 = 1 THEN NULL ELSE concat('C', CAST(l_orderkey % 3 AS STRING)) END AS code, CASE WHEN l_linenumber = 1 THEN 'high' WHEN l_linenumber = 2 THEN 'medium' WHEN l_linenumber = 3 THEN 'low' END AS priority, CAST(l_quantity AS INT) AS priority_score,
 concat('{"index": ', CASE WHEN l_partkey % 9 = 0 THEN '"x"' ELSE CAST(l_partkey % 40 AS STRING) END, '}') AS source_json,
 CASE WHEN l_suppkey % 4 = 0 AND (l_orderkey % 5 > 0 OR l_suppkey % 8 = 0) THEN 'completed' WHEN l_orderkey % 6 = 0 THEN 'processing' WHEN l_orderkey % 6 = 1 THEN 'failed' WHEN l_orderkey % 6 < 4 THEN 'pending' ELSE 'completed' END AS status,
-CAST(l_linenumber % 2 AS INT) AS authorized, CASE WHEN l_orderkey % 5 = 0 AND l_linenumber % 2 = 0 THEN 'awaiting_normal' WHEN l_linenumber % 3 = 0 THEN 'manual' END AS run_mode, CASE WHEN l_orderkey % 8 = 0 THEN 0 ELSE 1 END AS is_current, CASE WHEN l_partkey % 3 = 0 THEN 'pi5' WHEN l_partkey % 3 = 1 THEN 'oneplus' END AS claimed_by,
+CAST(l_linenumber % 2 AS INT) AS authorized, CASE WHEN l_orderkey % 5 = 0 AND l_linenumber % 2 = 0 THEN 'awaiting_normal' WHEN l_linenumber % 3 = 0 THEN 'manual' END AS run_mode, CASE WHEN l_orderkey % 8 = 0 THEN 0 ELSE 1 END AS is_current, CASE WHEN l_partkey % 3 = 0 THEN 'text_lane' WHEN l_partkey % 3 = 1 THEN 'picture_lane' END AS claimed_by,
 CAST(l_linenumber AS INT) AS attempt_count, CAST(l_linenumber % 4 AS INT) AS retry_count, CASE WHEN l_linenumber % 2 = 1 THEN l_orderkey END AS next_attempt_at, CASE WHEN l_linenumber > 2 THEN l_orderkey + 1 END AS started_at, CASE WHEN l_linenumber > 3 THEN l_orderkey + 2 END AS completed_at, CAST(l_linenumber AS DOUBLE) AS seconds,
 CASE WHEN l_linenumber = 1 THEN 'ConnectError' WHEN l_linenumber = 2 THEN 'NetworkError' WHEN l_linenumber = 3 THEN 'ValueError' END AS error_type, CASE WHEN l_linenumber < 4 THEN 'it broke' END AS error_message FROM lineitem"""
 

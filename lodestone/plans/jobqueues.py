@@ -53,7 +53,7 @@ def job_event_marks(spark, sf):
 
 
 @query(f"""{_C} SELECT id, CASE WHEN status <> 'failed' THEN status WHEN again THEN 'processing' ELSE 'pending' END AS status, CASE WHEN status <> 'failed' OR again THEN task_id END AS task_id, CASE WHEN status = 'failed' THEN 7 ELSE submitted_at END AS submitted_at,
-CASE WHEN status <> 'failed' THEN seconds END AS seconds, retry_count + (status = 'failed')::INT AS retry_count, CASE WHEN status <> 'failed' THEN error_message END AS error_message FROM (SELECT *, coalesce(task_id, '') <> '' AND NOT coalesce(starts_with(error_message, 'Docling Serve reported a task failure'), false) AS again FROM c)""")
+CASE WHEN status <> 'failed' THEN seconds END AS seconds, retry_count + (status = 'failed')::INT AS retry_count, CASE WHEN status <> 'failed' THEN error_message END AS error_message FROM (SELECT *, coalesce(task_id, '') <> '' AND NOT coalesce(starts_with(error_message, 'The remote service reported a task failure'), false) AS again FROM c)""")
 def retry_or_resume_conversions(spark, sf):
     return j.retry_conversions(_c(spark, sf), F.lit(7)).select("id", "status", "task_id", "submitted_at", "seconds", "retry_count", "error_message")
 
@@ -104,10 +104,10 @@ def register_converted_outputs(spark, sf):
 _WAITS = "is_current = 1 AND status = 'pending'"
 
 
-@query(f"""{_V}, b AS (SELECT DISTINCT book FROM v WHERE {_WAITS} AND {_NORMAL} AND target = 'pi5') SELECT id, CASE WHEN {_WAITS} AND {_NORMAL} AND target = 'pi5' THEN 1 WHEN {_WAITS} AND {_SWEEP} AND book IN (FROM b) THEN 0 ELSE authorized END AS authorized,
-CASE WHEN {_WAITS} AND {_NORMAL} AND target = 'pi5' THEN 'manual' WHEN {_WAITS} AND {_SWEEP} AND book IN (FROM b) THEN 'awaiting_normal' ELSE run_mode END AS run_mode FROM v""")
+@query(f"""{_V}, b AS (SELECT DISTINCT book FROM v WHERE {_WAITS} AND {_NORMAL} AND target = 'text_lane') SELECT id, CASE WHEN {_WAITS} AND {_NORMAL} AND target = 'text_lane' THEN 1 WHEN {_WAITS} AND {_SWEEP} AND book IN (FROM b) THEN 0 ELSE authorized END AS authorized,
+CASE WHEN {_WAITS} AND {_NORMAL} AND target = 'text_lane' THEN 'manual' WHEN {_WAITS} AND {_SWEEP} AND book IN (FROM b) THEN 'awaiting_normal' ELSE run_mode END AS run_mode FROM v""")
 def start_manual_batch(spark, sf):
-    return j.start_batch(_v(spark, sf), target="pi5").select("id", "authorized", "run_mode")
+    return j.start_batch(_v(spark, sf), target="text_lane").select("id", "authorized", "run_mode")
 
 
 @query(f"""{_V}, b AS (SELECT DISTINCT book FROM v WHERE {_WAITS} AND {_NORMAL} AND book IN (1, 2, 3)) SELECT id, CASE WHEN {_WAITS} AND {_NORMAL} AND book IN (1, 2, 3) THEN 1 WHEN {_WAITS} AND {_SWEEP} AND book IN (FROM b) THEN 0 ELSE authorized END AS authorized,
@@ -116,15 +116,15 @@ def start_manual_books(spark, sf):
     return j.start_batch(_v(spark, sf), books=[1, 2, 3]).select("id", "authorized", "next_attempt_at")
 
 
-@query(f"""{_V}, a AS (SELECT id, book, code, status, is_current, next_attempt_at, CASE WHEN hit THEN 0 ELSE authorized END AS authorized, CASE WHEN hit THEN 'awaiting_normal' ELSE run_mode END AS run_mode FROM (SELECT *, coalesce({_SWEEP}, false) AND {_WAITS} AND target = 'oneplus' AS hit FROM v))
+@query(f"""{_V}, a AS (SELECT id, book, code, status, is_current, next_attempt_at, CASE WHEN hit THEN 0 ELSE authorized END AS authorized, CASE WHEN hit THEN 'awaiting_normal' ELSE run_mode END AS run_mode FROM (SELECT *, coalesce({_SWEEP}, false) AND {_WAITS} AND target = 'picture_lane' AS hit FROM v))
 SELECT id, CASE WHEN ok THEN 1 ELSE authorized END AS authorized, CASE WHEN ok THEN 'artifact_ready' ELSE run_mode END AS run_mode FROM (SELECT *, coalesce({_SWEEP} AND {_WAITS} AND authorized = 0 AND run_mode = 'awaiting_normal' AND NOT EXISTS (SELECT 1 FROM v n WHERE n.book = a.book AND n.is_current = 1 AND coalesce(n.code, '') <> 'FULL_TECHNICAL_VISUAL' AND n.status <> 'completed'), false) AS ok FROM a)""")
 def arm_and_release_sweeps(spark, sf):
-    return j.release_sweeps(j.arm_sweeps(_v(spark, sf), "oneplus")).select("id", "authorized", "run_mode")
+    return j.release_sweeps(j.arm_sweeps(_v(spark, sf), "picture_lane")).select("id", "authorized", "run_mode")
 
 
-@query(f"{_V} SELECT id, CASE WHEN hit THEN 0 ELSE authorized END AS authorized, CASE WHEN NOT hit THEN run_mode END AS run_mode FROM (SELECT *, target = 'pi5' AND {_WAITS} AND authorized = 1 AS hit FROM v)")
+@query(f"{_V} SELECT id, CASE WHEN hit THEN 0 ELSE authorized END AS authorized, CASE WHEN NOT hit THEN run_mode END AS run_mode FROM (SELECT *, target = 'text_lane' AND {_WAITS} AND authorized = 1 AS hit FROM v)")
 def clear_manual_authorizations(spark, sf):
-    return j.clear_authorizations(_v(spark, sf), "pi5").select("id", "authorized", "run_mode")
+    return j.clear_authorizations(_v(spark, sf), "text_lane").select("id", "authorized", "run_mode")
 
 
 @query(f"{_V} SELECT id, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN hit THEN 1 ELSE authorized END AS authorized, CASE WHEN hit THEN 'manual' ELSE run_mode END AS run_mode FROM (SELECT *, status = 'failed' AND is_current = 1 AS hit FROM v)")
@@ -140,15 +140,15 @@ def retry_failed_sweeps(spark, sf):
     return after.where("was = 'failed' AND status = 'pending' AND run_mode = 'awaiting_normal' AND authorized = 0").groupBy("target").agg(F.count("*").alias("armed"))
 
 
-_ROUTES = """SELECT l_suppkey AS book, 'g1' AS generation, CASE WHEN l_partkey % 17 = 0 THEN '' ELSE concat('R', CAST(l_partkey % 450 AS STRING)) END AS route_id, CASE WHEN l_partkey % 7 = 0 THEN 'none' WHEN l_partkey % 2 = 0 THEN 'pi5' ELSE 'oneplus' END AS target, concat('N', CAST(l_linenumber AS STRING)) AS code, 'low' AS priority,
+_ROUTES = """SELECT l_suppkey AS book, 'g1' AS generation, CASE WHEN l_partkey % 17 = 0 THEN '' ELSE concat('R', CAST(l_partkey % 450 AS STRING)) END AS route_id, CASE WHEN l_partkey % 7 = 0 THEN 'none' WHEN l_partkey % 2 = 0 THEN 'text_lane' ELSE 'picture_lane' END AS target, concat('N', CAST(l_linenumber AS STRING)) AS code, 'low' AS priority,
 CAST(l_linenumber AS INT) AS priority_score, l_orderkey * 10 + l_linenumber AS came_at FROM lineitem WHERE l_suppkey % 3 = 0"""
 
 
-@query(f"""{_V}, r AS (SELECT *, row_number() OVER (PARTITION BY book, generation, route_id, target ORDER BY came_at DESC, code DESC, priority_score DESC) AS n FROM ({_ROUTES}) WHERE target IN ('pi5', 'oneplus') AND route_id <> ''), s AS (SELECT * FROM r WHERE n = 1)
+@query(f"""{_V}, r AS (SELECT *, row_number() OVER (PARTITION BY book, generation, route_id, target ORDER BY came_at DESC, code DESC, priority_score DESC) AS n FROM ({_ROUTES}) WHERE target IN ('text_lane', 'picture_lane') AND route_id <> ''), s AS (SELECT * FROM r WHERE n = 1)
 SELECT v.book, v.generation, v.route_id, v.target, v.id, CASE WHEN s.book IS NOT NULL THEN s.code ELSE v.code END AS code, CASE WHEN s.book IS NOT NULL THEN 1 WHEN v.generation <> 'g1' AND v.book IN (SELECT book FROM s) THEN 0 ELSE v.is_current END AS is_current, v.status FROM v LEFT JOIN s USING (book, generation, route_id, target)
 UNION ALL SELECT book, generation, route_id, target, NULL, code, 1, 'pending' FROM s WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.book = s.book AND v.generation = s.generation AND v.route_id = s.route_id AND v.target = s.target)""")
 def sync_verification_routes(spark, sf):
-    return j.sync_routes(_v(spark, sf), view(spark, sf, _ROUTES), ["pi5", "oneplus"]).select("book", "generation", "route_id", "target", "id", "code", "is_current", "status")
+    return j.sync_routes(_v(spark, sf), view(spark, sf, _ROUTES), ["text_lane", "picture_lane"]).select("book", "generation", "route_id", "target", "id", "code", "is_current", "status")
 
 
 _PICTURES = "SELECT ps.l_suppkey AS book, ps.l_partkey % 90 AS index, CASE WHEN ps.l_partkey % 4 = 0 THEN 'Electrical_Schematic' WHEN ps.l_partkey % 4 = 1 THEN 'logo' ELSE 'pid' END AS class FROM lineitem ps WHERE ps.l_orderkey % 10 = 0"
@@ -167,14 +167,14 @@ def artifact_sweep_plan(spark, sf):
 
 _STATES = ["pending", "processing", "completed", "failed"]
 _LANE = f"CASE WHEN {_SWEEP} THEN coalesce(claimed_by, target) ELSE target END"
-_LANES = [f"count_if({'target' if s == 'pending' else _LANE} = '{t}' AND status = '{s}')::BIGINT AS {t}_{s}" for t in ("pi5", "oneplus") for s in _STATES]
-_KINDS = {"text": f"{_NORMAL} AND target = 'pi5'", "vision": f"{_NORMAL} AND target = 'oneplus'", "artifact": _SWEEP}
+_LANES = [f"count_if({'target' if s == 'pending' else _LANE} = '{t}' AND status = '{s}')::BIGINT AS {t}_{s}" for t in ("text_lane", "picture_lane") for s in _STATES]
+_KINDS = {"text": f"{_NORMAL} AND target = 'text_lane'", "vision": f"{_NORMAL} AND target = 'picture_lane'", "artifact": _SWEEP}
 _LANES += [f"count_if(({k}) AND status = '{s}')::BIGINT AS {n}_{s}" for n, k in _KINDS.items() for s in _STATES] + [f"count_if({k})::BIGINT AS {n}_total" for n, k in _KINDS.items()]
 
 
 @query(f"{_V} SELECT book, {', '.join(_LANES)}, count(*) AS total FROM v WHERE is_current = 1 GROUP BY book")
 def book_lane_counts(spark, sf):
-    return j.lane_counts(_v(spark, sf), ["pi5", "oneplus"], _STATES)
+    return j.lane_counts(_v(spark, sf), ["text_lane", "picture_lane"], _STATES)
 
 
 @query(f"{_V} SELECT target, {', '.join(f'''count_if(status = '{s}')::BIGINT AS {s}''' for s in _STATES)}, count(*) AS total, count_if(status = 'pending' AND authorized = 0)::BIGINT AS waiting_manual, count_if(status = 'pending' AND next_attempt_at > 2000)::BIGINT AS backoff FROM v WHERE is_current = 1 GROUP BY target")

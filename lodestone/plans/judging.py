@@ -166,7 +166,7 @@ def page_texts(spark, sf):
 _QUOTED = """SELECT o_orderkey AS id, 'The main pump stopped at noon, since oil presure was low' AS suspect, CASE o_orderkey % 8 WHEN 0 THEN 'main PUMP stopped' WHEN 1 THEN 'It says “oil presure” and “presure was low” here' WHEN 2 THEN concat('I think that since oil presure was low it broke ', repeat('x', CAST(o_orderkey % 3 AS INT) * 80)) WHEN 3 THEN 'nothing of it' WHEN 4 THEN '' WHEN 5 THEN 'at' WHEN 6 THEN 'see “not there” and pump' END AS said FROM orders"""
 
 
-@query(f"""WITH q AS ({_QUOTED}), n AS (SELECT *, lower(coalesce(suspect, '')) AS t, trim(coalesce(said, '')) AS raw, trim(regexp_replace(lower(regexp_replace(coalesce(said, ''), '["''“”]', '', 'g')), '\s+', ' ', 'g')) AS s, string_split(suspect, ' ') AS w FROM q),
+@query(f"""WITH q AS ({_QUOTED}), n AS (SELECT *, lower(coalesce(suspect, '')) AS t, trim(coalesce(said, '')) AS raw, trim(regexp_replace(lower(regexp_replace(coalesce(said, ''), '["''“”]', '', 'g')), '\\s+', ' ', 'g')) AS s, string_split(suspect, ' ') AS w FROM q),
 x AS (SELECT *, list_filter(regexp_extract_all(raw, '[“”]([^“”]{{1,500}})[“”]', 1), lambda z: contains(t, lower(z))) AS quotes FROM n), r AS (SELECT id, t, raw, s, quotes, list_reduce(list_prepend('', flatten(list_transform(range(1, len(w) + 1), lambda a: list_transform(range(a, least(a + 15, len(w)) + 1), lambda b: CASE WHEN length(regexp_replace(array_to_string(w[a:b], ''), '[^A-Za-z0-9]', '', 'g')) >= 4 AND contains(s, lower(array_to_string(w[a:b], ' '))) THEN array_to_string(w[a:b], ' ') ELSE '' END)))),
 lambda p, z: CASE WHEN len(string_split(z, ' ')) * (z <> '')::INT > len(string_split(p, ' ')) * (p <> '')::INT THEN z ELSE p END) AS run FROM x)
 SELECT id, CASE WHEN raw = '' THEN '' WHEN len(quotes) > 0 THEN (SELECT z FROM (SELECT unnest(quotes) AS z) ORDER BY length(z) LIMIT 1) WHEN s <> '' AND contains(t, s) THEN raw WHEN run <> '' THEN run ELSE substr(raw, 1, 120) END AS span,
@@ -178,7 +178,7 @@ def recover_source_evidence(spark, sf):
 _SCOPED = """SELECT o_orderkey AS id, 'open the drain valve' AS original, 'Then close the cover plate by hand and wait. Start again' AS context, CASE o_orderkey % 6 WHEN 0 THEN 'Open the drain valve' WHEN 1 THEN 'open the drain valve close the  COVER plate by hand and wait.' WHEN 2 THEN 'Corrected text: open the valve' WHEN 3 THEN 'close the cover plate by mistake' WHEN 4 THEN 'context: close the cover plate by hand and stop' END AS proposed FROM orders"""
 
 
-@query(f"""WITH q AS ({_SCOPED}), n AS (SELECT *, lower(trim(regexp_replace(coalesce(proposed, ''), '\s+', ' ', 'g'))) AS p, string_split(lower(context), ' ') AS w FROM q)
+@query(f"""WITH q AS ({_SCOPED}), n AS (SELECT *, lower(trim(regexp_replace(coalesce(proposed, ''), '\\s+', ' ', 'g'))) AS p, string_split(lower(context), ' ') AS w FROM q)
 SELECT id, concat_ws(',', CASE WHEN contains(p, 'context:') OR contains(p, 'text:') THEN 'PROMPT_OR_CONTEXT_MARKER_LEAKAGE' END, CASE WHEN len(list_filter(range(1, len(w) - 4), lambda i: contains(p, array_to_string(w[i:i + 5], ' ')))) > 0 THEN 'NEARBY_CONTEXT_COPIED_INTO_CORRECTION' END) AS reasons FROM n""")
 def correction_scope_guard(spark, sf):
     return verdicts.scope_guard(view(spark, sf, _SCOPED), "original", "context", "proposed").select("id", F.array_join("scope.reasons", ",").alias("reasons"))
