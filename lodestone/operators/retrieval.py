@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
+from lodestone.session import ship
 
 K1, B = 1.4, 0.75
 
@@ -37,18 +40,35 @@ def ranked(scores: DataFrame, k: int, by: list[str], digits: int = 6) -> DataFra
     return scores.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries of a block; every block meets every shard of the vectors once.
-QUERY_BLOCK = 256
+#: Queries that are sent to every task as one matrix; with more, blocks of QUERY_BLOCK meet the vectors in a join.
+BROADCAST_QUERIES, QUERY_BLOCK = 10_000, 256
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score): dot products of unit vectors with a stated set of queries.
-
-    The queries are dealt to blocks, a row each, and each vector is joined to the blocks by number: the vectors stay where the join puts them, and what is copied is one
-    number a block. Spark broadcasts the blocks if they are few; otherwise it shuffles both sides.
-    """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    """(query_id, id, score): dot products of unit vectors (id, v) with a stated set of queries (id, v), all of one length; a vector isn't scored for its own id."""
+    n = queries.limit(BROADCAST_QUERIES + 1).count()
+    if n > BROADCAST_QUERIES:
+        return _scores_in_blocks(vectors, queries)
+    ship(vectors.sparkSession)
+    asked = queries.where("v IS NOT NULL").select("id", "v").collect()
+    ids, matrix = np.array([r.id for r in asked], np.int64), np.array([r.v for r in asked], np.float64)
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows if len(ids) else 0, 512):
+                part = b.slice(k, 512)
+                of = part.column("id").to_numpy(zero_copy_only=False)
+                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(of), -1)
+                score = matrix @ v.T
+                q, i = np.nonzero(ids[:, None] != of[None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(of[i]), pa.array(score[q, i])], ["query_id", "id", "score"])
+
+    return vectors.where("v IS NOT NULL").select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "query_id long, id long, score double")
+
+
+def _scores_in_blocks(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """The same by a join of each vector with the numbers of all blocks: Spark broadcasts the blocks if they are few enough, or shuffles both sides."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
     dot = lambda q: F.aggregate(F.zip_with("v", q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)

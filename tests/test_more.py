@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import geometry, lexical
 from lodestone.functions.text import tokens
-from lodestone.operators import entries, grounding, jobtable, references, registry, tables, usage
+from lodestone.operators import entries, grounding, jobtable, references, registry, retrieval, tables, usage
 
 NONE = "cast(array() AS array<string>)"
 
@@ -75,6 +75,18 @@ def test_boxes(spark):
     assert one.select(geometry.from_corners(F.lit(5.0), F.lit(190.0), F.lit(1.0), F.lit(150.0), F.lit(None).cast("string"), F.lit(200.0)).alias("u")).first().u[:] == (1.0, 10.0, 5.0, 50.0)
 
 
+def test_vector_scores_either_way(spark, monkeypatch):
+    rnd = random.Random(2)
+    v = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(40)] + [(99, None)], "id long, v array<double>")
+    q = v.where("id % 7 = 0")
+    one = {(r.query_id, r.id): round(r.score, 9) for r in retrieval.vector_scores(v, q).collect()}
+    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 0)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    two = {(r.query_id, r.id): round(r.score, 9) for r in retrieval.vector_scores(v.where("v IS NOT NULL"), q).collect()}
+    assert one == two and len(one) == 6 * 39
+    assert retrieval.vector_scores(v, v.where("false")).count() == 0
+
+
 def test_transitions_leave_null_conditions_alone(spark):
     df = spark.createDataFrame([(1, "failed", None), (2, None, "x")], "id int, status string, error string")
     assert [tuple(r) for r in jobtable.transition(df, F.col("status") == "failed", status="pending", error=F.lit("e")).orderBy("id").collect()] == [(1, "pending", "e"), (2, None, "x")]
