@@ -78,9 +78,10 @@ def _scores_in_blocks(vectors: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def unit(v):
+    """A vector over its length; a zero vector stays as it is. The length is repeated beside the components, since a lambda would work it out for each of them."""
     v = F.transform(v, lambda x: x.cast("double"))
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+    return F.zip_with(v, F.array_repeat(F.when(norm > 0, norm).otherwise(1.0), F.size(v)), lambda x, n: x / n)
 
 
 def rrf(one: DataFrame, two: DataFrame, k: int = 60) -> DataFrame:
