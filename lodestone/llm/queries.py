@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe_backtrack, curriculum, langid, media_sniff, pii_info, simhash_golay, site_style, token_store, url_asof, vptree
+from lodestone.llm import bpe_backtrack, cholesky_whitening, collocations, curriculum, langid, media_sniff, pii_info, simhash_golay, site_style, token_store, token_transducer, url_asof, vptree
 from lodestone.session import ship, written
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
+#: Tokens of a document over which op12 marks it.
+TOKEN_LIMIT = 2048
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 #: Rows in a batch that goes to Python. Whole texts may be long, so few travel together.
@@ -126,11 +129,66 @@ def op10_bpe_backtrack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_site_style, op2_token_store, op3_media_sniff, op4_vptree, op5_langid, op6_url_asof, op7_pii_info, op8_simhash_golay, op9_curriculum, op10_bpe_backtrack)}
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cholesky_whitening.whiten(_table(spark, sf_dir, "embeddings"), "embedding", "vec_id", k=4)
+
+
+def op12_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = token_transducer.count(docs, tokenizer_path(WORD_TOKENIZER))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_site_style,
+        op2_token_store,
+        op3_media_sniff,
+        op4_vptree,
+        op5_langid,
+        op6_url_asof,
+        op7_pii_info,
+        op8_simhash_golay,
+        op9_curriculum,
+        op10_bpe_backtrack,
+        op11_cholesky_whitening,
+        op12_token_transducer,
+        op13_collocations,
+    )
+}
 
 _WORDS = "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
 
+#: A phrase's cut after its first k words, for phrases of 2 to 5.
+_CUTS = " UNION ALL ".join(
+    f"SELECT c.lang, c.phrase, c.a, {k} AS k, l.a AS l, r.a AS r FROM c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:{k}], ' ')"
+    f" JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[{k + 1}:], ' ') WHERE c.size > {k}"
+    for k in range(1, 5)
+)
+_GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS size, {' || chr(32) || '.join(['word', 'w2', 'w3', 'w4', 'w5'][:k])} AS phrase FROM words WHERE {['word', 'w2', 'w3', 'w4', 'w5'][k - 1]} IS NOT NULL" for k in range(1, 6))
+
 ORACLE_SQL = {
+    "op13_collocations": rf"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+cut AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+pieces AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM cut),
+apart AS (SELECT lang, id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM pieces),
+words AS (SELECT lang, word, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4, lead(word, 4) OVER p AS w5 FROM apart WINDOW p AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, size, phrase, count(*) AS a FROM ({_GRAMS}) GROUP BY ALL),
+n AS (SELECT lang, sum(a) AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE size > 1 AND a >= 100),
+cuts AS ({_CUTS}),
+scored AS (SELECT lang, phrase, a, k, l, r, n, (1000::HUGEINT * a * n) // (l::HUGEINT * r) AS score FROM cuts JOIN n USING (lang)),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.a >= b.a AND len(c.phrase) > len(b.phrase) AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM kept QUALIFY rank <= 2000""",
     "op6_url_asof": r"""
 WITH captures AS (SELECT page_id, url, DATE '2023-01-01' + CAST(page_id % 730 AS INTEGER) AS fetched,
     lower(coalesce(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1), '')) AS host,
