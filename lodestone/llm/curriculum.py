@@ -111,13 +111,14 @@ def replay(docs: DataFrame, **how) -> DataFrame:
     Rows are numbered in a written table and positions are worked out without the texts, so a text is shuffled twice, to meet its positions and to be
     sorted by them; null and repeated doc_ids do no harm.
     """
-    number, place = _unused(docs, "__number"), _unused(docs, "__position")
+    number, place = unused(docs, "__number"), unused(docs, "__position")
     rows = written(docs.withColumn(number, F.monotonically_increasing_id()), "mixture")
     plan = _planned(rows, [F.col(number)], **how).select(number, F.explode("takings.position").alias(place))
     return rows.join(plan, number).orderBy(place, "doc_id").select(*docs.columns)
 
 
-def _unused(df: DataFrame, name: str) -> str:
-    while name in df.columns:
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column has, however its letters are cased."""
+    while name.lower() in {c.lower() for c in df.columns}:
         name += "_"
     return name

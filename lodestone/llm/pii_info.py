@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.llm.curriculum import unused
 from lodestone.session import written
 
 SUPPORT, DISCLOSE, REMOVE = 3, 0.9, 0.97
@@ -213,12 +214,13 @@ def _marked(docs: DataFrame, found: DataFrame, schema: T.StructType, made) -> Da
 
     key = F.md5(F.coalesce("text", F.lit("")))
     own = docs.select(key.alias("key"), "text").mapInArrow(split, "key string, term long").join(found, "term")
-    own = own.distinct().groupBy("key").agg(F.collect_list(F.struct("term", "ratio")).alias("__terms")).withColumnRenamed("key", "__key")
-    joined = docs.withColumn("__key", key).join(own, "__key", "left")
+    own_key, revealing = unused(docs, "text_key"), unused(docs, "text_terms")
+    own = own.distinct().groupBy("key").agg(F.collect_list(F.struct("term", "ratio")).alias(revealing)).withColumnRenamed("key", own_key)
+    joined = docs.withColumn(own_key, key).join(own, own_key, "left")
 
     def run_joined(batches):
         for b in batches:
-            of = [{x["term"]: x["ratio"] for x in r or ()} for r in b.column("__terms").to_pylist()]
+            of = [{x["term"]: x["ratio"] for x in r or ()} for r in b.column(revealing).to_pylist()]
             yield from mapped(b, lambda i, of=of: lambda w: of[i].get(_hash(w.lower()), 0.0) if of[i] else 0.0)
 
     return joined.mapInArrow(run_joined, schema)

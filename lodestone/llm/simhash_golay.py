@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.curriculum import unused
 from lodestone.session import written
 
 SHINGLE, BITS = 3, 3
@@ -305,15 +306,16 @@ def keep_first(docs: DataFrame, bits: int = BITS) -> DataFrame:
     fps, nodes = _rooted(docs, bits, BUCKET)
     rows = fps.groupBy("fp", "doc_id", "tie").agg(F.count("*").alias("n")).join(nodes.select("fp", "root"), "fp")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "n")).alias("x"))
-    first = written(first.select(F.col("x.doc_id").alias("__id"), F.col("x.tie").alias("__tie"), "x.n"), "first")
+    own_id, tie, whole = (unused(docs, x) for x in ("first_id", "first_tie", "first_row"))
+    first = written(first.select(F.col("x.doc_id").alias(own_id), F.col("x.tie").alias(tie), "x.n"), "first")
 
     def rows_of(these: DataFrame, how: str) -> DataFrame:
-        return docs.join(these, docs["doc_id"].cast("long").eqNullSafe(these["__id"]) & (_tie(docs) == these["__tie"]), how)
+        return docs.join(these, docs["doc_id"].cast("long").eqNullSafe(these[own_id]) & (_tie(docs) == these[tie]), how)
 
-    alone, several = first.where("n = 1"), first.where("n > 1").select("__id", "__tie")
+    alone, several = first.where("n = 1"), first.where("n > 1").select(own_id, tie)
     kept = rows_of(alone, "left_semi")
     if several.isEmpty():
         return kept
     row = F.struct(*[docs[c] for c in docs.columns])
-    one = rows_of(several, "inner").groupBy("__id", "__tie").agg(F.min_by(row, F.to_json(row)).alias("__row"))
-    return kept.unionByName(one.select("__row.*"))
+    one = rows_of(several, "inner").groupBy(own_id, tie).agg(F.min_by(row, F.to_json(row)).alias(whole))
+    return kept.unionByName(one.select(f"{whole}.*"))

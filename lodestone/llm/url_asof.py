@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.site_style import host
+from lodestone.llm.curriculum import unused
 from lodestone.session import written
 
 
@@ -53,12 +54,13 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
         raise ValueError(f"the input has columns {sorted(taken)} already")
     spans = written(intervals(entries), "intervals")
     labels = spans.where("kind = 'domain'").agg(F.min(F.size(F.split("pattern", r"\."))).alias("n")).first()["n"] or 0
-    asked = captures.select(F.col(url_col).alias("__url"), F.to_date(time_col).alias("__day")).where("__url IS NOT NULL AND __day IS NOT NULL").distinct()
-    tried = F.filter(patterns(F.col("__url")), lambda p: (p["kind"] != "domain") | (F.size(F.split(p["pattern"], r"\.")) >= labels))
-    keys = asked.select("__url", "__day", F.explode(tried).alias("p")).select("__url", "__day", "p.kind", "p.pattern")
-    active = keys.join(spans, ["kind", "pattern"]).where((F.col("since") <= F.col("__day")) & (F.col("until").isNull() | (F.col("__day") < F.col("until"))))
+    link, date = unused(captures, "asked_url"), unused(captures, "asked_day")
+    asked = captures.select(F.col(url_col).alias(link), F.to_date(time_col).alias(date)).where(F.col(link).isNotNull() & F.col(date).isNotNull()).distinct()
+    tried = F.filter(patterns(F.col(link)), lambda p: (p["kind"] != "domain") | (F.size(F.split(p["pattern"], r"\.")) >= labels))
+    keys = asked.select(link, date, F.explode(tried).alias("p")).select(link, date, "p.kind", "p.pattern")
+    active = keys.join(spans, ["kind", "pattern"]).where((F.col("since") <= F.col(date)) & (F.col("until").isNull() | (F.col(date) < F.col("until"))))
     rank = F.struct(F.length("pattern").alias("size"), (F.col("action") == "allow").alias("allow"), F.col("list_name"), F.col("since"), F.col("pattern"))
-    best = active.groupBy("__url", "__day").agg(F.max(rank).alias("best"))
-    named = best.select("__url", "__day", (~F.col("best.allow")).alias("blocked"), F.col("best.list_name").alias("list_name"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
-    out = captures.join(named, (captures[url_col] == named["__url"]) & (F.to_date(captures[time_col]) == named["__day"]), "left").drop("__url", "__day")
+    best = active.groupBy(link, date).agg(F.max(rank).alias("best"))
+    named = best.select(link, date, (~F.col("best.allow")).alias("blocked"), F.col("best.list_name").alias("list_name"), F.col("best.pattern").alias("pattern"), F.col("best.since").alias("since"))
+    out = captures.join(named, (captures[url_col] == named[link]) & (F.to_date(captures[time_col]) == named[date]), "left").drop(link, date)
     return out.withColumn("blocked", F.coalesce("blocked", F.lit(False)))

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from lodestone.session import written
 
 SHARD_BYTES, LEAST_SHARD, MOST_CELLS, SAMPLE, QUERY_BLOCK, LEAF = 32 << 20, 4_096, 1_024, 2_048, 512, 128
+#: Different lengths of vectors; more are an error.
+MOST_LENGTHS = 1_000
 
 
 def rounding(dims: int) -> float:
@@ -174,6 +176,22 @@ def _by_length(batch: pa.RecordBatch, most: int = 4_096):
             yield int(size), of.slice(k, most)
 
 
+def _sampled(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """size, v: for each length SAMPLE vectors at most (fewer where there are many lengths), the first by a hash of different rows.
+
+    Only rows whose hash is under a bound are ranked, some four times as many as are taken, however many there are.
+    """
+    if len(counts) > MOST_LENGTHS:
+        raise ValueError(f"more than {MOST_LENGTHS} different lengths of vectors")
+    most = max(64, SAMPLE // max(1, len(counts)))
+    bounds = [F.lit(x) for size, n in counts.items() for x in (size, int(min(1.0, 4 * most / n) * (1 << 32)))]
+    if not bounds:
+        return rows.select("size", "v")
+    hashed = rows.select("size", "v", F.xxhash64("id", "v").alias("hash")).where(F.pmod("hash", F.lit(1 << 32)) < F.element_at(F.create_map(*bounds), F.col("size")))
+    first = Window.partitionBy("size").orderBy("hash")
+    return hashed.dropDuplicates(["size", "hash"]).withColumn("n", F.row_number().over(first)).where(F.col("n") <= most).select("size", "v")
+
+
 def search(vectors: DataFrame, asked: Column | str, k: int = 5, relax: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding", shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """query_id, rank, ``id_col``, score: the k nearest rows of each row that ``asked`` (a condition on the rows) holds for."""
     asked = F.expr(asked) if isinstance(asked, str) else asked
@@ -181,9 +199,8 @@ def search(vectors: DataFrame, asked: Column | str, k: int = 5, relax: float = 1
     rows = _valid(vectors, asked, id_col, vec_col).withColumn("size", F.size("v"))
     counts = {r["size"]: r["count"] for r in rows.groupBy("size").count().collect()}  # one row per length of vectors
     kind = vectors.schema[vec_col].dataType.simpleString()
-    first = Window.partitionBy("size").orderBy(F.xxhash64("id", "v"), "id")
     sample: dict[int, np.ndarray] = {}
-    for r in rows.select("id", "size", "v").withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE).select("size", "v").collect():
+    for r in _sampled(rows, counts).collect():
         sample.setdefault(r["size"], []).append(r["v"])
     sample = {size: _units(np.array(x, np.float64))[0] for size, x in sample.items()}
     cores = spark.sparkContext.defaultParallelism
