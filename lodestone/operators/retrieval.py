@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,41 +41,81 @@ def ranked(scores: DataFrame, k: int, by: list[str], digits: int = 6) -> DataFra
     return scores.withColumn("score", F.round("score", digits)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries that are sent to every task as one matrix; with more, blocks of QUERY_BLOCK meet the vectors in a join.
-BROADCAST_QUERIES, QUERY_BLOCK = 10_000, 256
+#: Queries whose matrix is broadcast at once; more are taken in blocks of this many, one pass over the vectors for each. Vectors that are scored at once.
+QUERY_BLOCK, VECTOR_BLOCK = 4_096, 256
 
 
-def vector_scores(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, id, score): dot products of unit vectors (id, v) with a stated set of queries (id, v), all of one length; a vector isn't scored for its own id."""
-    n = queries.limit(BROADCAST_QUERIES + 1).count()
-    if n > BROADCAST_QUERIES:
-        return _scores_in_blocks(vectors, queries)
-    ship(vectors.sparkSession)
-    asked = queries.where("v IS NOT NULL").select("id", "v").collect()
-    ids, matrix = np.array([r.id for r in asked], np.int64), np.array([r.v for r in asked], np.float64)
+def _sound(rows: DataFrame) -> DataFrame:
+    """Rows with an id and a vector without null components; the others take no part, whichever side they are on."""
+    return rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())).withColumn("id", F.col("id").cast("long"))
 
-    def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows if len(ids) else 0, 512):
-                part = b.slice(k, 512)
-                of = part.column("id").to_numpy(zero_copy_only=False)
-                v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(of), -1)
-                score = matrix @ v.T
-                q, i = np.nonzero(ids[:, None] != of[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(of[i]), pa.array(score[q, i])], ["query_id", "id", "score"])
 
-    return vectors.where("v IS NOT NULL").select(F.col("id").cast("long").alias("id"), "v").mapInArrow(run, "query_id long, id long, score double")
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, digits: int = 6, scoped: bool = False) -> DataFrame:
+    """vectors and queries (id, v; with ``scoped`` also scope) -> query_id, scope, id, score, rank: the k largest dot products of each query, ties to the smaller id.
 
+    A query meets the vectors of its own scope and length only, and never its own id. Every task keeps the k best of each query as it reads its vectors, and
+    only those are shuffled: k rows for a query and task, however many vectors there are. Scores are rounded before they are compared.
+    """
+    ship(vectors.sparkSession)
+    scope = F.col("scope").cast("string") if scoped else F.lit(None).cast("string")
+    v, q = (_sound(x).select("id", scope.alias("scope"), "v") for x in (vectors, queries))
+    if scoped:
+        v, q = v.where("scope IS NOT NULL"), q.where("scope IS NOT NULL")
+    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    best = None
+    for block in range(blocks):
+        # A block is a few thousand queries by their hash, whatever their number.
+        asked = q.where(F.pmod(F.xxhash64("id", "scope"), F.lit(blocks)) == block).select("id", "scope", "v").collect()
+        part = _best_in_tasks(v, asked, k, digits)
+        best = part if best is None else best.unionByName(part)
+    w = Window.partitionBy("query_id", "scope").orderBy(F.desc("score"), "id")
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best_in_tasks(vectors: DataFrame, asked: list, k: int, digits: int) -> DataFrame:
+    held: dict[tuple, tuple[list, list]] = {}
+    for r in asked:
+        ids, rows = held.setdefault((r["scope"], len(r["v"])), ([], []))
+        ids.append(r["id"])
+        rows.append(r["v"])
+    shared = vectors.sparkSession.sparkContext.broadcast({key: (np.array(ids, np.int64), np.array(rows, np.float64).reshape(len(ids), key[1])) for key, (ids, rows) in held.items()})
 
-def _scores_in_blocks(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """The same by a join of each vector with the numbers of all blocks: Spark broadcasts the blocks if they are few enough, or shuffles both sides."""
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    q = queries.select(F.col("id").alias("query_id"), F.col("v").alias("q")).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-    dot = lambda q: F.aggregate(F.zip_with("v", q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    met = vectors.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(q, "block")
-    scored = met.select("id", F.explode(F.transform("asked", lambda a: F.struct(a["query_id"].alias("query_id"), dot(a["q"]).alias("score")))).alias("s"))
-    return scored.select("s.query_id", "id", "s.score").where(F.col("id") != F.col("query_id"))
+    def run(batches):
+        best: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            scopes, sizes = b.column("scope").to_pylist(), pc.list_value_length(b.column("v")).to_pylist()
+            places: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(scopes, sizes, strict=True)):
+                if key in shared.value:
+                    places.setdefault(key, []).append(i)
+            for key, rows in places.items():
+                asked_ids, matrix = shared.value[key]
+                if key not in best:
+                    best[key] = np.full((len(asked_ids), k), -np.inf), np.full((len(asked_ids), k), np.iinfo(np.int64).max)
+                for at in range(0, len(rows), VECTOR_BLOCK):
+                    part = b.take(pa.array(rows[at : at + VECTOR_BLOCK]))
+                    ids = part.column("id").to_numpy()
+                    v = part.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), key[1])
+                    score = np.round(matrix @ v.T, digits)
+                    score[(asked_ids[:, None] == ids[None, :]) | np.isnan(score)] = -np.inf
+                    _keep(best[key], score, ids, k)
+        out = []
+        for (scope, size), (score, ids) in best.items():
+            q, j = np.nonzero(score > -np.inf)
+            out.append(pa.RecordBatch.from_arrays([pa.array(shared.value[scope, size][0][q]), pa.array([scope] * len(q), pa.string()), pa.array(ids[q, j]), pa.array(score[q, j])], ["query_id", "scope", "id", "score"]))
+        yield from out
+
+    return vectors.mapInArrow(run, "query_id long, scope string, id long, score double")
+
+
+def _keep(best: tuple[np.ndarray, np.ndarray], score: np.ndarray, ids: np.ndarray, k: int) -> None:
+    """Puts new scores among the k best of each query where one of them is as good as the last of these."""
+    held, of = best
+    rows = np.flatnonzero((score >= held[:, -1:]).any(axis=1))
+    both = np.hstack([held[rows], score[rows]])
+    both_ids = np.hstack([of[rows], np.broadcast_to(ids, (len(rows), len(ids)))])
+    order = np.lexsort((both_ids, -both), axis=1)[:, :k]
+    held[rows], of[rows] = np.take_along_axis(both, order, axis=1), np.take_along_axis(both_ids, order, axis=1)
 
 
 def unit(v):
@@ -84,13 +125,26 @@ def unit(v):
     return F.zip_with(v, F.array_repeat(F.when(norm > 0, norm).otherwise(1.0), F.size(v)), lambda x, n: x / n)
 
 
-def rrf(one: DataFrame, two: DataFrame, k: int = 60) -> DataFrame:
-    """Full outer join of two rankings (query_id, id, rank) -> summed reciprocal ranks; order by score, best rank, id."""
-    j = one.select("query_id", "id", F.col("rank").alias("r1")).join(two.select("query_id", "id", F.col("rank").alias("r2")), ["query_id", "id"], "full")
+def rrf(one: DataFrame, two: DataFrame, k: int = 60, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """Full outer join of two rankings (``by``, id, rank) -> summed reciprocal ranks; order by score, best rank, id."""
+    j = one.select(*by, "id", F.col("rank").alias("r1")).join(two.select(*by, "id", F.col("rank").alias("r2")), [*by, "id"], "full")
     part = lambda c: F.coalesce(1.0 / (F.lit(k) + F.col(c)), F.lit(0.0))
     j = j.withColumn("score", F.round(part("r1") + part("r2"), 9))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.least("r1", "r2"), "id")
-    return j.withColumn("rank", F.row_number().over(w)).select("query_id", "id", "r1", "r2", "score", "rank")
+    w = Window.partitionBy(*by).orderBy(F.desc("score"), F.least("r1", "r2"), "id")
+    return j.withColumn("rank", F.row_number().over(w)).select(*by, "id", "r1", "r2", "score", "rank")
+
+
+def scoped_hybrid(docs: DataFrame, vectors: DataFrame, current: DataFrame, asked: DataFrame, asked_vectors: DataFrame, k: int, depth: int = 60) -> DataFrame:
+    """Searches each scope (a machine) by text and by vector together, in its current generation only -> query_id, scope, id, r1, r2, score, rank.
+
+    docs (id, scope, generation, text), vectors (id, scope, generation, v), current (scope, generation); asked (query_id, scope, text) and asked_vectors (id, scope, v)
+    name the scope of each question. Counts of terms and lengths are those of the scope's current generation. A scope without a current generation gives nothing.
+    """
+    docs, vectors = (x.join(current, ["scope", "generation"], "left_semi") for x in (docs, vectors))
+    lexical = lexical_scores(docs, asked, scoped=True).join(asked.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
+    lexical = ranked(lexical, depth, ["query_id", "scope"])
+    near = vector_topk(vectors, asked_vectors, depth, scoped=True)
+    return rrf(lexical, near, by=("query_id", "scope")).where(F.col("rank") <= k)
 
 
 def diversify(rows: DataFrame, cluster: str, k: int) -> DataFrame:

@@ -84,7 +84,7 @@ def _vectors(spark, sf):
 
 
 def _vector(spark, sf, k, asked):
-    return retrieval.ranked(retrieval.vector_scores(_vectors(spark, sf), asked).withColumn("score", F.round("score", 6)), k, ["query_id"])
+    return retrieval.vector_topk(_vectors(spark, sf), asked, k).drop("scope")
 
 
 @query(f"WITH {_VEC.format(asked=_FIFTIETH)} SELECT query_id, id AS vec_id, score, rank FROM vec WHERE rank <= 10")
@@ -212,7 +212,11 @@ def reconcile_generations(spark, sf):
     return ledger.reconcile(e, ["user_id", "event_type"], "human", "ts", "ts", "event_id").select("event_id", "user_id", "event_type", "winner")
 
 
-@query("SELECT l_orderkey, sha256(string_agg(d, ',' ORDER BY d)) AS signature FROM (SELECT l_orderkey, sha256(concat_ws(chr(31), l_linenumber::VARCHAR, l_returnflag, l_linestatus)) AS d FROM lineitem) GROUP BY l_orderkey")
+#: The sum of the digests d of a group, in four words modulo 2^64, with their number.
+_SET_HASH = "sha256(concat_ws(',', count(*)::VARCHAR, " + ", ".join(f"(sum(('0x' || substr(d, {1 + 16 * k}, 16))::UBIGINT::HUGEINT) % 18446744073709551616)::VARCHAR" for k in range(4)) + "))"
+
+
+@query(f"SELECT l_orderkey, {_SET_HASH} AS signature FROM (SELECT l_orderkey, sha256(concat_ws(chr(31), l_linenumber::VARCHAR, l_returnflag, l_linestatus)) AS d FROM lineitem) GROUP BY l_orderkey")
 def set_signature(spark, sf):
     return ledger.signature(_t(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_returnflag", "l_linestatus"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import answers
 from lodestone.operators import chunking, freshness, upkeep, verdicts
-from lodestone.plans.catalog import _t, query
+from lodestone.plans.catalog import _SET_HASH, _t, query
 from lodestone.plans.inputs import view
 
 _SAID = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'likely_corrupt' WHEN 1 THEN 'LIKELY_OK' WHEN 2 THEN 'maybe' WHEN 3 THEN 'LIKELY_CORRUPT' END AS said, CASE o_orderkey % 4 WHEN 0 THEN 'unit_symbol' WHEN 1 THEN 'OCR_GARBLE' WHEN 2 THEN 'OTHER' END AS reason, CASE o_orderkey % 6 WHEN 0 THEN '0.9' WHEN 1 THEN 'high' WHEN 2 THEN '1.7' WHEN 3 THEN '-2' ELSE '0.4' END AS sure,
@@ -92,7 +92,7 @@ def stale_files(spark, sf):
     return upkeep.stale(view(spark, sf, _FILES), _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("job"))).select("path", "reason")
 
 
-@query(f"""WITH f AS ({_FILES}) SELECT category, sha256(string_agg(d, ',' ORDER BY d)) AS token FROM (SELECT category, sha256(concat_ws(chr(31), path, files::VARCHAR, bytes::VARCHAR)) AS d FROM f) GROUP BY category""")
+@query(f"""WITH f AS ({_FILES}) SELECT category, {_SET_HASH} AS token FROM (SELECT category, sha256(concat_ws(chr(31), path, files::VARCHAR, bytes::VARCHAR)) AS d FROM f) GROUP BY category""")
 def preview_tokens(spark, sf):
     return upkeep.preview(view(spark, sf, _FILES), "category")
 

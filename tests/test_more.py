@@ -75,16 +75,45 @@ def test_boxes(spark):
     assert one.select(geometry.from_corners(F.lit(5.0), F.lit(190.0), F.lit(1.0), F.lit(150.0), F.lit(None).cast("string"), F.lit(200.0)).alias("u")).first().u[:] == (1.0, 10.0, 5.0, 50.0)
 
 
-def test_vector_scores_either_way(spark, monkeypatch):
+def test_vector_topk_is_one_result_in_any_blocks(spark, monkeypatch):
     rnd = random.Random(2)
-    v = spark.createDataFrame([(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(40)] + [(99, None)], "id long, v array<double>")
-    q = v.where("id % 7 = 0")
-    one = {(r.query_id, r.id): round(r.score, 9) for r in retrieval.vector_scores(v, q).collect()}
-    monkeypatch.setattr(retrieval, "BROADCAST_QUERIES", 0)
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
-    two = {(r.query_id, r.id): round(r.score, 9) for r in retrieval.vector_scores(v.where("v IS NOT NULL"), q).collect()}
-    assert one == two and len(one) == 6 * 39
-    assert retrieval.vector_scores(v, v.where("false")).count() == 0
+    rows = [(i, "ab"[i % 2] if i % 9 else None, [rnd.choice((-1.0, 0.0, 0.5)) for _ in range(6 if i % 5 else 3)]) for i in range(80)]
+    rows += [(99, "a", None), (98, "a", [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, "a", [1.0] * 6), (97, "b", []), (96, "b", [float("nan")] * 6)]
+    v = spark.createDataFrame(rows, "id long, scope string, v array<double>")
+    q = v.where("id % 7 = 0 OR id >= 96")
+
+    def plain(k, scoped):
+        out = {}
+        good = [(i, s, x) for i, s, x in rows if i is not None and x is not None and None not in x and (s or not scoped)]
+        for i, s, x in good:
+            if i % 7 == 0 or i >= 96:
+                at = [(-round(sum(a * b for a, b in zip(x, y, strict=True)), 6), j) for j, t, y in good if j != i and len(x) == len(y) and (t == s or not scoped)]
+                out[i] = [(j, -z) for z, j in sorted(p for p in at if p[0] == p[0])[:k]]
+        return {i: x for i, x in out.items() if x}
+
+    def ours(k, scoped):
+        out = {}
+        for r in retrieval.vector_topk(v, q, k, scoped=scoped).orderBy("query_id", "rank").collect():
+            out.setdefault(r.query_id, []).append((r.id, r.score))
+        return out
+
+    for blocks in (4_096, 3):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", blocks)
+        monkeypatch.setattr(retrieval, "VECTOR_BLOCK", 7 if blocks == 3 else 256)
+        for scoped in (False, True):
+            assert ours(5, scoped) == plain(5, scoped)
+    assert retrieval.vector_topk(v, v.where("false"), 3).count() == 0
+    assert retrieval.vector_topk(v.where("false"), q, 3).count() == 0
+
+
+def test_a_scope_is_searched_in_its_current_generation(spark):
+    docs = spark.createDataFrame([(1, "a", "g1", "hydraulic pump"), (2, "a", "g0", "hydraulic pump stale"), (3, "b", "g1", "unrelated generator pump"), (4, "c", "g1", "pump")], "id long, scope string, generation string, text string")
+    vectors = spark.createDataFrame([(1, "a", "g1", [1.0, 0.0]), (2, "a", "g0", [1.0, 0.0]), (3, "b", "g1", [1.0, 0.0]), (4, "c", "g1", [1.0, 0.0])], "id long, scope string, generation string, v array<double>")
+    current = spark.createDataFrame([("a", "g1"), ("b", "g1")], "scope string, generation string")
+    asked = spark.createDataFrame([(7, "a", "pump"), (8, "c", "pump")], "query_id long, scope string, text string")
+    asked_vectors = spark.createDataFrame([(7, "a", [1.0, 0.0]), (8, "c", [1.0, 0.0])], "id long, scope string, v array<double>")
+    got = retrieval.scoped_hybrid(docs, vectors, current, asked, asked_vectors, 5).collect()
+    assert [(r.query_id, r.scope, r.id, r.r1, r.r2) for r in got] == [(7, "a", 1, 1, 1)]
 
 
 def test_transitions_leave_null_conditions_alone(spark):
