@@ -176,8 +176,8 @@ _GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS size, {' || chr(32) || '.join(
 ORACLE_SQL = {
     "op13_collocations": rf"""
 WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-cut AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
-pieces AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM cut),
+cut AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+pieces AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM cut),
 apart AS (SELECT lang, id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM pieces),
 words AS (SELECT lang, word, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS w3, lead(word, 3) OVER p AS w4, lead(word, 4) OVER p AS w5 FROM apart WINDOW p AS (PARTITION BY id ORDER BY i)),
 f AS (SELECT lang, size, phrase, count(*) AS a FROM ({_GRAMS}) GROUP BY ALL),
