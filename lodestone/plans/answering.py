@@ -9,11 +9,20 @@ from lodestone.operators import grounding as gr
 from lodestone.plans.catalog import _TOKS, _t, query
 from lodestone.plans.inputs import view
 
+#: Answers whose values and parts come from an order; the sources below hold some of them.
 _SAID = [
-    "The pump runs at 24 V [S1]. It lifts the valve housing slowly [s2].", "Set pressure to 7 bar [S1].\n- Tighten flange bolts evenly now [V1]", "Not enough information in the retrieved sources.", "The governor drive shaft turns freely. Yes.", "Use part AB-12 of the pump housing [S9]", "Clean oil filter bowl monthly here [S2].", "Pump P-7 shown [V1].",
+    "The pump runs at {v} V [S1]. It lifts the valve housing {n} slowly [s2].",
+    "Set pressure to {v} bar [S1].\n- Tighten flange bolts evenly now [V1]",
+    "Not enough information in the retrieved sources.",
+    "The governor drive shaft {n} turns freely. Yes.",
+    "Use part AB-12 of the pump housing [S9]",
+    "Clean oil filter bowl {n} monthly here [S2].",
+    "Pump P-7 shown {n} [V1].",
 ]
-_ANSWERS = "SELECT o_orderkey AS id, CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_SAID)) + " END AS answer FROM orders"
-_SOURCES = """SELECT o_orderkey AS id, 'S1' AS label, 'Pumps' AS heading, 'The pump runs on 24V supply' AS text, '' AS seen FROM orders UNION ALL SELECT o_orderkey AS id, 'S2' AS label, 'Valve' AS heading, CASE WHEN o_orderkey % 3 = 0 THEN 'lifts the valve housing' ELSE 'nothing of note' END AS text, '' AS seen FROM orders
+_FILLED = " ".join(f"WHEN {k} THEN concat('" + t.replace("{v}", "', v, '").replace("{n}", "', n, '") + "')" for k, t in enumerate(_SAID))
+_FROM_ORDERS = "FROM (SELECT o_orderkey, CAST(o_custkey % 4 + 22 AS STRING) AS v, CAST(o_orderkey % 3 + 22 AS STRING) AS w, CASE WHEN o_orderstatus = 'F' THEN 'forward' WHEN o_orderpriority < '3' THEN 'starboard' ELSE 'amidships' END AS n FROM orders) x"
+_ANSWERS = f"SELECT o_orderkey AS id, CASE o_orderkey % 8 {_FILLED} END AS answer {_FROM_ORDERS}"
+_SOURCES = f"""SELECT o_orderkey AS id, 'S1' AS label, 'Pumps' AS heading, concat('The pump runs on ', w, 'V supply at ', w, ' bar') AS text, '' AS seen {_FROM_ORDERS} UNION ALL SELECT o_orderkey AS id, 'S2' AS label, 'Valve' AS heading, CASE WHEN o_orderkey % 3 = 0 THEN concat('lifts the valve housing ', n) ELSE 'nothing of note' END AS text, '' AS seen {_FROM_ORDERS}
 UNION ALL SELECT o_orderkey AS id, 'V1' AS label, '' AS heading, 'drawing of pump P-7 shown and flange bolts' AS text, CASE WHEN o_orderkey % 2 = 0 THEN 'P-7|shown' ELSE 'bolts' END AS seen FROM orders"""
 
 

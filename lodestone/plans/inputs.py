@@ -46,18 +46,34 @@ CASE WHEN o_orderkey % 9 < 3 THEN '' WHEN o_orderkey % 9 < 6 THEN 'Pump  P1|pump
 concat('text ', CAST(o_orderkey % 77 AS STRING)) AS original_text, CASE WHEN o_orderkey % 2 = 0 THEN concat('new ', CAST(o_orderkey % 77 AS STRING)) END AS proposed_text FROM orders"""
 
 
+#: Shapes of chunks, filled with a part's number, its count and how it was returned: tables whole and torn, without a header, with odd rules, flattened, and prose.
 _RAW = {
-    0: "| Item name | Size range |\n| --- | --- |", 1: "| bolt steel | 12 | 4 |\n| nut brass | 5 | 6 |", 2: "| Name part | Torque value |\n|---|:---:|\n| bearing | 24 |\nloose line", 3: "12 | 13 | 14\n15 | 16 | 17",
-    4: "Plain prose about pumps and valves.\n\n  It has   two lines.", 5: "Item Qty Article no Description 1 2 3 bolt", 6: "", 7: "-----|----\n| seal kit | 7 |",
+    0: "| Item {flag} | Size {part} range |\n| --- | --- |",
+    1: "| bolt {part} | {count} | 4 |\n| nut {flag} brass | 5 | {part} |",
+    2: "| Name {flag} | Torque value |\n|---|:---:|\n| bearing {part} | {count} |\nloose line {flag}",
+    3: "{count} | {part} | 14\n15 | {count} | {part}",
+    4: "Plain prose about pump {part} and valve {flag}.\n\n  It has   {count} lines.",
+    5: "Item Qty Article no Description {count} {part} 3 bolt",
+    6: "",
+    7: "-----|----\n| seal kit {part} | {count} |",
 }
-_CASES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in _RAW.items())
+_FILLED = {k: "concat('" + v.replace("{part}", "', part, '").replace("{count}", "', n, '").replace("{flag}", "', flag, '") + "')" for k, v in _RAW.items()}
+_CASES = " ".join(f"WHEN {k} THEN {v}" for k, v in _FILLED.items())
 CHUNKS = f"""SELECT book, chunk_index, concat(CAST(book AS STRING), '-', CAST(chunk_index AS STRING)) AS chunk_id, CAST(floor((chunk_index + 1) / 3) AS INT) AS page, CASE WHEN k < 8 THEN concat('#/tables/', CAST(floor(chunk_index / 5) AS INT)) END AS table_ref, CASE k % 8 {_CASES} END AS raw_text, CAST(n_tokens AS INT) AS n_tokens,
-concat('Part ', CAST(floor(chunk_index / 4) AS INT)) AS heading FROM (SELECT l_orderkey AS book, l_partkey % 10 AS k, l_quantity * 12 AS n_tokens, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS chunk_index FROM lineitem) x"""
+concat('Part ', CAST(floor(chunk_index / 4) AS INT)) AS heading FROM (SELECT l_orderkey AS book, l_partkey % 10 AS k, CAST(l_partkey AS STRING) AS part, CAST(CAST(l_quantity AS INT) AS STRING) AS n, concat(l_returnflag, l_linestatus) AS flag, l_quantity * 12 AS n_tokens, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS chunk_index FROM lineitem) x"""
 
+#: Sentences that refer to other places, filled with a machine's number, a section and a word of an order.
 _SAID = [
-    'See instruction "High pressure pumps" in section 6.1 first.', "Refer to section 6.1, 'Valve gear' and see section 6.", "see the Cooling water system in chapter A-2; then stop.", "No reference here.", "See “Fuel pumps”. Refer to clause 4.2 and see section 4.2.1 too", 'SEE INSTRUCTION UNDER SECTION 7 "Governor  drive".', 'see "instruction" and see "Filters", see "filters"',
+    'See instruction "High pressure pump {n}" in section {s}.1 first.',
+    "Refer to section {s}.{n}, '{word} gear' and see section {s}.",
+    "see the Cooling water system {n} in chapter A-{s}; then stop.",
+    "No reference {n} here.",
+    "See “Fuel {word}”. Refer to clause {s}.2 and see section {s}.2.1 too",
+    'SEE INSTRUCTION UNDER SECTION {s} "Governor  drive {n}".',
+    'see "instruction" and see "Filters {n}", see "filters {n}"',
 ]
-SAYINGS = "SELECT o_orderkey, CASE o_orderkey % 8 " + " ".join(f"WHEN {k} THEN '{v.replace(chr(39), chr(39) * 2)}'" for k, v in enumerate(_SAID)) + " END AS said FROM orders"
+_SPOKEN = " ".join(f"WHEN {k} THEN concat('" + v.replace("'", "''").replace("{n}", "', n, '").replace("{s}", "', s, '").replace("{word}", "', word, '") + "')" for k, v in enumerate(_SAID))
+SAYINGS = f"SELECT o_orderkey, CASE o_orderkey % 8 {_SPOKEN} END AS said FROM (SELECT o_orderkey, CAST(o_custkey AS STRING) AS n, CAST(o_custkey % 19 + 1 AS STRING) AS s, CASE WHEN o_orderstatus = 'F' THEN 'Valve' WHEN o_orderstatus = 'O' THEN 'Piston' ELSE 'Rotor' END AS word FROM orders) x"
 
 ROWS = """SELECT book, chunk_index, CAST(floor(chunk_index / 4) AS INT) AS page, CASE WHEN k % 25 = 0 THEN 'High Pressure Pumps' WHEN k % 25 = 1 THEN 'The high pressure pumps of type 2' WHEN k % 25 = 2 THEN 'Section 6.1' ELSE concat('Part ', CAST(k % 9 AS STRING)) END AS heading,
 CASE WHEN k % 7 = 0 THEN 'see high pressure pumps in 6.1' WHEN k % 7 = 1 THEN 'pumps for oil' WHEN k % 7 = 2 THEN 'section 6.12 of this' ELSE 'other text' END AS text, CASE WHEN k % 2 = 0 THEN 'prose' ELSE 'table' END AS content_type, CAST(60 + k % 40 AS INT) AS quality FROM

@@ -9,11 +9,17 @@ from lodestone.operators import chunking, freshness, upkeep, verdicts
 from lodestone.plans.catalog import _SET_HASH, _t, query
 from lodestone.plans.inputs import view
 
-_SAID = """SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'likely_corrupt' WHEN 1 THEN 'LIKELY_OK' WHEN 2 THEN 'maybe' WHEN 3 THEN 'LIKELY_CORRUPT' END AS said, CASE o_orderkey % 4 WHEN 0 THEN 'unit_symbol' WHEN 1 THEN 'OCR_GARBLE' WHEN 2 THEN 'OTHER' END AS reason, CASE o_orderkey % 6 WHEN 0 THEN '0.9' WHEN 1 THEN 'high' WHEN 2 THEN '1.7' WHEN 3 THEN '-2' ELSE '0.4' END AS sure,
-CASE o_orderkey % 7 WHEN 0 THEN 'not there' WHEN 1 THEN '' ELSE '“Oil  PRESSURE” low .' END AS evidence, 'The oil pressure low. Stop' AS suspect, o_orderkey % 3 = 0 AS sound, o_orderkey % 9 = 0 AS dominant, CAST(o_orderkey % 10 AS DOUBLE) / 20 AS garble, o_orderkey % 2 = 0 AS recalled FROM orders"""
+#: A text on one line, cut to ``n`` characters.
+_LINE = "substr(trim(replace(coalesce(text, ''), chr(10), ' ')), 1, {n})"
+#: A text as evidence is compared: without quotes and case, single blanks, none before punctuation.
+_ET = "regexp_replace(trim(regexp_replace(lower(regexp_replace(coalesce({c}, ''), '[\"''`“”‘’«»]', '', 'g')), '\\s+', ' ', 'g')), ' +([,.;:!?%)\\]])', '\\1', 'g')"
+_SAID = f"""SELECT id, said, reason, sure, CASE WHEN length(suspect) % 5 = 0 THEN other WHEN length(suspect) % 7 = 0 THEN '' WHEN length(suspect) % 3 = 0 THEN concat('“', substr(suspect, 4, 25), '” .') ELSE substr(suspect, 7, 12) END AS evidence, suspect, sound, dominant, garble, recalled FROM (
+SELECT conv_id * 1000 + turn AS id, {_LINE.format(n=120)} AS suspect, substr(coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 'nothing said'), 1, 20) AS other, CASE WHEN turn % 5 = 0 THEN 'likely_corrupt' WHEN turn % 5 = 1 THEN 'LIKELY_OK' WHEN turn % 5 = 2 THEN 'maybe' WHEN turn % 5 = 3 THEN 'LIKELY_CORRUPT' END AS said,
+CASE WHEN conv_id % 4 = 0 THEN 'unit_symbol' WHEN conv_id % 4 = 1 THEN 'OCR_GARBLE' WHEN conv_id % 4 = 2 THEN 'OTHER' END AS reason, CASE WHEN conv_id % 5 = 0 THEN 'high' ELSE concat(CAST(conv_id % 3 - 1 AS STRING), '.', CAST(turn % 10 AS STRING)) END AS sure, conv_id % 3 = 0 AS sound, conv_id % 9 = 0 AS dominant, CAST(length(text) % 10 AS DOUBLE) / 20 AS garble, turn % 2 = 1 AS recalled FROM conversations) x"""
 
 
-@query(f"""WITH s AS ({_SAID}), t AS (SELECT *, upper(coalesce(said, '')) AS m, CASE WHEN reason = 'unit_symbol' THEN 'TECHNICAL_FORMAT' ELSE coalesce(reason, 'AMBIGUOUS') END AS code, id % 7 > 1 AS valid, CASE id % 6 WHEN 0 THEN 0.9 WHEN 1 THEN 0.0 WHEN 2 THEN 1.0 WHEN 3 THEN 0.0 ELSE 0.4 END::DOUBLE AS c FROM s), u AS (SELECT *, valid AND m = 'LIKELY_CORRUPT' AND sound AS doubted, recalled AND code = 'OCR_GARBLE' AS kept FROM t)
+@query(f"""WITH s AS ({_SAID.replace('AS STRING', 'AS VARCHAR')}), t AS (SELECT *, upper(coalesce(said, '')) AS m, CASE WHEN reason = 'unit_symbol' THEN 'TECHNICAL_FORMAT' ELSE coalesce(reason, 'AMBIGUOUS') END AS code, {_ET.format(c='evidence')} AS e, {_ET.format(c='suspect')} AS x, greatest(0.0, least(1.0, coalesce(TRY_CAST(sure AS DOUBLE), 0.0)))::DOUBLE AS c FROM s),
+v AS (SELECT *, e <> '' AND contains(x, e) AS valid FROM t), u AS (SELECT *, valid AND m = 'LIKELY_CORRUPT' AND sound AS doubted, recalled AND code = 'OCR_GARBLE' AS kept FROM v)
 SELECT id, CASE WHEN NOT valid THEN 'UNCERTAIN' WHEN doubted AND dominant THEN 'LIKELY_OK' WHEN doubted AND NOT kept THEN 'UNCERTAIN' WHEN m IN ('LIKELY_OK', 'LIKELY_CORRUPT') THEN m ELSE 'UNCERTAIN' END AS verdict, CASE WHEN NOT valid THEN least(c, 0.25) WHEN doubted AND dominant THEN greatest(0.75, 1.0 - garble) WHEN doubted AND NOT kept THEN least(c, 0.5) ELSE c END::DOUBLE AS confidence,
 CASE WHEN NOT valid THEN 'INVALID_EVIDENCE' WHEN doubted AND dominant THEN 'TECHNICAL_FORMAT' ELSE code END AS reason_code, CASE WHEN doubted AND dominant THEN 'CLEAN_TECHNICAL_FORMAT' WHEN doubted AND kept THEN 'DOCUMENT_RECALL_CORROBORATED_OCR' WHEN doubted THEN 'NORMAL_STRUCTURE_MODEL_DISAGREEMENT' END AS override FROM u""")
 def validate_text_verdicts(spark, sf):
@@ -97,11 +103,14 @@ def preview_tokens(spark, sf):
     return upkeep.preview(view(spark, sf, _FILES), "category")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderkey % 50 END AS stored, o_orderkey % 30 AS in_name, CASE WHEN o_orderkey % 4 = 0 THEN 'missing' WHEN o_orderkey % 50 = o_orderkey % 30 THEN 'consistent' ELSE 'mismatch' END AS status, o_orderkey % 30 AS repaired FROM orders")
+_FOLDERS = """SELECT o_orderkey, CASE WHEN o_custkey % 4 > 0 THEN o_custkey % 50 END AS stored, concat(replace(o_orderpriority, ' ', ''), CASE WHEN o_orderkey % 9 = 0 THEN '__JOB' WHEN o_orderkey % 9 = 1 THEN '_job' ELSE '__job' END, CAST(o_custkey % 50 + CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS STRING), CASE WHEN o_orderkey % 3 = 0 THEN '__v2' WHEN o_orderkey % 3 = 1 THEN '' ELSE '-old' END) AS path FROM orders"""
+
+
+@query(f"""WITH f AS ({_FOLDERS.replace("AS STRING", "AS VARCHAR")}), j AS (SELECT *, TRY_CAST(regexp_extract(path, '__job(\\d+)(?:__|$)', 1) AS BIGINT) AS in_name FROM f)
+SELECT o_orderkey, stored, in_name, CASE WHEN stored IS NULL THEN 'missing' WHEN in_name IS NULL THEN 'unknown' WHEN stored = in_name THEN 'consistent' ELSE 'mismatch' END AS status, coalesce(in_name, stored) AS repaired FROM j""")
 def identity_status(spark, sf):
-    k = F.col("o_orderkey")
-    path = F.concat(F.lit("Manual__job"), (k % 30).cast("string"), F.when(k % 2 == 0, "__v2").otherwise(""))
-    o = _t(spark, sf, "orders").select("o_orderkey", F.when(k % 4 != 0, k % 50).alias("stored"), upkeep.job_of(path).alias("in_name"))
+    """The job that an order's folder names beside the job that is stored."""
+    o = view(spark, sf, _FOLDERS).select("o_orderkey", "stored", upkeep.job_of(F.col("path")).alias("in_name"))
     return o.withColumns({"status": upkeep.identity(F.col("stored"), F.col("in_name")), "repaired": F.coalesce("in_name", "stored")})
 
 
@@ -120,22 +129,34 @@ def uncached_calls(spark, sf):
     return upkeep.uncached(d, d.where("doc_id % 3 = 0").select("key")).select("doc_id")
 
 
-@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'Waiting for input' WHEN 1 THEN 'Done' WHEN 2 THEN 'Stopped By Hand' ELSE 'Unknown' END AS label, CASE event_id % 3 WHEN 0 THEN 'job_changed' END AS reason, CASE event_id % 3 WHEN 0 THEN 7 END::BIGINT AS job, event_id % 2 = 0 AS keepalive FROM events""")
+_FRAMES = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE concat(event_type, CASE WHEN value > 50 THEN '_by_hand' ELSE '' END) END AS status, CASE WHEN value > 90 THEN concat(': keepalive ', event_type, chr(10)) WHEN value > 80 THEN concat('data: {"k": ', CAST(user_id AS STRING)) WHEN value > 60 THEN concat('event: update', chr(10), 'data: {"reason": "', event_type, '",', chr(10), 'data:"k": ', CAST(user_id AS STRING), '}', chr(10)) ELSE concat('event: x', chr(10), 'data: ', props, chr(10)) END AS frame FROM events"""
+
+
+@query(
+    f"""WITH f AS ({_FRAMES.replace("AS STRING", "AS VARCHAR")}), d AS (SELECT *, array_to_string(list_transform(list_filter(string_split(frame, chr(10)), lambda l: starts_with(l, 'data:')), lambda l: CASE WHEN starts_with(l, 'data: ') THEN substr(l, 7) ELSE substr(l, 6) END), chr(10)) AS data FROM f),
+j AS (SELECT *, CASE WHEN json_valid(data) THEN data END AS held FROM d)
+SELECT event_id, CASE status WHEN 'click' THEN 'Chosen' WHEN 'view_by_hand' THEN 'Looked at' ELSE coalesce(array_to_string(list_transform(string_split(replace(status, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' '), 'Unknown') END AS label,
+json_extract_string(held, '$.reason') AS reason, TRY_CAST(json_extract_string(held, '$.k') AS BIGINT) AS job, NOT regexp_matches(frame, '(^|\\n)data:') AS keepalive FROM j"""
+)
 def status_labels_and_frames(spark, sf):
-    k = F.col("event_id")
-    status = F.when(k % 4 == 0, "awaiting_input").when(k % 4 == 1, "completed").when(k % 4 == 2, "stopped_by_hand")
-    frame = F.when(k % 3 == 0, F.lit('event: update\ndata: {"reason": "job_changed", "job": 7}\n\n')).when(k % 2 == 0, F.lit(": keepalive\n\n")).otherwise(F.lit("data: broken {"))
-    data = upkeep.event_data(frame)
-    return _t(spark, sf, "events").select("event_id", upkeep.label(status, {"awaiting_input": "Waiting for input", "completed": "Done"}).alias("label"), F.get_json_object(data, "$.reason").alias("reason"), F.get_json_object(data, "$.job").try_cast("long").alias("job"), (k % 2 == 0).alias("keepalive"))
+    """Each event's status as people read it, and what a frame of an event stream that carries its properties says."""
+    f = view(spark, sf, _FRAMES)
+    data = upkeep.event_data(F.col("frame"))
+    return f.select("event_id", upkeep.label(F.col("status"), {"click": "Chosen", "view_by_hand": "Looked at"}).alias("label"), F.get_json_object(data, "$.reason").alias("reason"), F.get_json_object(data, "$.k").try_cast("long").alias("job"), data.isNull().alias("keepalive"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'a b.pdf' WHEN 1 THEN 'report.pdf' ELSE 'document' END AS name, CASE p_partkey % 3 WHEN 2 THEN 'unknown' ELSE 'pdf' END AS kind FROM part""")
+_FETCHED = """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN concat(url, '/file%20', CAST(page_id AS STRING), '.PDF?x=', CAST(page_id AS STRING)) WHEN page_id % 4 = 1 THEN concat(url, '/', CAST(page_id AS STRING), '.tar.gz') ELSE url END AS url,
+CASE WHEN page_id % 5 = 0 THEN concat('attachment; filename="C:', chr(92), 'docs', chr(92), 'r ', CAST(page_id AS STRING), '.pdf"') WHEN page_id % 5 = 1 THEN concat('inline; filename*=UTF-8', chr(39), chr(39), 'a%2Fb', CAST(page_id AS STRING), '.html') WHEN page_id % 5 = 2 THEN 'attachment' END AS said FROM pages"""
+
+
+@query(
+    f"""WITH f AS ({_FETCHED.replace("AS STRING", "AS VARCHAR")}), x AS (SELECT page_id, regexp_extract(replace(url_decode(regexp_extract(coalesce(said, ''), 'filename\\*?=(?:UTF-8..)?"?([^";]+)', 1)), chr(92), '/'), '([^/]*)$', 1) AS named, regexp_extract(replace(url_decode(regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1)), chr(92), '/'), '([^/]*)$', 1) AS last FROM f),
+n AS (SELECT page_id, substr(CASE WHEN named <> '' THEN named WHEN contains(last, '.') THEN last ELSE 'document' END, 1, 220) AS name FROM x) SELECT page_id, name, coalesce(nullif(lower(regexp_extract(name, '\\.([A-Za-z0-9]+)$', 1)), ''), 'unknown') AS kind FROM n"""
+)
 def source_filenames(spark, sf):
-    k = F.col("p_partkey")
-    url = F.when(k % 3 == 0, "https://x.example/files/a%20b.pdf?y=1").when(k % 3 == 1, "https://x.example/get?id=3").otherwise("https://x.example/")
-    said = F.when(k % 3 == 1, 'attachment; filename="C:\\docs\\report.pdf"')
-    name = upkeep.download_name(url, said)
-    return _t(spark, sf, "part").select("p_partkey", name.alias("name"), F.coalesce(F.nullif(F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("unknown")).alias("kind"))
+    """What a fetched page's file is called: by what the server says of it, else by its address."""
+    name = upkeep.download_name(F.col("url"), F.col("said"))
+    return view(spark, sf, _FETCHED).select("page_id", name.alias("name"), F.coalesce(F.nullif(F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1)), F.lit("")), F.lit("unknown")).alias("kind"))
 
 
 @query("""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), s AS (SELECT source, 'REPLACEMENT_CHARACTERS' AS code, 'error' AS severity, count_if(contains(t, '�')) AS n FROM d GROUP BY source UNION ALL SELECT source, 'EMPTY_TEXT', 'warning', count_if(trim(t) = '') FROM d GROUP BY source UNION ALL SELECT source, 'SHORT_TEXT', 'info', count_if(length(t) BETWEEN 1 AND 80) FROM d GROUP BY source
@@ -148,11 +169,17 @@ def diagnostic_signals(spark, sf):
     return own.unionByName(again.select("source", F.lit("REPEATED_TEXT").alias("code"), F.lit("warning").alias("severity"), "n"))
 
 
-@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'answer' WHEN 2 THEN 'kept' ELSE '' END AS said FROM conversations")
+_WRAPPED = """SELECT conv_id, turn, CASE WHEN length(text) % 6 = 0 THEN concat('<think>', substr(text, 1, 30), '</think> ', substr(text, 31, 60), '<Analysis>x</analysis>  ') WHEN length(text) % 6 = 1 THEN concat(substr(text, 1, 20), '</reasoning>', chr(10), substr(text, 21, 50)) WHEN length(text) % 6 = 2 THEN concat(substr(text, 1, 40), '<analysis>', substr(text, 41, 50))
+WHEN length(text) % 6 = 3 THEN concat('<think>', substr(text, 1, 9), '</reasoning>', substr(text, 10, 20), '</think>', substr(text, 30, 20)) ELSE text END AS raw FROM conversations"""
+_BARE_OF = "{x}"
+for _tag in ("think", "reasoning", "analysis"):
+    _BARE_OF = f"regexp_replace({_BARE_OF}, '(?is)<{_tag}>.*?</{_tag}>', '', 'g')"
+
+
+@query(f"""WITH w AS ({_WRAPPED}) SELECT conv_id, turn, trim(regexp_replace(regexp_replace({_BARE_OF.format(x='raw')}, '(?is)^.*?</(think|reasoning|analysis)>', ''), '(?is)<(think|reasoning|analysis)>.*$', ''), ' ' || chr(9) || chr(13) || chr(10)) AS said FROM w""")
 def completions(spark, sf):
-    k = F.col("turn") % 4
-    raw = F.when(k == 0, "<think>a\nb</think> yes ").when(k == 1, "lost start</reasoning>\nanswer").when(k == 2, "kept<analysis>cut off").otherwise("<think>only")
-    return _t(spark, sf, "conversations").select("conv_id", "turn", answers.completion(raw).alias("said"))
+    """Turns that came with wrappers of reasoning, closed, cut off in front or cut off behind."""
+    return view(spark, sf, _WRAPPED).select("conv_id", "turn", answers.completion(F.col("raw")).alias("said"))
 
 
 @query("""SELECT l_suppkey AS book, max(p) AS last_page, arg_max(t, p) AS last_text FROM (SELECT l_suppkey, l_linenumber AS p, string_agg(l_returnflag, '' ORDER BY l_orderkey, l_partkey, l_quantity) AS t FROM lineitem GROUP BY 1, 2) GROUP BY l_suppkey""")
@@ -163,23 +190,30 @@ def page_texts(spark, sf):
     return pages.groupBy("book").agg(F.max("page").alias("last_page"), F.max_by("text", "page").alias("last_text"))
 
 
-_QUOTED = """SELECT o_orderkey AS id, 'The main pump stopped at noon, since oil presure was low' AS suspect, CASE o_orderkey % 8 WHEN 0 THEN 'main PUMP stopped' WHEN 1 THEN 'It says “oil presure” and “presure was low” here' WHEN 2 THEN concat('I think that since oil presure was low it broke ', repeat('x', CAST(o_orderkey % 3 AS INT) * 80)) WHEN 3 THEN 'nothing of it' WHEN 4 THEN '' WHEN 5 THEN 'at' WHEN 6 THEN 'see “not there” and pump' END AS said FROM orders"""
+_QUOTED = f"""SELECT id, suspect, CASE WHEN id % 8 = 0 THEN concat(' ', substr(suspect, 6, 30)) WHEN id % 8 = 1 THEN concat('It says “', substr(suspect, 5, 14), '” and “', substr(suspect, 30, 9), '” here') WHEN id % 8 = 2 THEN concat('I think that ', substr(suspect, 9, 40), ' it broke ', repeat('x', CAST(id % 3 AS INT) * 80)) WHEN id % 8 = 3 THEN concat('qqq ', reverse(suspect)) WHEN id % 8 = 4 THEN ''
+WHEN id % 8 = 5 THEN substr(suspect, 1, 2) WHEN id % 8 = 6 THEN concat('see “not there” and ', substr(suspect, 20, 30)) END AS said FROM (SELECT conv_id * 1000 + turn AS id, {_LINE.format(n=160)} AS suspect FROM conversations) x"""
+_RUN = "array_to_string(w[a:b], ' ')"
 
 
-@query(f"""WITH q AS ({_QUOTED}), n AS (SELECT *, lower(coalesce(suspect, '')) AS t, trim(coalesce(said, '')) AS raw, trim(regexp_replace(lower(regexp_replace(coalesce(said, ''), '["''“”]', '', 'g')), '\\s+', ' ', 'g')) AS s, string_split(suspect, ' ') AS w FROM q),
-x AS (SELECT *, list_filter(regexp_extract_all(raw, '[“”]([^“”]{{1,500}})[“”]', 1), lambda z: contains(t, lower(z))) AS quotes FROM n), r AS (SELECT id, t, raw, s, quotes, list_reduce(list_prepend('', flatten(list_transform(range(1, len(w) + 1), lambda a: list_transform(range(a, least(a + 15, len(w)) + 1), lambda b: CASE WHEN length(regexp_replace(array_to_string(w[a:b], ''), '[^A-Za-z0-9]', '', 'g')) >= 4 AND contains(s, lower(array_to_string(w[a:b], ' '))) THEN array_to_string(w[a:b], ' ') ELSE '' END)))),
-lambda p, z: CASE WHEN len(string_split(z, ' ')) * (z <> '')::INT > len(string_split(p, ' ')) * (p <> '')::INT THEN z ELSE p END) AS run FROM x)
-SELECT id, CASE WHEN raw = '' THEN '' WHEN len(quotes) > 0 THEN (SELECT z FROM (SELECT unnest(quotes) AS z) ORDER BY length(z) LIMIT 1) WHEN s <> '' AND contains(t, s) THEN raw WHEN run <> '' THEN run ELSE substr(raw, 1, 120) END AS span,
-CASE WHEN raw = '' THEN NULL WHEN len(quotes) > 0 THEN 'QUOTED_SOURCE_SPAN' WHEN s <> '' AND contains(t, s) THEN NULL WHEN run <> '' THEN CASE WHEN length(raw) > 120 THEN 'TRIMMED_EXACT_SOURCE_SPAN' ELSE 'WRAPPED_SOURCE_SPAN' END END AS method FROM r""")
+@query(f"""WITH q AS ({_QUOTED}), n AS (SELECT *, {_ET.format(c='suspect')} AS t, trim(coalesce(said, '')) AS raw, list_filter(regexp_split_to_array(coalesce(suspect, ''), '\\s+'), lambda z: z <> '') AS w FROM q), m AS (SELECT *, {_ET.format(c='raw')} AS s FROM n),
+x AS (SELECT *, list_filter(list_transform(regexp_extract_all(raw, '["''‘’“”]([^"''‘’“”]{{1,500}})["''‘’“”]', 1), lambda z: trim(z)), lambda z: {_ET.format(c='z')} <> '' AND contains(t, {_ET.format(c='z')})) AS quotes FROM m),
+r AS (SELECT id, t, raw, s, suspect, quotes, list_reduce(list_prepend('', flatten(list_transform(range(1, len(w) + 1), lambda a: list_transform(range(a, least(a + 14, len(w)) + 1), lambda b: CASE WHEN length({_RUN}) <= 120 AND length(regexp_replace({_RUN}, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) >= 4 AND contains(s, {_ET.format(c=_RUN)}) THEN {_RUN} ELSE '' END)))),
+    lambda p, z: CASE WHEN len(string_split(z, ' ')) * (z <> '')::INT > len(string_split(p, ' ')) * (p <> '')::INT THEN z ELSE p END) AS run FROM x)
+SELECT id, CASE WHEN raw = '' OR coalesce(suspect, '') = '' THEN '' WHEN len(quotes) > 0 THEN quotes[list_position(list_transform(quotes, lambda z: length(z)), list_min(list_transform(quotes, lambda z: length(z))))] WHEN s <> '' AND contains(t, s) AND length(raw) <= 120 THEN raw WHEN run <> '' THEN run ELSE rtrim(substr(raw, 1, 120)) END AS span,
+CASE WHEN raw = '' OR coalesce(suspect, '') = '' THEN NULL WHEN len(quotes) > 0 THEN 'QUOTED_SOURCE_SPAN' WHEN s <> '' AND contains(t, s) AND length(raw) <= 120 THEN NULL WHEN run <> '' THEN CASE WHEN length(raw) > 120 THEN 'TRIMMED_EXACT_SOURCE_SPAN' ELSE 'WRAPPED_SOURCE_SPAN' END END AS method FROM r""")
 def recover_source_evidence(spark, sf):
     return verdicts.recover_evidence(view(spark, sf, _QUOTED), "said", "suspect").select("id", "recovered.span", "recovered.method")
 
 
-_SCOPED = """SELECT o_orderkey AS id, 'open the drain valve' AS original, 'Then close the cover plate by hand and wait. Start again' AS context, CASE o_orderkey % 6 WHEN 0 THEN 'Open the drain valve' WHEN 1 THEN 'open the drain valve close the  COVER plate by hand and wait.' WHEN 2 THEN 'Corrected text: open the valve' WHEN 3 THEN 'close the cover plate by mistake' WHEN 4 THEN 'context: close the cover plate by hand and stop' END AS proposed FROM orders"""
+_SCOPED = f"""SELECT id, original, context, CASE WHEN id % 6 = 0 THEN original WHEN id % 6 = 1 THEN concat(original, '  ', substr(context, 5, 90)) WHEN id % 6 = 2 THEN concat('Corrected text: ', original) WHEN id % 6 = 3 THEN substr(context, 1, 25) WHEN id % 6 = 4 THEN concat(substr(context, 11, 60), ' ', original) END AS proposed FROM (
+SELECT conv_id * 1000 + turn AS id, {_LINE.format(n=150)} AS original, lag({_LINE.format(n=200)}) OVER (PARTITION BY conv_id ORDER BY turn) AS context FROM conversations) x"""
+_PLAIN = "lower(trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g')))"
+_MARKED = ", ".join("'" + m.lower().replace("'", "''") + "'" for m in verdicts.MARKERS)
 
 
-@query(f"""WITH q AS ({_SCOPED}), n AS (SELECT *, lower(trim(regexp_replace(coalesce(proposed, ''), '\\s+', ' ', 'g'))) AS p, string_split(lower(context), ' ') AS w FROM q)
-SELECT id, concat_ws(',', CASE WHEN contains(p, 'context:') OR contains(p, 'text:') THEN 'PROMPT_OR_CONTEXT_MARKER_LEAKAGE' END, CASE WHEN len(list_filter(range(1, len(w) - 4), lambda i: contains(p, array_to_string(w[i:i + 5], ' ')))) > 0 THEN 'NEARBY_CONTEXT_COPIED_INTO_CORRECTION' END) AS reasons FROM n""")
+@query(f"""WITH q AS ({_SCOPED}), n AS (SELECT *, {_PLAIN.format(c='proposed')} AS p, {_PLAIN.format(c='original')} AS o, list_filter(string_split({_PLAIN.format(c='context')}, ' '), lambda w: w <> '') AS w FROM q)
+SELECT id, concat_ws(',', CASE WHEN len(list_filter([{_MARKED}], lambda m: contains(p, m))) > 0 THEN 'PROMPT_OR_CONTEXT_MARKER_LEAKAGE' END, CASE WHEN len(list_filter(range(1, len(w) - 4), lambda i: contains(p, array_to_string(w[i:i + 5], ' ')) AND NOT contains(o, array_to_string(w[i:i + 5], ' ')))) > 0
+    OR len(list_filter(range(1, len(w) - 5), lambda i: contains(p, array_to_string(w[i:i + 6], ' ')) AND NOT contains(o, array_to_string(w[i:i + 6], ' ')))) > 0 OR len(list_filter(range(1, len(w) - 6), lambda i: contains(p, array_to_string(w[i:i + 7], ' ')) AND NOT contains(o, array_to_string(w[i:i + 7], ' ')))) > 0 THEN 'NEARBY_CONTEXT_COPIED_INTO_CORRECTION' END) AS reasons FROM n""")
 def correction_scope_guard(spark, sf):
     return verdicts.scope_guard(view(spark, sf, _SCOPED), "original", "context", "proposed").select("id", F.array_join("scope.reasons", ",").alias("reasons"))
 

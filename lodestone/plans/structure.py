@@ -12,6 +12,7 @@ from lodestone.functions import answers, fidelity
 from lodestone.operators import chunking, features, freshness, integrity
 from lodestone.plans import catalog
 from lodestone.plans.catalog import _TOKS, _asked, _fused, _lexical, _t, query
+from lodestone.plans.inputs import view
 from lodestone.session import ship
 from lodestone.streaming import governor
 
@@ -73,10 +74,14 @@ def critical_tokens(spark, sf):
 
 
 #: Sentences of a manual, chosen by key: instructions that share a sentence, lead to each other, or have no object.
-_MANUAL = ["Check the pump and replace the filter.", "Open valve; close the drain, then stop.", "No work is needed.", "Inspect and clean the bowl. Tighten", "Measure A, B and C before the test"]
 
 
-@query(r"""WITH m AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'Check the pump and replace the filter.' WHEN 1 THEN 'Open valve; close the drain, then stop.' WHEN 2 THEN 'No work is needed.' WHEN 3 THEN 'Inspect and clean the bowl. Tighten' ELSE 'Measure A, B and C before the test' END AS said FROM orders),
+
+_ORDERS = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN concat('Check the pump ', n, ' and replace the ', p, ' filter.') WHEN 1 THEN concat('Open valve ', n, '; close the ', p, ' drain, then stop.') WHEN 2 THEN concat('No work on ', n, ' is needed.') WHEN 3 THEN concat('Inspect and clean the ', p, ' bowl. Tighten ', n) ELSE concat('Measure A', n, ', B and ', p, ' before the test') END AS said
+FROM (SELECT o_orderkey, CAST(o_custkey AS STRING) AS n, CASE WHEN o_orderpriority < '2' THEN 'urgent' WHEN o_orderpriority < '4' THEN 'upper oil' ELSE 'old' END AS p FROM orders) x"""
+
+
+@query(rf"""WITH m AS ({_ORDERS.replace("AS STRING", "AS VARCHAR")}),
 parts AS (SELECT o_orderkey, string_split_regex(said, '[.;]') AS parts FROM m), s AS (SELECT o_orderkey, unnest(parts) AS s, generate_subscripts(parts, 1) AS k FROM parts),
 v AS (SELECT o_orderkey, k, s, unnest(regexp_extract_all(lower(s), '\b(check|inspect|replace|open|close|drain|clean|tighten|measure|test|stop)\b')) AS verb FROM s),
 p AS (SELECT *, strpos(lower(s), verb) AS b, strpos(lower(s), verb) + length(verb) AS e FROM v), n AS (SELECT *, lead(b) OVER (PARTITION BY o_orderkey, k ORDER BY b) AS after FROM p),
@@ -84,8 +89,7 @@ o AS (SELECT o_orderkey, verb, CASE WHEN after IS NOT NULL AND regexp_matches(su
 SELECT o_orderkey, verb, regexp_replace(regexp_replace(lower(trim(what)), '^(the|a|an)\s+', ''), '[\s,.:;!?-]+$', '') AS object, count(*) AS n FROM o GROUP BY ALL""")
 def action_obligations(spark, sf):
     ship(spark)
-    text = F.element_at(F.array(*[F.lit(t) for t in _MANUAL]), (F.col("o_orderkey") % 5 + 1).cast("int"))
-    d = fidelity.read(_t(spark, sf, "orders").select("o_orderkey", text.alias("text")), "text", "r")
+    d = fidelity.read(view(spark, sf, _ORDERS).select("o_orderkey", F.col("said").alias("text")), "text", "r")
     return d.select("o_orderkey", F.explode(fidelity.obligations(F.col("r"))).alias("o")).groupBy("o_orderkey", "o.verb", "o.object").agg(F.count("*").alias("n"))
 
 
