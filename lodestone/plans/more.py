@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import jobs, ledger, quality
-from lodestone.plans import answering, deep, entrybooks, jobqueues, judging, scalars, scopes, structure, tablebooks, texts
+from lodestone.plans import answering, collections, deep, entrybooks, jobqueues, judging, scalars, scopes, structure, tablebooks, texts
 from lodestone.plans.catalog import _TOKS, _UNIT, QUERIES, SQL, _t, _vectors, query
 
 _QUAL = f"""WITH t AS (SELECT doc_id, text, {_TOKS.format(c="text")} AS t FROM documents),
@@ -149,4 +149,4 @@ def sql_table() -> dict[str, str]:
 
 
 #: Importing it registers its queries.
-TEXTS = texts.__name__, scalars.SCALARS, jobqueues.NAME, entrybooks.NAME, tablebooks.NAME, scopes.NAME, answering.NAME, judging.NAME, deep.NAME
+TEXTS = texts.__name__, scalars.SCALARS, jobqueues.NAME, entrybooks.NAME, tablebooks.NAME, scopes.NAME, answering.NAME, judging.NAME, deep.NAME, collections.NAME
