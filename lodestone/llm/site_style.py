@@ -19,9 +19,11 @@ pages the tree decides, from the root down, over the nodes that ``MIN_PAGES`` pa
 * names add to it: a branch whose element, role, class or id says it is furniture (reader comments, say) is removed unless its share is ``HEAVY`` or
   more, and so is a block outside article and main elements where those remain, but for a title.
 
-On a smaller host, which has no statistics, names alone decide, and if article or main elements remain, only what they hold is kept, with an
+On a smaller host, which has no statistics, names alone decide, but a branch with a name that an article may have too (``MILD_NAMES``) stays if it holds ``HEAVY`` of the
+page's words or more in blocks of ``PROSE`` words or more. If article or main elements remain, only what they hold is kept, with an
 h1 outside if there is none inside. What the page itself hides (hidden, aria-hidden, display:none) is never text.
 
+Words are told apart by 32-bit hashes where their counts are summed, so two words of one node can rarely share a value, and entropies of nodes with very many words come out slightly low.
 Counts are summed by (host, node, value) in each task before they are shuffled, so the pages of a large host are never gathered. Equal pages of a host count
 once: each weighs one over the number of its copies.
 
@@ -46,6 +48,10 @@ from pyspark.sql import types as T
 from lodestone.session import written
 
 MIN_PAGES, THRESHOLD, STALE, VARIED, OWN, HEAVY = 8, 0.1, 0.12, 0.2, 0.5, 0.5
+#: Words of a block, on average, from which a branch is prose and no list of links.
+PROSE = 8
+#: A node is furniture by its element or role or by a plain name, or only by a name that an article may have.
+SURE, MILD = 1, 2
 #: Node of the whole page, in the tree only: its pages are the distinct pages of the host.
 WHOLE = 0
 #: What the tree says of a node, as bits of one number.
@@ -70,6 +76,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search menu menub
 NAMES = frozenset("""ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs byline-share comment comments commentlist cookie cookies consent disqus
 footer foot gdpr header masthead menu menus modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination popup promo promos promotion recommend recommended related replies reply respond share sharing
 shares sidebar sidebars sidenav signup skip social sponsor sponsored sponsors subscribe subscription tagcloud tags toolbar topbar trending widget widgets login search disclaimer paywall responses discussion reviews""".split())
+#: Of these, what an article may be called too: such a block stays if it holds a page's prose and its host has no statistics to say so.
+MILD_NAMES = frozenset("notice notices related reviews search social".split())
 EMPTY_NAMES = frozenset("area bar block box btn button buttons col container content form group holder icons inner items left links list module outer panel right row section slot top bottom wrap wrapper unit zone".split())
 MAIN_NAMES = frozenset("article main content post entry story".split())
 
@@ -194,6 +202,8 @@ class Page:
                 bad = not (words & MAIN_NAMES and not words & {"comment", "comments", "reply", "replies", "sidebar", "nav", "menu", "footer", "ad", "ads", "related"})
                 if inside and words <= {"header", "article", "post", "entry", "main", "content"}:
                     bad = False
+                if bad and words & NAMES <= MILD_NAMES:
+                    bad = MILD
             nodes.append([here, chain, bad, inside or name in ("article", "main") or attrs.get("role", "").lower() == "main", [], hidden, name])
             if up:
                 up[4].append(name)
@@ -228,14 +238,33 @@ class Page:
                 out[n[1]] = [up, *out[up]]
         return out
 
+    def prose(self) -> set[int]:
+        """Mildly named nodes that hold at least half of the page's words outside of what is surely furniture, in blocks of some length."""
+        gone: list[bool] = []
+        for n in self.nodes:
+            gone.append(n[5] or n[2] == SURE or n[0] >= 0 and gone[n[0]])
+        total, held = 0, {}
+        for k, t in self.blocks:
+            if k >= 0 and gone[k]:
+                continue
+            n = len(t.split())
+            total += n
+            while k >= 0:
+                if self.nodes[k][2] == MILD:
+                    words, blocks = held.get(k, (0, 0))
+                    held[k] = words + n, blocks + 1
+                k = self.nodes[k][0]
+        return {k for k, (words, blocks) in held.items() if words >= HEAVY * total and words >= PROSE * blocks}
+
     def text(self, judged: Callable[[int], int] | None) -> str:
         """judged: what the tree of a host with statistics says of a chain."""
         nodes, state = self.nodes, []
-        for up, chain, named, _, _, hidden, name in nodes:
+        excused = self.prose() if judged is None and any(n[2] == MILD for n in nodes) else ()
+        for k, (up, chain, named, _, _, hidden, name) in enumerate(nodes):
             kept, varied = state[up] if up >= 0 else (True, False)
             says = judged(chain) if judged is not None else 0
             title = says & IS_OWN and len(name) == 2 and name[0] == "h"
-            gone = hidden or says & IS_STALE or named and not says & IS_HEAVY or not varied and says & IS_LOW and not title
+            gone = hidden or says & IS_STALE or named and not says & IS_HEAVY and k not in excused or not varied and says & IS_LOW and not title
             state.append((kept and not gone, varied or bool(says & IS_VARIED)))
         keep = [(k, t) for k, t in self.blocks if k < 0 or state[k][0]]
         if any(k >= 0 and nodes[k][3] for k, _ in keep):

@@ -223,3 +223,21 @@ def test_clashing_names_in_stages(spark):
     e = spark.createDataFrame([("l", "block", "add", "domain", "a.example", "2024-01-01")], "list_name string, action string, op string, kind string, pattern string, day string").selectExpr("list_name", "action", "op", "kind", "pattern", "to_date(day) AS day")
     got = url_asof.judge(c, e).first()
     assert got.blocked and (got.asked_url, got["__url"]) == ("u", "d")
+
+
+def test_a_lone_page_whose_article_has_a_mild_name(spark):
+    from lodestone.llm import site_style
+
+    prose = "the article says a good deal about pumps and how they are kept in order over the years"
+    links = "".join(f"<li><a href='/{k}'>Story {k}</a></li>" for k in range(40))
+    page = lambda name, body, more="": f"<body><div class='{name}'>{body}</div>{more}<div class='footer'>imprint</div></body>"
+    cases = [
+        (page("story-reviews", f"<p>{prose}</p><p>{prose}</p>"), f"{prose}\n\n{prose}"),
+        (page("related", f"<ul>{links}</ul>", f"<div><p>{prose}</p></div>"), prose),  # a list of links, however long
+        (page("comments", f"<p>{prose}</p><p>{prose}</p>", f"<div><p>{prose}</p></div>"), prose),  # readers' comments never
+        (page("social", "<p>Share this</p>", f"<div><p>{prose}</p></div>"), prose),
+        (page("search", f"<p>{prose}</p>", f"<div><p>{prose} {prose}</p></div>"), f"{prose} {prose}"),  # less than half
+    ]
+    rows = [(k, f"http://h{k}.example/x", html) for k, (html, _) in enumerate(cases)]
+    got = {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: want for k, (_, want) in enumerate(cases)}
