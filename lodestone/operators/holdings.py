@@ -22,7 +22,7 @@ def search_pictures(pictures: DataFrame, asked: DataFrame, preferred: DataFrame,
     meet preferred pages by equality, each with its neighbours, so no pair of pages is listed that is of no use.
     """
     docs = pictures.select("id", "scope", "text")
-    found = lexical_scores(docs, asked, scoped=True).join(asked.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
+    found = lexical_scores(docs, asked, scoped=True)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = found.withColumn("score", F.round("score", 6)).withColumn("n", F.row_number().over(w)).where(F.col("n") <= max(depth, 5 * k)).join(pictures.select("id", "source", "picture", "pages"), "id")
     near = preferred.select("query_id", F.explode(F.array(*[F.struct((F.col("page") + d).alias("page"), F.lit(d == 0).alias("same")) for d in (-1, 0, 1)])).alias("p")).select("query_id", "p.page", "p.same")

@@ -74,12 +74,12 @@ def walk(references: DataFrame, root: str = "root", deepest: int | None = None)
     sound = references.where("book IS NOT NULL AND parent IS NOT NULL AND place IS NOT NULL")
     sound = _without_gaps(sound.groupBy("book", "parent", "place").agg(F.min("child").alias("child")))
     refs = written(sound.withColumn("rid", F.monotonically_increasing_id()), "references")
-    several = written(refs.where("child IS NOT NULL").groupBy("book", "child").agg(F.count("*").alias("n"), F.min("rid").alias("rid")), "named")
+    several = written(refs.where(F.col("child") != root).groupBy("book", "child").agg(F.count("*").alias("n"), F.min("rid").alias("rid")), "named")
     single = several.where("n = 1").select("rid")
     several = several.where("n > 1").select("book", "child")
     shared = refs.join(several, ["book", "child"], "left_semi") if not several.isEmpty() else None
     outer = refs.where(F.col("parent") == root).select(F.col("rid").alias("outer"))
-    first, before = single, -1
+    first, before = single, None
     while True:
         tour = written(_tour(refs, first), "walk")
         # A list that ends by leaving an outermost reference is a walk from the root.
@@ -90,10 +90,9 @@ def walk(references: DataFrame, root: str = "root", deepest: int | None = None)
             break
         found = shared.join(ends.select("rid", "left_e"), "rid").groupBy("book", "child").agg(F.max_by("rid", "left_e").alias("rid")).select("rid")
         found = written(found, "first")
-        chosen = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("rid").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if tuple(chosen) == before:
+        if before is not None and found.count() == before.count() and found.join(before, "rid", "left_anti").isEmpty():
             break
-        before, first = tuple(chosen), single.unionByName(found)
+        before, first = found, single.unionByName(found)
     sizes = refs.join(ends.select("rid"), "rid").groupBy("book").agg(F.count("*").alias("size"))
     # The number of references from a step to the end of its book's list, counted from the end, is its place from the front. Depth-limited walks keep gaps out by ranking anew.
     out = refs.join(ends, "rid", "left").join(sizes, "book", "left").join(first.withColumn("is_first", F.lit(True)), "rid", "left")
@@ -104,5 +103,5 @@ def walk(references: DataFrame, root: str = "root", deepest: int | None = None)
     entered = out.where("is_first AND left_e IS NOT NULL").select("book", "child", F.col("left_e").alias("from_e"), F.col("after").alias("to_e"))
     out = out.join(entered, ["book", "child"], "left")
     inside = (F.col("left_e") < F.col("from_e")) & (F.col("left_e") > F.col("to_e"))
-    kind = F.when(F.col("left_e").isNull(), "apart").when(F.col("child").isNull(), "broken").when(F.col("is_first"), "entered").when(inside, "ring").otherwise("repeated")
+    kind = F.when(F.col("left_e").isNull(), "apart").when(F.col("child").isNull(), "broken").when(F.col("is_first"), "entered").when(inside | (F.col("child") == root), "ring").otherwise("repeated")
     return out.select("book", "parent", F.col("given").alias("place"), "child", F.col("position").cast("long").alias("position"), "depth", kind.alias("kind"))

@@ -19,20 +19,30 @@ def term_rows(docs: DataFrame, id_col: str, text_col: str, scope: str | None = N
     return docs.select(F.col(id_col).alias("id"), (F.col(scope) if scope else F.lit("all")).alias("scope"), F.explode(tokens(F.col(text_col))).alias("term"))
 
 
+#: Stands for a document itself among its terms; no token is empty.
+WHOLE = ""
+
+
 def lexical_scores(docs: DataFrame, queries: DataFrame, scoped: bool = False) -> DataFrame:
     """docs (id, scope, text), queries (query_id, text) -> (query_id, scope, id, score): BM25 with N, df and average length inside each scope.
 
-    The term filter (a semi join with the queries' terms) comes before the term counts are grouped, so only query terms are shuffled.
+    Queries with a column ``scope`` ask that scope alone, the others every scope. Texts are read once: a document's postings are those of its terms that some query asks
+    for, and one for itself, from which the sizes of scopes follow. Only these are shuffled, and the three uses of the counts share one exchange.
     """
+    own = ["scope"] if scoped and "scope" in queries.columns else []
     d = docs.select("id", F.col("scope") if scoped else F.lit("all").alias("scope"), tokens(F.col("text")).alias("t"))
-    sizes = d.select("scope", F.size("t").alias("dl")).groupBy("scope").agg(F.count("*").alias("n"), F.avg(F.col("dl").cast("double")).alias("avgdl"))
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    used = q.select("term").distinct()
-    tf = d.select("id", "scope", F.greatest(F.size("t"), F.lit(1)).alias("dl"), F.explode("t").alias("term")).join(used, "term", "left_semi").groupBy("scope", "id", "dl", "term").agg(F.count("*").alias("tf"))
+    q = queries.select("query_id", *own, F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", *own, "term").agg(F.count("*").alias("qtf"))
+    used = q.select("term").distinct().unionByName(docs.sparkSession.range(1).select(F.lit(WHOLE).alias("term")))
+    posted = d.select("id", "scope", F.size("t").alias("size"), F.explode(F.concat(F.array(F.lit(WHOLE)), "t")).alias("term"))
+    tf = posted.join(used, "term", "left_semi").groupBy("scope", "id", "size", "term").agg(F.count("*").alias("tf"))
+    itself = F.col("term") == WHOLE
+    # Conditions inside the sums, not filters before them: a filter would be pushed down and the texts read again.
+    sizes = tf.groupBy("scope").agg(F.sum(F.when(itself, F.col("tf")).otherwise(0)).alias("n"), (F.sum(F.when(itself, F.col("tf") * F.col("size")).otherwise(0)) / F.sum(F.when(itself, F.col("tf")).otherwise(0))).alias("avgdl"))
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    m = tf.join(df, ["scope", "term"]).join(sizes, "scope").join(q, "term")
+    m = tf.join(df, ["scope", "term"]).join(sizes, "scope").join(q, [*own, "term"])
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * (1 + 0.15 * (F.col("qtf") - 1))
+    length = F.greatest("size", F.lit(1))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length / F.col("avgdl"))) * (1 + 0.15 * (F.col("qtf") - 1))
     return m.groupBy("query_id", "scope", "id").agg(F.sum(part).alias("score"))
 
 
@@ -141,8 +151,7 @@ def scoped_hybrid(docs: DataFrame, vectors: DataFrame, current: DataFrame, asked
     name the scope of each question. Counts of terms and lengths are those of the scope's current generation. A scope without a current generation gives nothing.
     """
     docs, vectors = (x.join(current, ["scope", "generation"], "left_semi") for x in (docs, vectors))
-    lexical = lexical_scores(docs, asked, scoped=True).join(asked.select("query_id", "scope"), ["query_id", "scope"], "left_semi")
-    lexical = ranked(lexical, depth, ["query_id", "scope"])
+    lexical = ranked(lexical_scores(docs, asked, scoped=True), depth, ["query_id", "scope"])
     near = vector_topk(vectors, asked_vectors, depth, scoped=True)
     return rrf(lexical, near, by=("query_id", "scope")).where(F.col("rank") <= k)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,9 @@ def signals(rows: DataFrame, by: str, checks: dict[str, tuple[str, Column]]) ->
 
 
 def page_text(rows: DataFrame, by: list[str], place: str, text: str, joint: str = "\n", most: int = 5_000) -> DataFrame:
-    """The texts of each group in order as one, cut to ``most`` characters: what a prompt shows of a page."""
+    """The texts of each group in order as one, cut to ``most`` characters: what a prompt shows of a page. Texts that begin beyond the cut are dropped before any are gathered."""
+    so_far = Window.partitionBy(*by).orderBy(place, text).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.length(text) + len(joint)).over(so_far), F.lit(0))
+    seen = rows.withColumn("begins", before).where(F.col("begins") < most)
     kept = F.array_sort(F.collect_list(F.struct(place, text)))
-    return rows.groupBy(*by).agg(F.substring(F.array_join(F.transform(kept, lambda r: r[text]), joint), 1, most).alias("text"))
+    return seen.groupBy(*by).agg(F.substring(F.array_join(F.transform(kept, lambda r: r[text]), joint), 1, most).alias("text"))

@@ -37,7 +37,7 @@ def walked(spark, refs, **how):
 
 
 def test_walk_equals_a_stack(spark):
-    rng, refs = random.Random(3), [(9, "x", 0, "y"), (9, "y", 0, "x"), (9, "root", 0, "z")]
+    rng, refs = random.Random(3), [(9, "x", 0, "y"), (9, "y", 0, "x"), (9, "root", 0, "z"), (9, "z", 0, "root"), (9, "z", 1, "w")]
     for b in range(6):
         names, kids = [f"n{i}" for i in range(rng.choice([1, 5, 30]))], {}
         for i, n in enumerate(names):
