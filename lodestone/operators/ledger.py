@@ -12,21 +12,23 @@ def reconcile(entries: DataFrame, key: list[str], human: str, decided: str, gene
     return entries.withColumn("winner", F.row_number().over(w) == 1)
 
 
-#: A digest is added up in words of this many hexadecimal digits, each modulo 2^64.
-WORD_DIGITS, WORDS = 16, 4
+#: A digest is added up in words of this many hexadecimal digits, each in two halves of this many bits. Sums of a half fit 64 bits for 8 billion rows of a group; more are
+#: an error, never a wrong sum.
+WORD_DIGITS, WORDS, HALF = 15, 2, 30
 
 
 def signature(rows: DataFrame, by: str, columns: list[str], digest=None) -> DataFrame:
     """A SHA-256 of each group's rows, whatever their order and however they are split over tasks.
 
-    Every row's digest is cut into four words of 64 bits; words are summed modulo 2^64 and rows are counted, so tasks add up their own rows first and a group of
-    any size needs four numbers. Rows that are there twice count twice.
+    The first 120 bits of every row's digest are summed as two words by halves, and rows are counted, so tasks add up their own rows first and a group of any size needs
+    five numbers. Rows that are there twice count twice. It tells changes apart, and is no seal against someone who makes rows up to fit.
     """
     digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256) if digest is None else digest
-    words = [F.conv(F.substring("d", 1 + k * WORD_DIGITS, WORD_DIGITS), 16, 10).cast("decimal(20,0)") for k in range(WORDS)]
-    sums = rows.select(by, digest.alias("d")).groupBy(by).agg(F.count("*").alias("n"), *[F.sum(w).alias(f"w{k}") for k, w in enumerate(words)])
-    left = [F.pmod(F.col(f"w{k}").cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")).cast("decimal(20,0)").cast("string") for k in range(WORDS)]
-    return sums.select(by, F.sha2(F.concat_ws(",", F.col("n").cast("string"), *left), 256).alias("signature"))
+    words = [F.conv(F.substring("d", 1 + k * WORD_DIGITS, WORD_DIGITS), 16, 10).cast("long").alias(f"w{k}") for k in range(WORDS)]
+    cut = rows.select(by, digest.alias("d")).select(by, *words)
+    halves = {f"{side}{k}": half for k in range(WORDS) for side, half in (("h", F.shiftright(f"w{k}", HALF)), ("l", F.col(f"w{k}").bitwiseAND((1 << HALF) - 1)))}
+    sums = cut.groupBy(by).agg(F.count("*").alias("n"), *[F.sum(half).alias(name) for name, half in halves.items()])
+    return sums.select(by, F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in ("n", *halves)]), 256).alias("signature"))
 
 
 def rolling_usage(events: DataFrame, by: str, at: str, value: str, seconds: int = 86_400) -> DataFrame:

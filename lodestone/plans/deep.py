@@ -129,16 +129,16 @@ def misread_spellings(spark, sf):
 
 
 @query(f"""WITH w AS (SELECT source AS book, t AS word, count(*) AS n FROM (SELECT source, unnest({_TOKS.format(c="text")}) AS t FROM documents WHERE source IS NOT NULL) WHERE regexp_full_match(t, '[a-z]+') GROUP BY ALL),
-r AS (SELECT * FROM w WHERE n <= 2 AND length(word) >= 6), f AS (SELECT * FROM w WHERE n >= 100 AND length(word) >= 4),
+r AS (SELECT * FROM w WHERE n <= 2 AND length(word) >= 6), f AS (SELECT * FROM w WHERE n >= 20 AND length(word) >= 4),
 p AS (SELECT r.book, r.word AS rare, r.n AS rare_n, f.word AS frequent, f.n, levenshtein(r.word, f.word) AS edits, greatest(length(r.word), length(f.word)) AS m FROM r JOIN f ON f.book = r.book AND abs(length(r.word) - length(f.word)) <= 2 AND levenshtein(r.word, f.word) BETWEEN 1 AND CASE WHEN greatest(length(r.word), length(f.word)) >= 13 THEN 2 ELSE 1 END),
 s AS (SELECT *, {{}} AS a, {{}} AS b FROM p WHERE 1 - edits / m >= 0.84)
 SELECT book, rare, rare_n, frequent, n, edits::INTEGER AS edits, round(1 - edits / m, 4) AS likeness FROM s WHERE NOT list_has_any(a, b) QUALIFY row_number() OVER (PARTITION BY book, rare ORDER BY 1 - edits / m DESC, n DESC, edits, frequent DESC) = 1""".format(
     *["list_prepend({0}, list_transform(list_filter(['ingly', 'ation', 'ations', 'tion', 'tions', 'ing', 'ers', 'ies', 'ied', 'ed', 'er', 'es', 's', 'ly', 'd', 'y'], lambda e: ends_with({0}, e) AND length({0}) - length(e) >= 5), lambda e: {0}[1:length({0}) - length(e)]))".format(c) for c in ("rare", "frequent")]
 ))
 def rare_within_two_edits(spark, sf):
-    """Rare words of each source with the frequent word (a hundred times or more) that they are most alike, up to two edits."""
+    """Rare words of each source with the frequent word (twenty times or more) that they are most alike, up to two edits."""
     t = _t(spark, sf, "documents").where("source IS NOT NULL").select(F.col("source").alias("book"), F.explode(F.filter(retrieval.tokens(F.col("text")), lambda x: x.rlike("^[a-z]+$"))).alias("word"))
-    n = t.groupBy("book", "word").agg(F.count("*").alias("n")).where("n <= 2 OR n >= 100").withColumn("surface", F.col("word"))
+    n = t.groupBy("book", "word").agg(F.count("*").alias("n")).where("n <= 2 OR n >= 20").withColumn("surface", F.col("word"))
     return spelling.near_pairs(n).withColumn("likeness", F.round("likeness", 4))
 
 
