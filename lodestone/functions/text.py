@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 TOKEN = r"[a-z0-9]+(?:[-_/.+:][a-z0-9]+)+|\d+(?:\.\d+)?(?:°[cf])?|[a-z]+|\d+"
 #: The same for Java, with possessive quantifiers: each part ends where the next can't match inside it, so nothing is tried twice.
 _TOKEN_ONCE = r"[a-z0-9]++(?:[-_/.+:][a-z0-9]++)++|\d++(?:\.\d++)?+(?:°[cf])?+|[a-z]++|\d++"
-STOPWORDS = "a an and are as at be by for from how in is it of on or that the this to what when where which with why".split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "what", "when",
+    "where", "which", "with", "why",
+]
 
 
 def tokens(text: Column) -> Column:

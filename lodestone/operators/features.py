@@ -27,21 +27,59 @@ REFERENCE_ASKED = r"(?i)\b(?:refer|reference|see|section|chapter|clause|where\s+
 SECTION = r"(?i)\b(?:section|chapter|clause)\s+([A-Za-z0-9]+(?:[._/-][A-Za-z0-9]+)*)"
 QUOTED = "[\"“”']([^\"“”']{3,100})[\"“”']"
 ITEM = r"(?i)\b(?:item|pos(?:ition)?)\s*#?\s*(\d{2,4})\b"
-ITEM_GENERIC = "what which article number item position pos parts part list this the for is".split()
+ITEM_GENERIC = [
+    "what", "which", "article", "number", "item", "position", "pos", "parts", "part", "list", "this", "the", "for", "is",
+]
 STATE_WORDS = r"(?i)\b(?:normal|at\s+limit|fault|faulty|alarm|not\s+working|stopp?ed|operated)\b"
 MEASURED = r"(?i)[-+]?\d+(?:[.,]\d+)?\s*(?:v|vac|vdc|bar|mpa|psi|°?c|°?f|a|ma|hz|rpm)\b"
 EFFECT = r"(?i)\b(?:affect(?:s|ed)?|causes?|controls?|releases?|blocks?|supplies?|drives?|results?\s+in)\b"
 BY_HAND = r"(?i)\b(?:manually|during\s+checking|during\s+adjustment)\b"
-PROCEDURE_WORDS = "check adjust measure inspect remove install operate connect start stop loosen tighten drain replace set turn open close disconnect reconnect clean fill apply press verify".split()
-TROUBLE_WORDS = "check inspect reset replace fault faulty failure alarm error cause causes remedy corrective operated trip tripped stopped stop measure verify normal abnormal open closed broken".split()
-FUNCTION_WORDS = "operate operates operated control controls controlled release releases released block blocks blocked open opens close closes supply supplies drive drives start starts stop stops shift shifts connect connects disconnect energize energizes deenergize actuate actuates".split()
-ACTION_TERMS = "procedure check adjust test measure inspect replace remove install change calibrate calibration zero set setting do refer refers mean means identify alarm fault trip failure failed problem error trouble cause remedy corrective came".split()
-UNITS = "a bar c f hz ka kg kn kw l ma mm mpa nm pa psi rpm s v vac vdc w ohm ohms".split()
-ATTRIBUTES = {
-    "voltage": ("volt volts voltage", "v vac vdc mv kv"), "pressure": ("press pressure", "bar mpa pa kpa psi kg/cm2"), "temperature": ("temp temperature", "c f °c °f"),
-    "torque": ("torque", "nm n-m"), "current": ("current amp amps", "a ma ka"), "resistance": ("resistance", "ohm ohms kohm mohm"), "frequency": ("frequency", "hz khz"),
-    "speed": ("speed", "rpm"), "flow": ("flow", "l/min lpm m3/h m³/h"), "clearance": ("clearance", "mm cm"),
-}
+PROCEDURE_WORDS = [
+    "check", "adjust", "measure", "inspect", "remove", "install", "operate", "connect", "start", "stop", "loosen", "tighten", "drain", "replace", "set",
+    "turn", "open", "close", "disconnect", "reconnect", "clean", "fill", "apply", "press", "verify",
+]
+TROUBLE_WORDS = [
+    "check", "inspect", "reset", "replace", "fault", "faulty", "failure", "alarm", "error", "cause", "causes", "remedy", "corrective", "operated", "trip",
+    "tripped", "stopped", "stop", "measure", "verify", "normal", "abnormal", "open", "closed", "broken",
+]
+FUNCTION_WORDS = [
+    "operate", "operates", "operated", "control", "controls", "controlled", "release", "releases", "released", "block", "blocks", "blocked", "open", "opens",
+    "close", "closes", "supply", "supplies", "drive", "drives", "start", "starts", "stop", "stops", "shift", "shifts", "connect", "connects", "disconnect",
+    "energize", "energizes", "deenergize", "actuate", "actuates",
+]
+ACTION_TERMS = [
+    "procedure", "check", "adjust", "test", "measure", "inspect", "replace", "remove", "install", "change", "calibrate", "calibration", "zero", "set",
+    "setting", "do", "refer", "refers", "mean", "means", "identify", "alarm", "fault", "trip", "failure", "failed", "problem", "error", "trouble", "cause",
+    "remedy", "corrective", "came",
+]
+UNITS = [
+    "a", "bar", "c", "f", "hz", "ka", "kg", "kn", "kw", "l", "ma", "mm", "mpa", "nm", "pa", "psi", "rpm", "s", "v", "vac", "vdc", "w", "ohm", "ohms",
+]
+#: Words that name a measured attribute, and its units.
+ATTRIBUTE_WORDS = {
+    "voltage": ["volt", "volts", "voltage"],
+    "pressure": ["press", "pressure"],
+    "temperature": ["temp", "temperature"],
+    "torque": ["torque"],
+    "current": ["current", "amp", "amps"],
+    "resistance": ["resistance"],
+    "frequency": ["frequency"],
+    "speed": ["speed"],
+    "flow": ["flow"],
+    "clearance": ["clearance"],
+}
+ATTRIBUTE_UNITS = {
+    "voltage": ["v", "vac", "vdc", "mv", "kv"],
+    "pressure": ["bar", "mpa", "pa", "kpa", "psi", "kg/cm2"],
+    "temperature": ["c", "f", "°c", "°f"],
+    "torque": ["nm", "n-m"],
+    "current": ["a", "ma", "ka"],
+    "resistance": ["ohm", "ohms", "kohm", "mohm"],
+    "frequency": ["hz", "khz"],
+    "speed": ["rpm"],
+    "flow": ["l/min", "lpm", "m3/h", "m³/h"],
+    "clearance": ["mm", "cm"],
+}
 #: Characters that continue an identifier: of sections and items, and of identifiers that a question names.
 BORDER, ID_BORDER = r"A-Za-z0-9_./:+\-", r"A-Za-z0-9_/:+~\-"
 IDENTIFIER = r"(?i)\+?[A-Za-z0-9]+(?:[._/:+~\-][A-Za-z0-9]+)+|[A-Za-z]+\d+[A-Za-z0-9]*|\d+[A-Za-z]+[A-Za-z0-9]*"
@@ -54,14 +92,14 @@ def _has(array: Column, words: list[str]) -> Column:
 
 def attribute(asked: Column) -> Column:
     """The measured attribute that the first such word of the tokens names, or null."""
-    by = {w: name for name, (words, _) in ATTRIBUTES.items() for w in words.split()}
+    by = {w: name for name, words in ATTRIBUTE_WORDS.items() for w in words}
     named = F.create_map(*[F.lit(x) for pair in by.items() for x in pair])
     return F.get(F.filter(F.transform(asked, lambda t: F.try_element_at(named, t)), lambda n: n.isNotNull()), F.lit(0))
 
 
 def subject_terms(asked: Column, about: Column) -> Column:
     """What the question is about: its distinct tokens without words of action, units, and names of the attribute asked for."""
-    names = F.create_map(*[F.lit(x) for name, (words, _) in ATTRIBUTES.items() for w in words.split() for x in (w, name)])
+    names = F.create_map(*[F.lit(x) for name, words in ATTRIBUTE_WORDS.items() for w in words for x in (w, name)])
     own = F.filter(asked, lambda t: ~t.isin(ACTION_TERMS + UNITS) & ~F.coalesce(F.try_element_at(names, t) == about, F.lit(False)))
     return F.array_distinct(own)
 
@@ -113,8 +151,8 @@ def score_features(pairs: DataFrame) -> DataFrame:
     add = lambda when, much: F.when(when, much).otherwise(F.lit(0.0))
     unit = F.lit(False)
     folded = F.regexp_replace(F.lower(raw), r"\s+", " ")
-    for name, (_, units) in ATTRIBUTES.items():
-        unit = unit | F.coalesce(about == name, F.lit(False)) & folded.rlike("|".join(rf"[-+]?\d+(?:[.,]\d+)?\s*\Q{u}\E(?=$|[^a-z])" for u in units.split()))
+    for name, units in ATTRIBUTE_UNITS.items():
+        unit = unit | F.coalesce(about == name, F.lit(False)) & folded.rlike("|".join(rf"[-+]?\d+(?:[.,]\d+)?\s*\Q{u}\E(?=$|[^a-z])" for u in units))
     load_direct, load_near = raw.rlike(rf"(?i)\b{LOAD_NAME}\b\s*[:=]?\s*{LOAD_VALUE}"), raw.rlike(rf"(?i)\b{LOAD_NAME}\b") & raw.rlike(f"(?i){LOAD_VALUE}")
     sections = F.regexp_extract_all(q, F.lit(SECTION), F.lit(1))
     quoted = F.filter(F.transform(F.regexp_extract_all(q, F.lit(QUOTED), F.lit(1)), lambda s: F.array_join(tokens(s), " ")), lambda s: s != "")

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 # Citations, words, values and identifiers of claims, questions across books, and the sentence for no answer.
 CITATION = r"\[([SVsv]\d+)\]"
 WORD = "[A-Za-z][A-Za-z0-9_/-]{2,}"
-STOPWORDS = "the and for with from that this into onto your their then than are was were is be to of in on at by or as it its a an if when while before after must should may can will not only source manual system equipment".split()
+STOPWORDS = [
+    "the", "and", "for", "with", "from", "that", "this", "into", "onto", "your", "their", "then", "than", "are", "was", "were", "is", "be", "to", "of", "in",
+    "on", "at", "by", "or", "as", "it", "its", "a", "an", "if", "when", "while", "before", "after", "must", "should", "may", "can", "will", "not", "only",
+    "source", "manual", "system", "equipment",
+]
 CRITICAL = (
     r"(?i)(?<!\w)(?:[<>≤≥]=?\s*)?\d+(?:\.\d+)?\s*(?:%|°\s*[CF]|V|mV|A|mA|bar|psi|Hz|rpm|kW|W|N\s*[·.-]?\s*m|Nm|mm|cm|kg|tonnes?|tons?|t|s|sec(?:onds?)?|min(?:utes?)?|h|hours?|Ω|ohms?)\b"
     r"|\b(?=[A-Za-z0-9_./-]*[A-Za-z])(?=[A-Za-z0-9_./-]*\d)[A-Za-z0-9][A-Za-z0-9_./-]{2,}\b"

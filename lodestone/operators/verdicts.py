@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 # Verdicts, and kinds of drawings that lines in a picture speak for.
 TEXT_VERDICTS = ["LIKELY_OK", "LIKELY_CORRUPT", "UNCERTAIN"]
 PICTURE_VERDICTS = ["TECHNICAL_USEFUL", "DECORATIVE_OR_LOW_VALUE", "UNCERTAIN"]
-DRAWINGS = "electrical_schematic wiring_diagram single_line_diagram ladder_logic block_diagram hydraulic_schematic pneumatic_schematic pid control_logic terminal_diagram timing_or_waveform mechanical_section exploded_view installation_layout safety_diagram".split()
-OTHER_PICTURES = "technical_photo nameplate_or_data_plate table_or_schedule graph_or_plot map control_panel other_technical decorative_photo logo signature_or_stamp cover_art unknown".split()
+DRAWINGS = [
+    "electrical_schematic", "wiring_diagram", "single_line_diagram", "ladder_logic", "block_diagram", "hydraulic_schematic", "pneumatic_schematic", "pid",
+    "control_logic", "terminal_diagram", "timing_or_waveform", "mechanical_section", "exploded_view", "installation_layout", "safety_diagram",
+]
+OTHER_PICTURES = [
+    "technical_photo", "nameplate_or_data_plate", "table_or_schedule", "graph_or_plot", "map", "control_panel", "other_technical", "decorative_photo", "logo",
+    "signature_or_stamp", "cover_art", "unknown",
+]
 
 
 def evidence_text(text: Column) -> Column:
