@@ -148,13 +148,18 @@ def cell_context(cells: DataFrame, reach: int = 1) -> DataFrame:
 def page_overlays(chunks: DataFrame, overlays: DataFrame, most: int = 8) -> DataFrame:
     """chunks (id, pages array<int>, text), overlays (page, entry, created, status, summary, visible array<string>) -> id, text, overlays: what was applied to a chunk's pages, the newest first, ``most`` of them.
 
-    Only overlays that are applied take part, each once for a chunk however many of its pages it is on. The join is by page; a chunk's overlays are cut to the first in
-    the tasks by a window over the chunk.
+    Only overlays that are applied take part, each once for a chunk however many of its pages it is on, as the newest of the first of its pages says. An entry that
+    ``most`` others of a page precede is preceded by them in every chunk with this page, so each page offers its first ``most``; a chunk meets those of its pages and
+    no others, and its own first are looked up on its pages again. Rows grow with the chunks' pages, not with the overlays on each.
     """
-    on = overlays.where("status = 'applied' AND page IS NOT NULL").select("page", "entry", "created", "summary", "visible")
-    met = chunks.select("id", F.explode(F.array_distinct(F.coalesce("pages", F.array().cast("array<int>")))).alias("page")).join(on, "page")
-    once = met.groupBy("id", "entry").agg(F.max("created").alias("created"), F.min("page").alias("page"), F.min_by("summary", "page").alias("summary"), F.min_by("visible", "page").alias("visible"))
+    newest = F.max_by(F.struct("created", "summary", "visible"), F.struct("created", "summary", "visible"))
+    on = overlays.where("status = 'applied' AND page IS NOT NULL").groupBy("page", "entry").agg(newest.alias("o")).select("page", "entry", "o.*")
+    offered = on.select("page", "entry", "created", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("created"), "entry")).alias("n")).where(F.col("n") <= most).drop("n")
+    places = chunks.select("id", F.explode(F.array_distinct(F.coalesce("pages", F.array().cast("array<int>")))).alias("page"))
+    once = places.join(offered, "page").groupBy("id", "entry").agg(F.max("created").alias("created"))
     w = Window.partitionBy("id").orderBy(F.desc("created"), "entry")
-    first = once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-    listed = first.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "entry", "page", "summary", "visible"))).alias("overlays"))
+    first = once.withColumn("n", F.row_number().over(w)).where(F.col("n") <= most).drop("created")
+    met = first.join(places, "id").join(on.drop("created"), ["page", "entry"])
+    found = met.groupBy("id", "n", "entry").agg(F.min_by(F.struct("page", "summary", "visible"), "page").alias("o")).select("id", "n", "entry", "o.*")
+    listed = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "entry", "page", "summary", "visible"))).alias("overlays"))
     return chunks.join(listed, "id", "left").select("id", "text", F.coalesce("overlays", F.array().cast(listed.schema["overlays"].dataType)).alias("overlays"))
