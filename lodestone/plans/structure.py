@@ -61,10 +61,8 @@ _PROSE_SQL = [f"regexp_matches(coalesce(text, ''), '{p[p.index(')') + 1:]}', '{p
 @query(f"SELECT doc_id, {', '.join(_CLASS_SQL)}, {', '.join(_PROSE_SQL)} FROM documents")
 def technical_classes(spark, sf):
     """How often each technical pattern without lookaround occurs, and which kinds of technical prose a text shows."""
-    d = fidelity.read(_docs(spark, sf), "text", "r")
-    counts = [F.size(fidelity.of_kinds(F.col("r.spans"), [k])).cast("long").alias(k) for k in _PLAIN_CLASSES]
-    prose = fidelity.prose_classes(F.col("r.text"))
-    return d.select("doc_id", *counts, *[F.array_contains(prose, k).alias(k) for k in fidelity.PROSE])
+    found = {**fidelity.plain_counts(F.col("text"), _PLAIN_CLASSES), **fidelity.plain_prose(F.col("text"))}
+    return _docs(spark, sf).select("doc_id", *[c.alias(k) for k, c in found.items()])
 
 
 @rows_only

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lodestone.functions import fidelity
 from lodestone.operators import outline, scans
 
 
@@ -29,3 +30,11 @@ def test_overlays_of_a_chunk_are_few_whatever_its_pages_hold(spark):
     assert found.where("overlays.entry = array(399L, 398L)").count() == 500
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") >= 2 or plan.count("Window") >= 2
+
+
+def test_technical_classes_by_ascii_edges(spark):
+    said = ["geung, testö. Check", "no\ncheck it", "a. Check it", "AB12é 3 to 4", None]
+    df = spark.createDataFrame([(t,) for t in said], "text string")
+    rows = df.select(*[c.alias(k) for k, c in {**fidelity.plain_prose(F.col("text")), **fidelity.plain_counts(F.col("text"), ["standard_or_spec", "tolerance"])}.items()]).collect()
+    assert [r.imperative_check for r in rows] == [True, False, True, False, False]
+    assert [(r.standard_or_spec, r.tolerance) for r in rows] == [(0, 0), (0, 0), (0, 0), (1, 1), (0, 0)]
