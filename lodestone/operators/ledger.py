@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lodestone.session import ship
 
 
 def reconcile(entries: DataFrame, key: list[str], human: str, decided: str, generation: str, entry_id: str) -> DataFrame:
@@ -31,6 +37,43 @@ def signature(rows: DataFrame, by: str, columns: list[str], digest=None) -> Data
     return sums.select(by, F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in ("n", *halves)]), 256).alias("signature"))
 
 
+def sorted_signature(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """A SHA-256 of the whole digests of each group's rows in their order, with commas between, whatever the order and the split of the rows.
+
+    Spark sorts the digests of a group; they are then read as a stream, so that a task keeps the state of one hash and no group is gathered.
+    """
+    ship(rows.sparkSession)
+    digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
+    dealt = rows.select(by, digest.alias("d")).repartition(by).sortWithinPartitions(by, "d")
+    return dealt.mapInArrow(_hashed, T.StructType([dealt.schema[by], T.StructField("signature", T.StringType())]))
+
+
+def _hashed(batches):
+    group = held = None
+    for b in batches:
+        keys, digests, i = b.column(0).to_pylist(), b.column(1).to_pylist(), 0
+        done = []
+        while i < len(keys):
+            last = i
+            while last < len(keys) and keys[last] == keys[i]:
+                last += 1
+            text = ",".join(digests[i:last]).encode()
+            if held is not None and keys[i] == group:
+                held.update(b"," + text)
+            else:
+                done += [(group, held.hexdigest())] if held is not None else []
+                group, held = keys[i], hashlib.sha256(text)
+            i = last
+        if done:
+            yield _signed(done, b.schema.field(0))
+    if held is not None:
+        yield _signed([(group, held.hexdigest())], b.schema.field(0))
+
+
+def _signed(done: list[tuple], by: pa.Field) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in done], by.type), pa.array([x[1] for x in done], pa.string())], names=[by.name, "signature"])
+
+
 def rolling_usage(events: DataFrame, by: str, at: str, value: str, seconds: int = 86_400) -> DataFrame:
     """Adds calls and the sum of value in the window that ends with each event."""
     w = Window.partitionBy(by).orderBy(F.col("epoch")).rangeBetween(-seconds, 0)

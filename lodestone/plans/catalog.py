@@ -217,9 +217,9 @@ _WORD = "('0x' || substr(d, {at}, 15))::UBIGINT"
 _SET_HASH = "sha256(concat_ws(',', count(*)::VARCHAR, " + ", ".join(f"sum({_WORD.format(at=1 + 15 * k)} >> 30)::VARCHAR, sum({_WORD.format(at=1 + 15 * k)} & 1073741823)::VARCHAR" for k in range(2)) + "))"
 
 
-@query(f"SELECT l_orderkey, {_SET_HASH} AS signature FROM (SELECT l_orderkey, sha256(concat_ws(chr(31), l_linenumber::VARCHAR, l_returnflag, l_linestatus)) AS d FROM lineitem) GROUP BY l_orderkey")
+@query("SELECT l_orderkey, sha256(string_agg(d, ',' ORDER BY d)) AS signature FROM (SELECT l_orderkey, sha256(concat_ws(chr(31), l_linenumber::VARCHAR, l_returnflag, l_linestatus)) AS d FROM lineitem) GROUP BY l_orderkey")
 def set_signature(spark, sf):
-    return ledger.signature(_t(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_returnflag", "l_linestatus"])
+    return ledger.sorted_signature(_t(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_returnflag", "l_linestatus"])
 
 
 _ROLL = "SELECT event_id, user_id, count(*) OVER w AS calls, sum(value) OVER w AS total FROM (SELECT *, floor(epoch(ts))::BIGINT AS e FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY e RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)"
