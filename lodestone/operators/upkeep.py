@@ -27,9 +27,9 @@ def stale(files: DataFrame, machines: DataFrame) -> DataFrame:
 
 def preview(files: DataFrame, by: str) -> DataFrame:
     """A token of exactly the files that were shown, whatever their order: a clean-up goes ahead only if it still holds."""
-    from lodestone.operators.ledger import signature
+    from lodestone.operators.ledger import sorted_signature
 
-    return signature(files, by, ["path", "files", "bytes"]).withColumnRenamed("signature", "token")
+    return sorted_signature(files, by, ["path", "files", "bytes"]).withColumnRenamed("signature", "token")
 
 
 def identity(stored: Column, named: Column) -> Column:

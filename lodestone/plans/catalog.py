@@ -212,11 +212,6 @@ def reconcile_generations(spark, sf):
     return ledger.reconcile(e, ["user_id", "event_type"], "human", "ts", "ts", "event_id").select("event_id", "user_id", "event_type", "winner")
 
 
-#: The sum of the digests d of a group, in two words of 60 bits and by halves, with their number.
-_WORD = "('0x' || substr(d, {at}, 15))::UBIGINT"
-_SET_HASH = "sha256(concat_ws(',', count(*)::VARCHAR, " + ", ".join(f"sum({_WORD.format(at=1 + 15 * k)} >> 30)::VARCHAR, sum({_WORD.format(at=1 + 15 * k)} & 1073741823)::VARCHAR" for k in range(2)) + "))"
-
-
 @query("SELECT l_orderkey, sha256(string_agg(d, ',' ORDER BY d)) AS signature FROM (SELECT l_orderkey, sha256(concat_ws(chr(31), l_linenumber::VARCHAR, l_returnflag, l_linestatus)) AS d FROM lineitem) GROUP BY l_orderkey")
 def set_signature(spark, sf):
     return ledger.sorted_signature(_t(spark, sf, "lineitem"), "l_orderkey", ["l_linenumber", "l_returnflag", "l_linestatus"])

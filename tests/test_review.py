@@ -50,3 +50,10 @@ def test_signature_of_whole_sorted_digests(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want
+
+
+def test_preview_hashes_whole_digests(spark):
+    from lodestone.operators import upkeep
+
+    got = upkeep.preview(spark.createDataFrame([("c", "/p", 1, 2)], "category string, path string, files int, bytes int"), "category").first()
+    assert got.token == hashlib.sha256(hashlib.sha256(b"/p\x1f1\x1f2").hexdigest().encode()).hexdigest()
