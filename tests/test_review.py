@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import fidelity
 from lodestone.operators import ledger, outline, scans
+from lodestone.plans import texts
 
 
 def test_walks_send_no_table_to_all(spark):
@@ -57,3 +58,10 @@ def test_preview_hashes_whole_digests(spark):
 
     got = upkeep.preview(spark.createDataFrame([("c", "/p", 1, 2)], "category string, path string, files int, bytes int"), "category").first()
     assert got.token == hashlib.sha256(hashlib.sha256(b"/p\x1f1\x1f2").hexdigest().encode()).hexdigest()
+
+
+def test_claims_meet_all_documents_of_their_class(spark):
+    sf = "/root/testdata/sf0.001"
+    items, docs = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("benchmark", "documents"))
+    want = items.selectExpr("item_id % 40 AS k").join(docs.selectExpr("doc_id % 40 AS k"), "k").count()
+    assert texts.claim_support(spark, sf).count() == want
