@@ -1,8 +1,8 @@
 """Rare spellings near frequent ones, by evidence of the same book alone: likely misreadings, whatever the language.
 
-A spelling is compared with those at most two edits away. Frequent spellings are cut into one segment more than edits are allowed; an edit can spoil one segment
-only, so the rare spelling holds another one unchanged, no further from its place than the edits can shift it. Segments with length and number are the keys of an
-equality join; distances are worked out for what meets there, and no list of all pairs arises.
+A spelling is compared with those at most two edits away. Two spellings are as near as that only if they are equal once each has lost as many characters as there are
+edits, so what is left of a spelling, for every choice of lost characters, are the keys of an equality join. Keys are nearly whole words and few spellings share one,
+so rows grow with the spellings and not with their pairs; distances are worked out for what meets there.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ WORD = r"(?<![\p{L}\p{N}_-])\p{L}+(?:[’']\p{L}+)?(?![\p{L}\p{N}_-])"
 FREQUENT, RARE, TIMES, LIKENESS, NEAR = 5, 2, 4, 0.84, 3
 #: A pair of spellings may differ by two edits from this length of the longer on, since two edits in fewer letters are too unlike.
 TWO_EDITS_FROM = 13
+#: And by one from this length on.
+ONE_EDIT_FROM = 7
 
 
 def words(texts: DataFrame) -> DataFrame:
@@ -26,18 +28,25 @@ def words(texts: DataFrame) -> DataFrame:
     return w.withColumn("word", lexical.lexical_token(F.col("surface")))
 
 
-def _cuts(size: Column, edits: Column, number: Column) -> tuple[Column, Column]:
-    """Where a segment begins (from 0) and how long it is: the last ones are longer by one if the length doesn't divide evenly."""
-    parts = edits + 1
-    short = F.floor(size / parts)
-    longer = size - short * parts
-    before = F.greatest(F.lit(0), number - (parts - longer))
-    return (number * short + before).cast("int"), (short + (number >= parts - longer).cast("int")).cast("int")
+def _shorter(word: Column) -> Column:
+    """Every word that is left when one character is lost."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
 
 
-def _edits(size: Column) -> Column:
-    """The edits that segments of a spelling of this length have to allow for: the longer of a pair may be longer by as many."""
-    return F.when(size >= TWO_EDITS_FROM - 2, 2).otherwise(1)
+def _keys(word: Column) -> Column:
+    """A word and what is left of it: two characters may be lost from 13 on, one from 7 on. A shorter word of a pair has lost its characters already."""
+    one = _shorter(word)
+    two = F.flatten(F.transform(one, _shorter))
+    size = F.length(word)
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(F.array(word), F.when(size >= ONE_EDIT_FROM, one).otherwise(none), F.when(size >= TWO_EDITS_FROM, two).otherwise(none)))
+
+
+def candidates(rare: DataFrame, frequent: DataFrame) -> DataFrame:
+    """rare (book, rare, ...), frequent (book, frequent, ...) -> the pairs of a book that share a key, among them all that are near enough; some more than once."""
+    r = rare.where(F.length("rare") >= ONE_EDIT_FROM - 1).withColumn("key", F.explode(_keys(F.col("rare"))))
+    f = frequent.where(F.length("frequent") >= ONE_EDIT_FROM - 1).withColumn("key", F.explode(_keys(F.col("frequent"))))
+    return r.join(f, ["book", "key"]).drop("key")
 
 
 def near_pairs(spellings: DataFrame) -> DataFrame:
@@ -49,17 +58,9 @@ def near_pairs(spellings: DataFrame) -> DataFrame:
     size = F.length("word")
     frequent = spellings.where((F.col("n") >= FREQUENT) & (size >= 4)).select("book", F.col("word").alias("frequent"), "n", size.alias("size"))
     rare = spellings.where((F.col("n") <= RARE) & (size >= 6) & ~lexical.is_label(F.col("surface"))).select("book", F.col("word").alias("rare"), F.col("n").alias("rare_n"), size.alias("rare_size"))
-    f = frequent.withColumn("edits", _edits(F.col("size"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("edits"))))
-    at, length = _cuts(F.col("size"), F.col("edits"), F.col("part"))
-    f = f.select("book", "frequent", "n", "size", "part", F.substring("frequent", at + 1, length).alias("segment"))
-    r = rare.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(4), F.col("rare_size") - 2), F.col("rare_size") + 2))).withColumn("edits", _edits(F.col("size")))
-    r = r.where(F.abs(F.col("size") - F.col("rare_size")) <= F.col("edits")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("edits"))))
-    at, length = _cuts(F.col("size"), F.col("edits"), F.col("part"))
-    r = r.withColumn("length", length).withColumn("at", F.explode(F.sequence(at - F.col("edits"), at + F.col("edits")))).where((F.col("at") >= 0) & (F.col("at") + F.col("length") <= F.col("rare_size")))
-    r = r.select("book", "rare", "rare_n", "rare_size", "size", "part", F.substring("rare", F.col("at") + 1, F.col("length")).alias("segment")).distinct()
     longest = F.greatest("size", "rare_size")
     allowed = F.when(longest >= TWO_EDITS_FROM, 2).otherwise(1)
-    pairs = r.join(f, ["book", "size", "part", "segment"]).where(F.col("n") >= F.greatest(F.lit(FREQUENT), F.col("rare_n") * TIMES))
+    pairs = candidates(rare, frequent).where(F.col("n") >= F.greatest(F.lit(FREQUENT), F.col("rare_n") * TIMES))
     pairs = pairs.withColumn("edits", F.levenshtein("rare", "frequent", 2)).where((F.col("edits") >= 1) & (F.col("edits") <= allowed))
     pairs = pairs.withColumn("likeness", 1 - F.col("edits") / longest).where((F.col("likeness") >= LIKENESS) & ~lexical.same_word(F.col("rare"), F.col("frequent")))
     best = F.max_by(F.struct("frequent", "n", "edits", "likeness"), F.struct("likeness", "n", -F.col("edits"), "frequent"))

@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from lodestone.functions import fidelity
-from lodestone.operators import ledger, outline, scans
+from lodestone.operators import ledger, outline, scans, spelling
 from lodestone.plans import texts
 
 
@@ -81,3 +81,24 @@ def test_alignment_by_bits_equals_the_library():
     got = fidelity.ratio(a, b, False)
     took, began = time.perf_counter() - began, time.perf_counter()
     assert got == SequenceMatcher(None, a, b, autojunk=False).ratio() and took < (time.perf_counter() - began) / 2
+
+
+def test_near_spellings_meet_and_few_others(spark):
+    rng = random.Random(9)
+    # Words with equal halves that are many edits apart: none of them is compared.
+    far = spark.range(300).selectExpr("'b' AS book", "concat('hydraulic', lpad(id * 7919, 8, 'abcdefgh')) AS word")
+    rare, frequent = far.selectExpr("book", "translate(word, '0123456789', 'klmnopqrst') AS rare"), far.selectExpr("book", "translate(word, '0123456789', 'uvwxyzijgf') AS frequent")
+    assert spelling.candidates(rare, frequent).count() < 3000
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (6, 7, 7, 8, 11, 12, 13, 13, 14, 15) for _ in range(3)]
+    near = set()
+    for w in words:
+        for _ in range(4):
+            x = list(w)
+            for _ in range(rng.choice([1, 2])):
+                k = rng.randrange(len(x))
+                x[k : k + 1] = rng.choice([[], ["d"], [x[k], "d"]])
+            near.add("".join(x))
+    r, f = (spark.createDataFrame([("b", w) for w in ws], f"book string, {n} string") for ws, n in ((sorted(near), "rare"), (sorted(set(words)), "frequent")))
+    limit = "CASE WHEN greatest(length(rare), length(frequent)) >= 13 THEN 2 ELSE 1 END"
+    close = lambda df: {tuple(x) for x in df.where(f"levenshtein(rare, frequent) BETWEEN 1 AND {limit} AND greatest(length(rare), length(frequent)) >= 7").select("rare", "frequent").collect()}
+    assert close(spelling.candidates(r, f)) == close(r.join(f, "book")) != set()
