@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.session import written
+
+#: Bits of a row's place in its partition, in the numbers that Spark gives to rows.
+_PLACE_BITS = 33
+
 
 def status_counts(jobs: DataFrame, status: str, known: list[str]) -> DataFrame:
     """One row per known status, zeros included, and per other status found."""
@@ -48,3 +53,17 @@ def retry(jobs: DataFrame, status: str, attempts: str) -> DataFrame:
     """Failed rows become pending with one more attempt."""
     failed = F.col(status) == "failed"
     return jobs.withColumn(attempts, F.when(failed, F.col(attempts) + 1).otherwise(F.col(attempts))).withColumn(status, F.when(failed, "pending").otherwise(F.col(status)))
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds ``name``: the place of each row, from 1, in one order over all rows.
+
+    Rows are dealt by ranges of the order and sorted in each; a row's place is its place in its range after the rows of the ranges before. No task holds more than
+    a range, of which a table of one row each is counted up. The numbered ranges are written, since the same deal can't be made twice.
+    """
+    at = F.monotonically_increasing_id()
+    dealt = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at), "numbered")
+    dealt = dealt.withColumns({"__range": F.shiftright("__at", _PLACE_BITS), "__at": F.col("__at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))})
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("__range").agg(F.count("*").alias("n")).select("__range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__start"))
+    return dealt.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__at") + 1).drop("__range", "__at", "__start")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lodestone.operators import jobs
 from lodestone.operators import jobtable as j
 from lodestone.plans.catalog import _t, query
 from lodestone.plans.inputs import CONVERSIONS, VERIFICATIONS, view
@@ -231,13 +232,11 @@ def finished_books(spark, sf):
 @query(f"""{_C} SELECT id, row_number() OVER (ORDER BY coalesce(completed_at, submitted_at) DESC, id DESC) AS newest, CASE WHEN status = 'pending' THEN row_number() OVER (PARTITION BY status ORDER BY size IS NULL, size, submitted_at, filename, id) END AS next_pending,
 status = 'processing' AND coalesce(task_id, '') <> '' AS resumable, kind <> 'converted_folder' AND status = 'failed' AS shown_failure FROM c""")
 def job_listings(spark, sf):
-    from pyspark.sql import Window
-
-    # Ranks of a whole listing need one order over all rows; the listing of a service is its first rows.
-    newest = F.row_number().over(Window.orderBy(F.coalesce("completed_at", "submitted_at").desc(), F.desc("id")))
-    waiting = F.row_number().over(Window.partitionBy("status").orderBy(F.col("size").asc_nulls_last(), "submitted_at", "filename", "id"))
-    rows = _c(spark, sf)
-    return rows.select("id", newest.cast("long").alias("newest"), F.when(F.col("status") == "pending", waiting).cast("long").alias("next_pending"), ((F.col("status") == "processing") & (F.coalesce("task_id", F.lit("")) != "")).alias("resumable"), ((F.col("kind") != "converted_folder") & (F.col("status") == "failed")).alias("shown_failure"))
+    rows = _c(spark, sf).select("id", F.coalesce("completed_at", "submitted_at").alias("at"), "status", "size", "submitted_at", "filename", ((F.col("status") == "processing") & (F.coalesce("task_id", F.lit("")) != "")).alias("resumable"), ((F.col("kind") != "converted_folder") & (F.col("status") == "failed")).alias("shown_failure"))
+    listed = jobs.numbered(rows, [F.desc("at"), F.desc("id")], "newest")
+    waiting = jobs.numbered(listed.where("status = 'pending'"), [F.col("size").asc_nulls_last(), "submitted_at", "filename", "id"], "next_pending")
+    rest = listed.where("status IS DISTINCT FROM 'pending'").withColumn("next_pending", F.lit(None).cast("long"))
+    return waiting.unionByName(rest).select("id", "newest", "next_pending", "resumable", "shown_failure")
 
 
 #: Importing it registers its queries.

@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from lodestone.functions import fidelity
-from lodestone.operators import ledger, outline, scans, spelling
+from lodestone.operators import jobs, ledger, outline, scans, spelling
 from lodestone.plans import texts
 
 
@@ -102,3 +102,16 @@ def test_near_spellings_meet_and_few_others(spark):
     limit = "CASE WHEN greatest(length(rare), length(frequent)) >= 13 THEN 2 ELSE 1 END"
     close = lambda df: {tuple(x) for x in df.where(f"levenshtein(rare, frequent) BETWEEN 1 AND {limit} AND greatest(length(rare), length(frequent)) >= 7").select("rare", "frequent").collect()}
     assert close(spelling.candidates(r, f)) == close(r.join(f, "book")) != set()
+
+
+def test_listings_are_numbered_by_ranges(spark):
+    from lodestone.plans.jobqueues import job_listings
+
+    plan = job_listings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number()" not in plan
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, 1, 1, 1, 2])) for k in range(900)]
+    got = jobs.numbered(spark.createDataFrame(rows, "id long, size int"), [F.col("size").asc_nulls_last(), F.desc("id")], "place").collect()
+    assert [(r.id, r.size) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, -r[0]))
+    assert sorted(r.place for r in got) == list(range(1, 901))
+    assert jobs.numbered(spark.range(0), ["id"], "place").count() == 0
