@@ -21,13 +21,16 @@ def term_rows(docs: DataFrame, id_col: str, text_col: str, scope: str | None = N
 
 #: Stands for a document itself among its terms; no token is empty.
 WHOLE = ""
+#: Terms of queries that are sent to all tasks; of more, each posting looks up its own by a join.
+MOST_SENT = 200_000
 
 
 def lexical_scores(docs: DataFrame, queries: DataFrame, scoped: bool = False) -> DataFrame:
     """docs (id, scope, text), queries (query_id, text) -> (query_id, scope, id, score): BM25 with N, df and average length inside each scope.
 
     Queries with a column ``scope`` ask that scope alone, the others every scope. Texts are read once: a document's postings are those of its terms that some query asks
-    for, and one for itself, from which the sizes of scopes follow. Only these are shuffled, and the three uses of the counts share one exchange.
+    for, and one for itself, from which the sizes of scopes follow. Only these are shuffled. They meet the counts by scope and term and are dealt by document before they
+    meet the queries, so a term that is frequent in a scope fans out over all tasks, and the scores of a document are added up in one of them.
     """
     own = ["scope"] if scoped and "scope" in queries.columns else []
     d = docs.select("id", F.col("scope") if scoped else F.lit("all").alias("scope"), tokens(F.col("text")).alias("t"))
@@ -39,11 +42,14 @@ def lexical_scores(docs: DataFrame, queries: DataFrame, scoped: bool = False) ->
     # Conditions inside the sums, not filters before them: a filter would be pushed down and the texts read again.
     sizes = tf.groupBy("scope").agg(F.sum(F.when(itself, F.col("tf")).otherwise(0)).alias("n"), (F.sum(F.when(itself, F.col("tf") * F.col("size")).otherwise(0)) / F.sum(F.when(itself, F.col("tf")).otherwise(0))).alias("avgdl"))
     df = tf.groupBy("scope", "term").agg(F.count("*").alias("df"))
-    m = tf.join(df, ["scope", "term"]).join(sizes, "scope").join(q, [*own, "term"])
+    m = tf.join(df, ["scope", "term"]).join(sizes, "scope")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     length = F.greatest("size", F.lit(1))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length / F.col("avgdl"))) * (1 + 0.15 * (F.col("qtf") - 1))
-    return m.groupBy("query_id", "scope", "id").agg(F.sum(part).alias("score"))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * length / F.col("avgdl")))
+    m = m.select("scope", "id", "term", part.alias("part")).repartition("scope", "id")
+    few = q.limit(MOST_SENT + 1).count() <= MOST_SENT
+    m = m.join(F.broadcast(q) if few else q, [*own, "term"])
+    return m.groupBy("query_id", "scope", "id").agg(F.sum(F.col("part") * (1 + 0.15 * (F.col("qtf") - 1))).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, by: list[str], digits: int = 6) -> DataFrame:

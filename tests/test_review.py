@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import re
 import time
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
 from lodestone.functions import fidelity
-from lodestone.operators import jobs, ledger, outline, scans, spelling
+from lodestone.operators import jobs, ledger, outline, retrieval, scans, spelling
 from lodestone.plans import texts
 
 
@@ -115,3 +116,19 @@ def test_listings_are_numbered_by_ranges(spark):
     assert [(r.id, r.size) for r in sorted(got, key=lambda r: r.place)] == sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, -r[0]))
     assert sorted(r.place for r in got) == list(range(1, 901))
     assert jobs.numbered(spark.range(0), ["id"], "place").count() == 0
+
+
+def test_scores_of_a_document_are_added_where_it_lies(spark):
+    docs = spark.createDataFrame([(k, "a" if k % 3 else "b", "pump " * (k % 4 + 1) + f"valve w{k}") for k in range(60)], "id long, scope string, text string")
+    asked = spark.createDataFrame([(k, "pump valve w7") for k in range(5)], "query_id long, text string")
+    scores = retrieval.lexical_scores(docs, asked, scoped=True)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    # Pairs of query and document aren't dealt anew: before, each task of a frequent term held all of its pairs.
+    assert not re.search(r"hashpartitioning\(query_id#\w+, scope", plan) and "hashpartitioning(scope" in plan
+    few = {tuple(r) for r in scores.withColumn("score", F.round("score", 9)).collect()}
+    most, retrieval.MOST_SENT = retrieval.MOST_SENT, 1
+    try:
+        assert {tuple(r) for r in retrieval.lexical_scores(docs, asked, scoped=True).withColumn("score", F.round("score", 9)).collect()} == few
+    finally:
+        retrieval.MOST_SENT = most
+    assert len(few) == 300
