@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +21,24 @@ WIDTH, HEIGHT = 595.0, 842.0
 
 
 def inversions(values: np.ndarray) -> int:
-    """Pairs that stand in the wrong order: runs of doubling length are merged, and each value of a right run counts the larger ones of the left run."""
-    rank = np.argsort(np.argsort(values, kind="stable"), kind="stable")
-    n, total, width = len(rank), 0, 1
-    while width < n:
-        pair, right = np.arange(n) // (2 * width), np.arange(n) // width % 2 == 1
+    """Pairs that stand in the wrong order."""
+    return int(inversions_of(np.zeros(len(values), dtype=np.int64), np.argsort(np.argsort(values, kind="stable"), kind="stable"), 1)[0])
+
+
+def inversions_of(group: np.ndarray, rank: np.ndarray, n_groups: int) -> np.ndarray:
+    """Pairs of each group that stand in the wrong order; groups stand one after the other, and no two ranks are equal. Runs of doubling length are merged in all groups at once, and each value of a right run counts the larger ones of the left run."""
+    n, total, width = len(rank), np.zeros(n_groups, dtype=np.int64), 1
+    first = np.searchsorted(group, np.arange(n_groups))
+    place = np.arange(n) - first[group]
+    longest = int(place.max()) + 1 if n else 0
+    while width < longest:
+        new = place % (2 * width) == 0
+        pair, right = np.cumsum(new) - 1, place // width % 2 == 1
         order = np.lexsort((rank, pair))  # every pair of runs merged
-        lefts = np.cumsum(~right[order])
-        ends = np.append(np.flatnonzero(np.diff(pair)), n - 1)
-        total += int((lefts[ends][pair] - lefts)[right[order]].sum())
+        right = right[order]
+        lefts = np.cumsum(~right)
+        ends = np.append(np.flatnonzero(new)[1:], n) - 1
+        np.add.at(total, group[right], (lefts[ends][pair] - lefts)[right])
         rank = rank[order]
         width *= 2
     return total
@@ -76,7 +86,7 @@ def comparable(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def _skips(of: DataFrame, least: int) -> DataFrame:
-    """book, page, n, skip: why a page isn't checked; the first reason that holds."""
+    """book, page, n, skip, items: why a page isn't checked, the first reason that holds, or the boxes of its items."""
     w, is_text, size = F.col("r") - F.col("l"), F.col("kind") == "texts", F.length("text")
     n_if = lambda c: F.count(F.when(c, 1))
     upper = lambda c: F.element_at(F.array_sort(F.collect_list(F.when(is_text, c))), (F.floor(n_if(is_text) / 2) + 1).cast("int"))
@@ -93,6 +103,7 @@ def _skips(of: DataFrame, least: int) -> DataFrame:
         F.when(n_if(is_text) > 0, upper(size)).alias("mid_size"),
         F.when(n_if(is_text) > 0, upper(w / F.greatest(F.col("width"), F.lit(1.0)))).alias("mid_width"),
         n_if((F.col("kind") == "tables") & (w * (F.col("t") - F.col("b")) >= 0.55 * F.col("width") * F.col("height"))).alias("large_tables"),
+        F.collect_list(F.struct("place", *[F.col(c).cast("double").alias(c) for c in ("l", "t", "r", "width")])).alias("items"),
     )
     short = F.col("short") / F.greatest(F.col("texts"), F.lit(1))
     form = (F.col("texts") >= 6) & (short >= 0.80) & (F.col("long") == 0) & (F.col("fields") >= 2)
@@ -100,42 +111,49 @@ def _skips(of: DataFrame, least: int) -> DataFrame:
     grid = (F.col("width") > F.col("height") * 1.10) & (F.col("texts") >= 20) | (F.col("texts") >= 40) & (F.col("mid_size") <= 18) & (F.col("mid_width") <= 0.18)
     why = F.when(F.col("n") < least, "insufficient_comparable_items").when(F.col("contents") > 0, "contents_or_index_page").when(form, "form_or_title_page").when(labels, "technical_visual_label_page")
     why = why.when(grid, "schematic_or_dense_label_grid").when((F.col("large_tables") > 0) & (F.col("n") <= 6), "large_table_non_prose_page")
-    return g.select("book", "page", "n", why.alias("skip"))
-
-
-def _compared(key, table):
-    """One page: its inversions against rows and, with two columns, against columns."""
-    place, l, t, r, width = (table.column(c).to_numpy(zero_copy_only=False) for c in ("place", "l", "t", "r", "width"))
-
-    def against(some: np.ndarray, *keys) -> tuple[float, int]:
-        order = np.argsort(place[some], kind="stable")
-        rank = np.empty(len(some), dtype=np.int64)
-        rank[np.lexsort((place[some], *(k[some] for k in keys)))] = np.arange(len(some))
-        n = inversions(rank[order])
-        return (n / (len(some) * (len(some) - 1) / 2) if len(some) > 1 else 0.0), n
-
-    everything, middle = np.arange(len(place)), (l + r) / 2
-    row, row_n = against(everything, l, -t)
-    narrow = np.flatnonzero(r - l < 0.62 * width)
-    two = int((middle[narrow] < 0.47 * width[narrow]).sum()) >= 2 and int((middle[narrow] > 0.53 * width[narrow]).sum()) >= 2
-    column, column_n = against(narrow, l, -t, (middle >= 0.5 * width).astype(int)) if two else (None, None)
-    by_column = two and column < row
-    score, n = (column, column_n) if by_column else (row, row_n)
-    return pa.table({"book": pa.array([key[0].as_py()], table.schema.field("book").type), "page": pa.array([key[1].as_py()], table.schema.field("page").type), "two_columns": [bool(two)], "row_ratio": [row], "column_ratio": pa.array([column], pa.float64()), "layout": ["column_major" if by_column else "row_major"], "score": [score], "inversions": pa.array([n], pa.int64())})
+    return g.withColumn("skip", why).select("book", "page", "n", "skip", F.when(F.col("skip").isNull(), F.col("items")).alias("items"))
+
+
+def _compared(batches):
+    """Pages with the boxes of their items (null: not checked), many at once: inversions against rows and, with two columns, against columns."""
+    for b in batches:
+        boxes = b.column("items")
+        sizes = pc.fill_null(pc.list_value_length(boxes), 0).to_numpy(zero_copy_only=False)
+        flat = boxes.flatten()
+        place, l, t, r, width = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("place", "l", "t", "r", "width"))
+        pages, page = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+
+        def against(some, *keys, place=place, page=page, pages=pages):
+            at, where = place[some], page[some]
+            order = np.lexsort((at, where))
+            rank = np.empty(len(some), dtype=np.int64)
+            rank[np.lexsort((at, *(k[some] for k in keys), where))] = np.arange(len(some))
+            n, size = inversions_of(where[order], rank[order], pages), np.bincount(where, minlength=pages)
+            return n / np.maximum(1, size * (size - 1) / 2), n
+
+        middle = (l + r) / 2
+        row, row_n = against(np.arange(len(place)), l, -t)
+        is_narrow = r - l < 0.62 * width
+        on = lambda side: np.bincount(page[is_narrow & side], minlength=pages) >= 2  # noqa: B023, E731
+        two = on(middle < 0.47 * width) & on(middle > 0.53 * width)
+        column, column_n = against(np.flatnonzero(is_narrow & two[page]), l, -t, (middle >= 0.5 * width).astype(int))
+        by_column = two & (column < row)
+        checked = pc.is_valid(boxes).to_numpy(zero_copy_only=False)
+        only = lambda values, some=checked: pa.array(values, mask=~some)
+        found = [only(two), only(row), only(column, checked & two), only(np.where(by_column, "column_major", "row_major")), only(np.where(by_column, column, row)), only(np.where(by_column, column_n, row_n))]
+        kept = [c for c in b.schema.names if c != "items"]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *found], names=[*kept, "two_columns", "row_ratio", "column_ratio", "layout", "score", "inversions"])
 
 
 def reading_order(items: DataFrame, pages: DataFrame, threshold: float = 0.18, least: int = 5) -> DataFrame:
     """book, page, n, skip, two_columns, row_ratio, column_ratio, layout, score, inversions, anomaly: a row for each page with comparable items.
 
-    Only pages that are checked go to the counting, each page by itself: what one printed page holds bounds a group.
+    A page that is checked brings the boxes of its items along; a batch of pages is counted at once. What one printed page holds bounds a row.
     """
-    of = comparable(items, pages)
-    skips = _skips(of, least)
-    go = of.join(skips.where("skip IS NULL").select("book", "page"), ["book", "page"], "left_semi").select("book", "page", "place", "l", "t", "r", "width")
-    kinds = {f.name: f.dataType.simpleString() for f in go.schema.fields}
-    schema = f"book {kinds['book']}, page {kinds['page']}, two_columns boolean, row_ratio double, column_ratio double, layout string, score double, inversions long"
-    out = skips.join(go.groupBy("book", "page").applyInArrow(_compared, schema), ["book", "page"], "left")
-    return out.withColumn("anomaly", F.col("skip").isNull() & (F.col("score") > threshold) & (F.col("inversions") >= 3))
+    of = _skips(comparable(items, pages), least)
+    kinds = {f.name: f.dataType.simpleString() for f in of.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("book", "page", "n", "skip")) + ", two_columns boolean, row_ratio double, column_ratio double, layout string, score double, inversions long"
+    return of.mapInArrow(_compared, schema).withColumn("anomaly", F.col("skip").isNull() & (F.col("score") > threshold) & (F.col("inversions") >= 3))
 
 
 def coverage(checked: DataFrame, pages: DataFrame, least: float = 0.10) -> DataFrame:

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from lodestone.functions import fidelity
-from lodestone.operators import jobs, ledger, outline, retrieval, scans, spelling
+from lodestone.operators import jobs, ledger, outline, reading, retrieval, scans, spelling
 from lodestone.plans import texts
 
 
@@ -132,3 +132,17 @@ def test_scores_of_a_document_are_added_where_it_lies(spark):
     finally:
         retrieval.MOST_SENT = most
     assert len(few) == 300
+
+
+def test_pages_are_counted_many_at_once(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, 1]), page, place, rng.random() * 500, 20 + rng.random() * 700) for page in range(1, 40) for place in range(rng.randrange(5, 30))]
+    items = spark.createDataFrame(rows, "book int, page int, place int, l double, t double").selectExpr("book", "page", "place", "'texts' AS kind", "'text' AS label", "concat('w', page, '-', place, ' more') AS text", "CAST(NULL AS STRING) AS class", "l", "t", "l + 60 AS r", "t - 10 AS b")
+    out = reading.reading_order(items, spark.range(1, 40).selectExpr("1 AS book", "CAST(id AS INT) AS page", "600D AS width", "900D AS height"))
+    assert "FlatMapGroupsInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.where("skip IS NULL").collect():
+        mine = sorted((x for x in rows if x[:2] == (r.book, r.page)), key=lambda x: x[2])
+        key = [(-x[4], x[3]) for x in mine]
+        n = sum(key[i] > key[j] for i in range(len(key)) for j in range(i))  # noqa: B023
+        n = len(key) * (len(key) - 1) // 2 - n
+        assert r.n == len(mine) and abs(r.row_ratio - n / (len(key) * (len(key) - 1) / 2)) < 1e-12 and (r.layout == "column_major" or r.inversions == n)
