@@ -132,17 +132,16 @@ def cross_check(texts: DataFrame, pages: DataFrame, source: DataFrame) -> DataFr
 def cell_context(cells: DataFrame, reach: int = 1) -> DataFrame:
     """cells (book, id, row, column, text) -> book, id, row, column, text, row_header (the first cell of the row), column_header (the first of the column), left, right, above, below.
 
-    Neighbours are read by equality on the place itself; the first cells by a minimum a row and a column.
+    Cells are dealt once, by their table; the first cells of rows and columns and the neighbours are read from the sorted rows and columns, so what one table holds
+    bounds what a task keeps of a row or column, and nothing is joined.
     """
     key = ["book", "id"]
-    c = cells.groupBy(*key, "row", "column").agg(F.min("text").alias("text"))
-    row_first = c.groupBy(*key, "row").agg(F.min_by("text", "column").alias("row_header"))
-    column_first = c.groupBy(*key, "column").agg(F.min_by("text", "row").alias("column_header"))
-    out = c.join(row_first, [*key, "row"]).join(column_first, [*key, "column"])
-    for name, dr, dc in (("left", 0, -reach), ("right", 0, reach), ("above", -reach, 0), ("below", reach, 0)):
-        beside = c.select(*key, (F.col("row") - dr).alias("row"), (F.col("column") - dc).alias("column"), F.col("text").alias(name))
-        out = out.join(beside, [*key, "row", "column"], "left")
-    return out
+    c = cells.repartition(*key).groupBy(*key, "row", "column").agg(F.min("text").alias("text"))
+    along, down = Window.partitionBy(*key, "row").orderBy("column"), Window.partitionBy(*key, "column").orderBy("row")
+    at = lambda w, k: F.first("text").over(w.rangeBetween(k, k))
+    c = c.withColumns({"row_header": F.min_by("text", "column").over(Window.partitionBy(*key, "row")), "left": at(along, -reach), "right": at(along, reach)})
+    c = c.withColumns({"column_header": F.min_by("text", "row").over(Window.partitionBy(*key, "column")), "above": at(down, -reach), "below": at(down, reach)})
+    return c.select(*key, "row", "column", "text", "row_header", "column_header", "left", "right", "above", "below")
 
 
 def page_overlays(chunks: DataFrame, overlays: DataFrame, most: int = 8) -> DataFrame:

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from lodestone.functions import fidelity
-from lodestone.operators import jobs, ledger, outline, reading, retrieval, scans, spelling
+from lodestone.operators import jobs, ledger, outline, reading, references, retrieval, scans, spelling
 from lodestone.plans import texts
 
 
@@ -146,3 +146,29 @@ def test_pages_are_counted_many_at_once(spark):
         n = sum(key[i] > key[j] for i in range(len(key)) for j in range(i))  # noqa: B023
         n = len(key) * (len(key) - 1) // 2 - n
         assert r.n == len(mine) and abs(r.row_ratio - n / (len(key) * (len(key) - 1) / 2)) < 1e-12 and (r.layout == "column_major" or r.inversions == n)
+
+
+def test_cells_are_dealt_once_and_joined_with_nothing(spark):
+    rng = random.Random(2)
+    cells = {(t, rng.randrange(9), rng.randrange(9)): f"{rng.random():.3f}" for t in range(4) for _ in range(40)}
+    out = scans.cell_context(spark.createDataFrame([(1, *k, v) for k, v in cells.items()], "book int, id int, row int, column int, text string"), reach=2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    for x in out.collect():
+        t, r, c = x.id, x.row, x.column
+        assert x.row_header == cells[min(k for k in cells if k[:2] == (t, r))] and x.column_header == min((k[1], v) for k, v in cells.items() if k[0] == t and k[2] == c)[1]
+        assert (x.left, x.right, x.above, x.below) == tuple(cells.get(k) for k in ((t, r, c - 2), (t, r, c + 2), (t, r - 2, c), (t, r + 2, c)))
+
+
+def test_rows_that_fit_nothing_are_left_before_the_windows(spark):
+    asked = spark.createDataFrame([(1, 1, "oil pumps", "")], "ask int, book int, title string, section string")
+    rows = spark.range(50).selectExpr("1 AS book", "id AS chunk_index", "CAST(id / 9 AS INT) AS page", "IF(id % 5 = 0, 'oil pumps', 'other') AS text", "array('Part') AS headings", "'prose' AS content_type", "80 AS quality")
+    plan = references.follow(asked, rows)._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.rindex("Window ") :]
+    assert "> 0.0" in below and "RepartitionByExpression [ask" in below
+
+
+def test_references_are_found_once(spark):
+    # As expressions, the patterns stand in the plan once, not once for each place that names what they find.
+    plan = spark.range(1).select(references.cross_references(F.concat(F.lit("see section "), F.col("id").cast("string"))).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") <= 8
