@@ -15,6 +15,11 @@ STOPWORDS = [
 ]
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it; an expression that stands inside a lambda is computed again for each element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased tokens without stop words and single characters; structured identifiers stay whole."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN_ONCE), F.lit(0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import normalized, tokens
+from lodestone.functions.text import let, normalized, tokens
 
 # How references are written, with the places of title and section among the groups of each (0: none).
 PATTERNS = [
@@ -27,12 +27,11 @@ def cross_references(text: Column) -> Column:
         titles = groups[0] if title else F.transform(groups[1], lambda x: F.lit(""))
         found.append(F.zip_with(titles, groups[1], lambda a, b: F.struct(F.btrim(F.regexp_replace(a, r"\s+", " "), F.lit(" .,:;-")).alias("title"), F.btrim(b, F.lit(" .,:;")).alias("section"))))
     named = F.transform(F.concat(*found), lambda r: F.struct(F.when(F.lower(r["title"]).isin(NO_TITLES), "").otherwise(r["title"]).alias("title"), r["section"].alias("section")))
-    said = F.filter(named, lambda r: (r["title"] != "") | (r["section"] != ""))
     key = lambda r: F.concat(F.lower(r["title"]), F.lit("\u0001"), F.lower(r["section"]))
-    once = F.filter(said, lambda r, i: F.array_position(F.transform(said, key), key(r)) == i + 1)
-    titled = F.transform(F.filter(once, lambda r: (r["title"] != "") & (r["section"] != "")), lambda r: r["section"])
-    kept = F.filter(once, lambda r: (r["title"] != "") | ~F.exists(titled, lambda s: F.startswith(s, r["section"])))
     label = lambda r: F.when((r["title"] != "") & (r["section"] != ""), F.concat(r["title"], F.lit(" · section "), r["section"])).when(r["title"] != "", r["title"]).otherwise(F.concat(F.lit("Section "), r["section"]))
+    first = lambda said: let(F.transform(said, key), lambda keys: F.filter(said, lambda r, i: F.array_position(keys, F.get(keys, i)) == i + 1))
+    bare = lambda once: let(F.transform(F.filter(once, lambda r: (r["title"] != "") & (r["section"] != "")), lambda r: r["section"]), lambda titled: F.filter(once, lambda r: (r["title"] != "") | ~F.exists(titled, lambda s: F.startswith(s, r["section"]))))
+    kept = let(let(F.filter(named, lambda r: (r["title"] != "") | (r["section"] != "")), first), bare)
     return F.slice(F.transform(kept, lambda r: F.struct(r["title"].alias("title"), r["section"].alias("section"), label(r).alias("label"))), 1, MOST)
 
 
@@ -57,6 +56,10 @@ def follow(asked: DataFrame, rows: DataFrame, k: int = 5, relevance: str | None
     relevance, a row near an anchor may enter without fitting the reference itself.
     """
     j = asked.join(rows, "book").withColumn("ref", match_score(F.col("text"), F.col("headings"), F.col("title"), F.coalesce("section", F.lit(""))))
+    # What fits neither a reference nor the question is no anchor and never counts; the rest goes on without its text, and sorted once for all that asks for it.
+    j = j.where((F.col("ref") > 0) | (F.col(relevance) > 0) if relevance else F.col("ref") > 0)
+    j = j.select("ask", "chunk_index", "page", "ref", "content_type", "quality", *([relevance] if relevance else []))
+    j = j.repartition("ask").sortWithinPartitions("ask", "chunk_index")
     j = j.withColumn("__anchor", F.col("ref") >= F.greatest(F.lit(5.0), F.max("ref").over(Window.partitionBy("ask")) - 2.5))
 
     def nearest(column: str) -> Column:
