@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,8 @@ PIECE = r"[A-Za-z]+|\d+(?:\.\d+)?|[^\w\s]"
 SEPARATOR = re.compile(r"\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*")
 SENTENCE, PARAGRAPH = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9])"), re.compile(r"\n\s*\n+")
 _PIECE = re.compile(PIECE)
+#: Texts whose parts are held at once.
+TEXTS_AT_ONCE = 128
 
 
 def estimate(length: Column, n_pieces: Column, parent_tokens: Column, parent_length: Column) -> Column:
@@ -88,9 +91,13 @@ def split_over_budget(chunks: DataFrame, id_col: str, text_col: str, tokens_col:
     c = chunks.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"), F.col(tokens_col).cast("long").alias("__n"))
     shape = "boundary string, parts array<string>, sizes array<bigint>"
 
-    def run(text: pd.Series, tokens: pd.Series) -> pd.DataFrame:
-        rows = [split_text(t, None if pd.isna(n) else int(n), budget, repeat_header) for t, n in zip(text, tokens, strict=True)]
-        return pd.DataFrame(rows, columns=["boundary", "parts", "sizes"])
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        # The parts of a few texts at a time, whatever the batches are that they come in.
+        for text, tokens in batches:
+            for at in range(0, len(text), TEXTS_AT_ONCE):
+                few = slice(at, at + TEXTS_AT_ONCE)
+                rows = [split_text(t, None if pd.isna(n) else int(n), budget, repeat_header) for t, n in zip(text.iloc[few], tokens.iloc[few], strict=True)]
+                yield pd.DataFrame(rows, columns=["boundary", "parts", "sizes"])
 
     c = c.withColumn("__s", F.pandas_udf(run, shape)("__t", "__n"))
     split = F.size("__s.parts") > 0
