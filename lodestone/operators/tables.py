@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
+from lodestone.functions.text import let, tokens
 
 # Table lines, labels, numbers, and the heads of part lists that lost their columns.
 SEPARATOR_CELL = "^:?-{3,}:?$"
@@ -29,8 +29,9 @@ def cells(line: Column) -> Column:
 
 
 def is_separator(line: Column) -> Column:
-    c = cells(line)
-    return (F.size(c) >= 2) & F.forall(c, lambda x: x.rlike(SEPARATOR_CELL))
+    """Whether a line is cells of dashes alone, two or more; few lines have neither letter nor digit, and only these are cut into cells."""
+    split = let(cells(line), lambda c: (F.size(c) >= 2) & F.forall(c, lambda x: x.rlike(SEPARATOR_CELL)))
+    return F.when(line.rlike(r"^[\s|:-]*-[\s|:-]*$"), split).otherwise(F.when(line.isNotNull(), False))
 
 
 def compact(text: Column) -> Column:
@@ -39,33 +40,43 @@ def compact(text: Column) -> Column:
 
 def shape(raw: Column) -> Column:
     """struct<table_like, header_only, fragment>: mostly lines with columns; a head without data; data lines among which some have lost their columns."""
-    ls = lines(raw)
     piped = lambda x: x.contains("|")
-    head = (F.size(ls) >= 2) & F.coalesce(piped(F.get(ls, F.lit(0))) & is_separator(F.get(ls, F.lit(1))), F.lit(False))
-    data = F.filter(F.slice(ls, 3, F.greatest(F.lit(0), F.size(ls) - 2)), lambda x: x.rlike("[A-Za-z0-9]"))
-    some = F.size(data) > 0
-    mostly = (F.size(ls) > 0) & (F.size(F.filter(ls, piped)) >= 0.7 * F.size(ls))
-    return F.struct((mostly | head).alias("table_like"), (head & ~some).alias("header_only"), (head & some & F.exists(data, lambda x: ~piped(x))).alias("fragment"))
+
+    def of(ls: Column) -> Column:
+        head = (F.size(ls) >= 2) & F.coalesce(piped(F.get(ls, F.lit(0))) & is_separator(F.get(ls, F.lit(1))), F.lit(False))
+        data = F.filter(F.slice(ls, 3, F.greatest(F.lit(0), F.size(ls) - 2)), lambda x: x.rlike("[A-Za-z0-9]"))
+        mostly = (F.size(ls) > 0) & (F.size(F.filter(ls, piped)) >= 0.7 * F.size(ls))
+        return let(F.struct(head.alias("head"), mostly.alias("mostly"), F.when(head, data).otherwise(F.array_repeat(F.lit(""), F.lit(0))).alias("data")), told)
+
+    def told(x: Column) -> Column:
+        some = F.size(x["data"]) > 0
+        return F.struct((x["mostly"] | x["head"]).alias("table_like"), (x["head"] & ~some).alias("header_only"), (x["head"] & some & F.exists(x["data"], lambda d: ~piped(d))).alias("fragment"))
+
+    return let(lines(raw), of)
 
 
 def labels(raw: Column) -> Column:
     """struct<alpha, numeric, density>: labels, numbers, and the share of labels among both (1 if there are none)."""
-    alpha, numeric = (F.regexp_count(F.coalesce(raw, F.lit("")), F.lit(p)) for p in (LABEL, NUMBER))
-    return F.struct(alpha.alias("alpha"), numeric.alias("numeric"), F.when(alpha + numeric > 0, alpha / (alpha + numeric)).otherwise(1.0).alias("density"))
+    counted = F.struct(*[F.regexp_count(F.coalesce(raw, F.lit("")), F.lit(p)).alias(n) for n, p in (("alpha", LABEL), ("numeric", NUMBER))])
+    both = lambda x: x["alpha"] + x["numeric"]
+    return let(counted, lambda x: F.struct(x["alpha"].alias("alpha"), x["numeric"].alias("numeric"), F.when(both(x) > 0, x["alpha"] / both(x)).otherwise(1.0).alias("density")))
 
 
-def lacks_header(raw: Column) -> Column:
-    x = labels(raw)
+def headless(x: Column) -> Column:
+    """Whether these ``labels`` are those of numbers without a head."""
     return (x["numeric"] >= 4) & (x["alpha"] <= 2) & (x["density"] < 0.20)
 
 
+def lacks_header(raw: Column) -> Column:
+    return let(labels(raw), headless)
+
+
 def header_cells(raw: Column) -> Column:
     """The cells of the line that reads most like a head: many labels, many cells, few numbers; the first of equals. None if no line has two labels."""
     def rated(line: Column, i: Column) -> Column:
-        filled = F.filter(cells(line), lambda c: c != "")
-        count = lambda p: F.aggregate(filled, F.lit(0), lambda n, c: n + F.regexp_count(c, F.lit(p)))
-        fit = line.contains("|") & ~is_separator(line) & (F.size(filled) >= 2) & (count(LABEL) >= 2)
-        return F.when(fit, F.struct((count(LABEL) * 10 + F.size(filled) - count(NUMBER)).alias("score"), (-i).alias("i"), filled.alias("cells")))
+        count = lambda filled, p: F.aggregate(filled, F.lit(0), lambda n, c: n + F.regexp_count(c, F.lit(p)))
+        score = lambda filled: let(count(filled, LABEL), lambda n: F.when((F.size(filled) >= 2) & (n >= 2), F.struct((n * 10 + F.size(filled) - count(filled, NUMBER)).alias("score"), (-i).alias("i"), filled.alias("cells"))))
+        return F.when(line.contains("|") & ~is_separator(line), let(F.filter(cells(line), lambda c: c != ""), score))
 
     best = F.array_max(F.array_compact(F.transform(lines(raw), rated)))
     return F.coalesce(best["cells"], F.expr("cast(array() AS array<string>)"))
@@ -75,24 +86,30 @@ def clean_fragment(raw: Column, header: Column) -> Column:
     """The lines of a fragment without separators and repeats of its head."""
     head = F.lower(compact(F.array_join(header, " | ")))
     bare = lambda x: compact(F.btrim(x, F.lit("|")))
-    keep = lambda x: ~is_separator(x) & (bare(x) != "") & ~x.rlike("^[-:| ]{3,}$") & ~((head != "") & (F.lower(bare(x)) == head))
-    return F.array_join(F.filter(lines(raw), keep), "\n")
+    keep = lambda x, h: ~is_separator(x) & let(bare(x), lambda y: (y != "") & ~((h != "") & (F.lower(y) == h))) & ~x.rlike("^[-:| ]{3,}$")
+    return let(head, lambda h: F.array_join(F.filter(lines(raw), lambda x: keep(x, h)), "\n"))
 
 
 def content_type(raw: Column, has_table_ref: Column) -> Column:
-    s = shape(raw)
+    return let(shape(raw), lambda s: _kind(s, raw, has_table_ref))
+
+
+def _kind(s: Column, raw: Column, has_table_ref: Column) -> Column:
     listed = (F.length(compact(raw)) >= 24) & F.substring(compact(raw), 1, 500).rlike(PARTS_LIST)
     table = s["table_like"] | F.coalesce(has_table_ref, F.lit(False)) | F.coalesce(listed, F.lit(False))
     return F.when(s["header_only"], "table_header_only").when(s["fragment"], "table_fragment").when(table, "table").otherwise("prose")
 
 
 def describe(chunks: DataFrame, most_tokens: int) -> DataFrame:
-    """Adds kind, warnings, eligible, quality, searchable of chunks (raw_text, page, table_ref, n_tokens, repetition, a share)."""
-    c = chunks.withColumns({"kind": content_type(F.col("raw_text"), F.col("table_ref").isNotNull()), "searchable": F.size(tokens(F.col("raw_text")))})
+    """Adds kind, warnings, eligible, quality, searchable, shape, labels of chunks (raw_text, page, table_ref, n_tokens, repetition, a share)."""
+    # Exploded from an array of one: what follows names these parts often, and each is to be read from the text once.
+    read = F.struct(shape(F.col("raw_text")).alias("shape"), labels(F.col("raw_text")).alias("labels"), F.size(tokens(F.col("raw_text"))).alias("searchable"))
+    c = chunks.select("*", F.explode(F.array(read)).alias("__read")).select("*", "__read.*").drop("__read")
+    c = c.withColumn("kind", _kind(F.col("shape"), F.col("raw_text"), F.col("table_ref").isNotNull()))
     related = F.col("kind") != "prose"
     flags = {
         "OVERSIZED_CHUNK": (F.coalesce("n_tokens", F.lit(0)) > most_tokens, 20), "PAGE_UNKNOWN": (F.col("page").isNull(), 10), "NO_ITEM_REFERENCE": (F.col("table_ref").isNull(), 8), "TABLE_FRAGMENT": (F.col("kind") == "table_fragment", 12),
-        "TABLE_HEADER_ONLY": (F.col("kind") == "table_header_only", 0), "TABLE_DATA_WITHOUT_HEADER": (related & lacks_header(F.col("raw_text")), 35), "TOO_LITTLE_SEARCHABLE_TEXT": (F.col("searchable") < 2, 35), "REPETITIVE_OCR_BLOCK": (F.coalesce("repetition", F.lit(0.0)) >= 0.40, 35),
+        "TABLE_HEADER_ONLY": (F.col("kind") == "table_header_only", 0), "TABLE_DATA_WITHOUT_HEADER": (related & headless(F.col("labels")), 35), "TOO_LITTLE_SEARCHABLE_TEXT": (F.col("searchable") < 2, 35), "REPETITIVE_OCR_BLOCK": (F.coalesce("repetition", F.lit(0.0)) >= 0.40, 35),
     }
     off = sum((F.when(test, F.lit(points)).otherwise(0) for test, points in flags.values()), F.lit(0))
     eligible = (F.trim(F.coalesce("raw_text", F.lit(""))) != "") & (F.col("searchable") >= 2) & (F.col("kind") != "table_header_only") & (F.coalesce("repetition", F.lit(0.0)) < 0.40)

@@ -29,8 +29,8 @@ def _chunks(spark, sf):
 
 @query(f"""{_C}, {_SHAPED} SELECT chunk_id, kind, mostly OR head AS table_like, alpha::BIGINT AS alpha, numeric::BIGINT AS numeric, array_to_string({_HEADER}, ';') AS header, {_HEADLESS} AS headless FROM d""")
 def table_shapes(spark, sf):
-    c = _chunks(spark, sf).withColumns({"s": tables.shape(F.col("raw_text")), "l": tables.labels(F.col("raw_text"))})
-    return c.select("chunk_id", "kind", "s.table_like", F.col("l.alpha").cast("long").alias("alpha"), F.col("l.numeric").cast("long").alias("numeric"), F.array_join(tables.header_cells(F.col("raw_text")), ";").alias("header"), ((F.col("kind") != "prose") & tables.lacks_header(F.col("raw_text"))).alias("headless"))
+    c = _chunks(spark, sf)
+    return c.select("chunk_id", "kind", F.col("shape.table_like").alias("table_like"), F.col("labels.alpha").cast("long").alias("alpha"), F.col("labels.numeric").cast("long").alias("numeric"), F.array_join(tables.header_cells(F.col("raw_text")), ";").alias("header"), ((F.col("kind") != "prose") & tables.headless(F.col("labels"))).alias("headless"))
 
 
 @query(f"""{_C}, {_SHAPED}, f AS (SELECT *, {_HEADLESS} AS headless, trim(raw_text) <> '' AND searchable >= 2 AND kind <> 'table_header_only' AS eligible FROM d)
@@ -71,7 +71,8 @@ y AS (SELECT o_orderkey, unnest(list_transform(list_zip(t1 || t2 || t3 || list_t
 z AS (SELECT o_orderkey, CASE WHEN lower(r.t) IN ('instruction', 'instruction in', 'the instruction') THEN '' ELSE r.t END AS t, r.s AS s, r.n AS n FROM y), u AS (SELECT o_orderkey, arg_min(t, n) AS t, arg_min(s, n) AS s, min(n) AS n FROM z WHERE t <> '' OR s <> '' GROUP BY o_orderkey, lower(t), lower(s))
 SELECT o_orderkey, string_agg(CASE WHEN t <> '' AND s <> '' THEN t || ' · section ' || s WHEN t <> '' THEN t ELSE 'Section ' || s END, ';' ORDER BY n) AS labels, count(*) AS n FROM u WHERE t <> '' OR NOT EXISTS (SELECT 1 FROM u v WHERE v.o_orderkey = u.o_orderkey AND v.t <> '' AND v.s <> '' AND starts_with(v.s, u.s)) GROUP BY o_orderkey""")
 def cross_references(spark, sf):
-    s = view(spark, sf, SAYINGS).select("o_orderkey", references.cross_references(F.col("said")).alias("r")).where("size(r) > 0")
+    # Exploded from an array of one, so that the condition isn't moved below it and the references found twice.
+    s = view(spark, sf, SAYINGS).select("o_orderkey", F.explode(F.array(references.cross_references(F.col("said")))).alias("r")).where("size(r) > 0")
     return s.select("o_orderkey", F.array_join("r.label", ";").alias("labels"), F.size("r").cast("long").alias("n"))
 
 
