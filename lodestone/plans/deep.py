@@ -124,6 +124,7 @@ def scoped_transcriptions(spark, sf):
 @rows_only
 def misread_spellings(spark, sf):
     """Rare spellings of each source's documents near frequent ones, and where they stand."""
+    ship(spark)
     texts = _t(spark, sf, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("item"), "text")
     return spelling.misreadings(texts)
 
@@ -137,6 +138,7 @@ SELECT book, rare, rare_n, frequent, n, edits::INTEGER AS edits, round(1 - edits
 ))
 def rare_within_two_edits(spark, sf):
     """Rare words of each source with the frequent word (twenty times or more) that they are most alike, up to two edits."""
+    ship(spark)
     t = _t(spark, sf, "documents").where("source IS NOT NULL").select(F.col("source").alias("book"), F.explode(F.filter(retrieval.tokens(F.col("text")), lambda x: x.rlike("^[a-z]+$"))).alias("word"))
     n = t.groupBy("book", "word").agg(F.count("*").alias("n")).where("n <= 2 OR n >= 20").withColumn("surface", F.col("word"))
     return spelling.near_pairs(n).withColumn("likeness", F.round("likeness", 4))
