@@ -35,6 +35,8 @@ ONE_EDIT_FROM = 7
 BASE = 0x9E3779B97F4A7C15
 BACK = np.uint64(pow(BASE, -1, 1 << 64))
 AT_ONCE = 1 << 20
+#: Words of a text that travel together, so that a batch of rows is small whatever the texts are.
+PIECE = 64
 
 
 def counted(texts: DataFrame) -> DataFrame:
@@ -136,7 +138,10 @@ def standing(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """texts (book, item, text), wanted (book, word) -> book, item, place, surface, word, beside: where these words stand and the words up to three places from there. A few others may be among them."""
     fits = sieve.of(wanted.select(F.xxhash64("book", "word")), lambda b: [_unsigned(b.column(0))], wanted.count())
     found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    t = texts.select("book", "item", found.alias("surfaces")).select("*", F.transform("surfaces", lambda s: F.xxhash64("book", lexical.lexical_token(s))).alias("hashes"))
+    piece = lambda k: F.struct(k.alias("own"), F.greatest(F.lit(0), k - NEAR).alias("start"), F.slice("surfaces", F.greatest(F.lit(1), k + 1 - NEAR), PIECE + 2 * NEAR).alias("surfaces"))
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("surfaces") - 1), F.lit(PIECE)), piece)
+    t = texts.select("book", "item", found.alias("surfaces")).select("book", "item", F.explode(pieces).alias("p")).select("book", "item", "p.*")
+    t = t.withColumn("hashes", F.transform("surfaces", lambda s: F.xxhash64("book", lexical.lexical_token(s))))
     kinds = {"place": T.IntegerType(), "surface": T.StringType(), "beside": T.ArrayType(T.StringType())}
 
     def run(batches):
@@ -145,12 +150,15 @@ def standing(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             ends = ends - ends[0]
             hits = fits.passing(_unsigned(b.column("hashes").flatten()))
             row = np.searchsorted(ends, hits, "right") - 1
+            own, place = b.column("own").to_numpy()[row], b.column("start").to_numpy()[row] + hits - ends[row]
+            kept = np.flatnonzero((own <= place) & (place < own + PIECE))  # the words around a piece are another's
+            hits, row, place = hits[kept], row[kept], place[kept]
             start, stop = np.maximum(ends[row], hits - NEAR), np.minimum(ends[row + 1], hits + NEAR + 1)
             bounds = np.r_[0, np.cumsum(stop - start)]
             near = np.repeat(start - bounds[:-1], stop - start) + np.arange(bounds[-1])
             beside = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), told.take(pa.array(near)))
             where = b.select(["book", "item"]).take(pa.array(row)).columns
-            yield pa.RecordBatch.from_arrays([*where, pa.array(hits - ends[row], pa.int32()), told.take(pa.array(hits)), beside], names=["book", "item", *kinds])
+            yield pa.RecordBatch.from_arrays([*where, pa.array(place, pa.int32()), told.take(pa.array(hits)), beside], names=["book", "item", *kinds])
 
     schema = T.StructType([t.schema["book"], t.schema["item"], *[T.StructField(k, v) for k, v in kinds.items()]])
     w = t.mapInArrow(run, schema)

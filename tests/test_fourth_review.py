@@ -131,3 +131,16 @@ def test_misreadings_against_plain_python(spark):
     want = _plain(texts)
     got = {(r.book, r.item, r.rare, r.frequent, r.rare_n, r.n) for r in spelling.misreadings(df).collect()}
     assert got == want and len(want) > 15
+
+
+def test_places_of_words_across_pieces_of_a_text(spark):
+    rng = random.Random(9)
+    texts = [(rng.choice("bc"), k, " ".join(rng.choice(["Pump", "pump", "valve", "seal", "of", "x", "the"]) for _ in range(n))) for k, n in enumerate([0, 1, 63, 64, 65, 67, 127, 128, 129, 300])]
+    df = spark.createDataFrame(texts, "book string, item int, text string").coalesce(1)
+    wanted = spark.createDataFrame([("b", "pump"), ("c", "seal"), ("c", "of")], "book string, word string")
+    got = sorted((r.item, r.place, r.surface, r.word, r.beside) for r in spelling.standing(df, wanted).join(wanted, ["book", "word"]).collect())
+    want = []
+    for book, item, text in texts:
+        told = text.split()
+        want += [(item, k, w, w.lower(), [x.lower() for x in told[max(0, k - 3) : k + 4]]) for k, w in enumerate(told) if (book, w.lower()) in {("b", "pump"), ("c", "seal"), ("c", "of")}]
+    assert got == sorted(want) and len(want) > 50
