@@ -173,7 +173,9 @@ def misreadings(texts: DataFrame) -> DataFrame:
     texts = texts.where("book IS NOT NULL")
     # Of what is equal to its lower case, a label has no other surface; the others are left out below.
     pairs = written(near_pairs(counted(texts).withColumn("surface", F.col("word"))), "pairs")
-    w = standing(texts, pairs.select("book", F.col("rare").alias("word"))).withColumnRenamed("word", "rare").join(pairs, ["book", "rare"])
+    w = standing(texts, pairs.select("book", F.col("rare").alias("word"))).withColumnRenamed("word", "rare")
+    # Of the words beside, only those count that may be the frequent one.
+    w = w.withColumn("beside", F.filter("beside", lambda x: F.levenshtein(x, F.col("rare"), 2) > 0)).join(pairs, ["book", "rare"])
     w = w.withColumn("least", F.min("surface").over(Window.partitionBy("book", "rare"))).where(~lexical.is_label(F.col("least")))
     glossary = F.min_by(F.array_contains("beside", F.col("frequent")), F.col("place"))
     kept = w.groupBy("book", "item", "rare", "rare_n", "frequent", "n", "edits", "likeness").agg(glossary.alias("glossary")).where(~F.col("glossary"))
